@@ -51,34 +51,50 @@ def split_any_required(df: DataFrame, fields: Sequence[str]) -> tuple[DataFrame,
     return df.where(complete), df.where(~complete).withColumn("reason", reason)
 
 
-def complete_rows(df: DataFrame) -> DataFrame:
-    """Rows that keep every ledger text column non-null."""
-    return df.dropna(how="any", subset=list(S.LEDGER_TEXT_COLUMNS))
+def complete() -> Column:
+    """True for a row whose ledger text columns are all non-null."""
+    return reduce(and_, [F.col(c).isNotNull() for c in S.LEDGER_TEXT_COLUMNS])
 
 
 def first_per_object(
-    df: DataFrame, order: Sequence[str] = ("synced_at_utc", "created_locally_at_utc")
+    df: DataFrame,
+    order: Sequence[str] = ("synced_at_utc", "created_locally_at_utc"),
+    keep_if: Column | None = None,
 ) -> DataFrame:
-    """One row per object id, the first in ``order``.
+    """One row per object id, the first in ``order`` of those that ``keep_if`` accepts.
 
     An aggregate, not a window: copies collapse in each task before the
     shuffle, so an id with very many copies makes no hot partition.  The rest
-    of the row breaks ties, so the choice does not depend on file order.
+    of the row breaks ties, so the choice does not depend on file order.  The
+    test sits inside the aggregate, where it reads finished columns; as a
+    filter it would move below the hash chain and repeat it per column.
     """
     rest = [c for c in df.columns if c != "object_id"]
-    rank = [*order, *[c for c in rest if c not in order]]
+    rank = F.struct(*order, *[c for c in rest if c not in order])
+    candidate = rank if keep_if is None else F.when(keep_if, rank)
     return (
         df.groupBy("object_id")
-        .agg(F.min(F.struct(*rank)).alias("first"))
+        .agg(F.min(candidate).alias("first"))
+        .where(F.col("first").isNotNull())
         .select("object_id", *[F.col("first")[c].alias(c) for c in rest])
         .select(*df.columns)
     )
 
 
-def new_rows(batch: DataFrame, ledger: DataFrame, order: Sequence[str] | None = None) -> DataFrame:
+def valid_rows(
+    batch: DataFrame, order: Sequence[str] = ("synced_at_utc", "created_locally_at_utc")
+) -> DataFrame:
+    """Complete rows, one per object id."""
+    return first_per_object(batch, order, complete())
+
+
+def new_rows(
+    batch: DataFrame,
+    ledger: DataFrame,
+    order: Sequence[str] = ("synced_at_utc", "created_locally_at_utc"),
+) -> DataFrame:
     """Rows an append would add: complete, first of their id, id not in the ledger."""
-    fresh = complete_rows(batch)
-    fresh = first_per_object(fresh, order) if order else first_per_object(fresh)
+    fresh = valid_rows(batch, order)
     return fresh.join(ledger.select("object_id"), "object_id", "left_anti").select(*batch.columns)
 
 

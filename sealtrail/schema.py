@@ -33,7 +33,7 @@ LEDGER_SCHEMA = T.StructType(
 )
 
 # Fields are in sorted order, so ``to_json`` of this struct is canonical.
-ENVELOPE_SCHEMA = T.StructType.fromDDL(
+ENVELOPE_SCHEMA = (
     "authorization struct<author:string,device_id:string,device_type:string,release_class:string>,"
     "claim struct<claim_ceiling:string,statement:string,type:string>,"
     "created_at_utc string,"

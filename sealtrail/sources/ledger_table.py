@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sealtrail import schema as S
-from sealtrail.operators.ledger import complete_rows, first_per_object, known_ids, number_rows
+from sealtrail.operators.ledger import known_ids, number_rows, valid_rows
 from sealtrail.operators.merkle import MountainRange, perfect_trees
 from sealtrail.operators.ordering import ensure_checkpoint_dir, with_dense_index
 
@@ -92,14 +92,9 @@ class LedgerTable:
         batch_no = 0 if last is None else last.batch_no + 1
         first_seq = 0 if last is None else last.next_seq
 
-        staged = first_per_object(
-            complete_rows(batch.select(*S.LEDGER_TEXT_COLUMNS)), order
-        ).checkpoint()
-        fresh = staged
+        fresh = valid_rows(batch.select(*S.LEDGER_TEXT_COLUMNS), order)
         if last is not None and last.leaf_count > 0:
-            ids = staged.select("object_id")
-            seen = known_ids(self._rows(last), ids, ids.count())
-            fresh = staged.join(seen, "object_id", "left_anti")
+            fresh = self._unknown(fresh.checkpoint(), last)
         added, count = number_rows(fresh, first_seq)
         added.write.mode("overwrite").parquet(f"{self.path}/rows/batch_no={batch_no}")
 
@@ -127,6 +122,12 @@ class LedgerTable:
         )
         return summary
 
+    def _unknown(self, staged: DataFrame, last: Row) -> DataFrame:
+        """Staged rows whose id no committed row has."""
+        ids = staged.select("object_id")
+        seen = known_ids(self._rows(last), ids, ids.count())
+        return staged.join(seen, "object_id", "left_anti")
+
     def _batch(self, batch_no: int) -> DataFrame:
         return self.spark.read.schema(S.LEDGER_SCHEMA).parquet(
             f"{self.path}/rows/batch_no={batch_no}"
@@ -143,6 +144,7 @@ class LedgerTable:
         """
         base = MountainRange()
         key: tuple[str | None, int] = (None, -1)
+        kept_batch = -1
         if last is not None:
             newest = (last.last_created, last.last_seq)
             if count == 0:
@@ -151,23 +153,31 @@ class LedgerTable:
             if kept is not None:
                 base = MountainRange(kept.leaf_count, tuple(kept.peaks))
                 key = (kept.last_created, kept.last_seq)
+                kept_batch = kept.batch_no
         if count == 0:
             return base, key
-        tail = self._read("rows", S.LEDGER_SCHEMA).where(F.col("batch_no") <= batch_no)
-        if key[0] is not None:
-            created, seq = F.col("created_locally_at_utc"), F.col("ingest_seq")
-            tail = tail.where((created >= key[0]) & ((created > key[0]) | (seq > key[1])))
-        indexed, size = with_dense_index(
-            tail.select(*S.LEDGER_ORDER, "leaf_hash"), list(S.LEDGER_ORDER)
-        )
-        end = base.leaf_count + size
-        moved = indexed.select((F.col("leaf_index") + base.leaf_count).alias("leaf_index"), "leaf_hash")
-        summary = base.extended(perfect_trees(moved, base.leaf_count, end))
+        if last is None or kept_batch == last.batch_no:
+            # All of the batch comes last, and its numbers follow its order.
+            first_seq = 0 if last is None else last.next_seq
+            place = F.col("ingest_seq") + (base.leaf_count - first_seq)
+            tail, size = self._batch(batch_no).withColumn("leaf_index", place), count
+        else:
+            tail, size = self._tail(batch_no, key)
+            tail = tail.withColumn("leaf_index", F.col("leaf_index") + base.leaf_count)
+        summary = base.extended(perfect_trees(tail, base.leaf_count, base.leaf_count + size))
         high = (bounds.high["created_locally_at_utc"], bounds.high["ingest_seq"])
         if last is not None and last.last_created is not None:
             high = max(high, (last.last_created, last.last_seq))
         return summary, high
 
+    def _tail(self, batch_no: int, key: tuple[str | None, int]) -> tuple[DataFrame, int]:
+        """Leaves after a key up to a batch, with their place among them."""
+        rows = self._read("rows", S.LEDGER_SCHEMA).where(F.col("batch_no") <= batch_no)
+        if key[0] is not None:
+            created, seq = F.col("created_locally_at_utc"), F.col("ingest_seq")
+            rows = rows.where((created >= key[0]) & ((created > key[0]) | (seq > key[1])))
+        return with_dense_index(rows.select(*S.LEDGER_ORDER, "leaf_hash"), list(S.LEDGER_ORDER))
+
     def _newest_prefix(self, lowest_created: str) -> Row | None:
         """The newest snapshot that is still a prefix once this batch is in."""
         following = Window.orderBy("batch_no").rowsBetween(1, Window.unboundedFollowing)
