@@ -12,29 +12,38 @@ from sealtrail.schema import ENVELOPE_VERSION
 _LETTERED_ESCAPES = ("000B", "000E", "000F", "001A", "001B", "001C", "001D", "001E", "001F")
 
 
-def _lower_case_escapes(text: Column) -> Column:
-    fixed = text
-    for code in _LETTERED_ESCAPES:
-        # An even run of backslashes before the escape is escaped backslashes.
-        fixed = F.regexp_replace(
-            fixed, rf"(?<!\\)((?:\\\\)*)\\u{code}", rf"$1\\u{code.lower()}"
+def js_escapes(json_text: Column) -> Column:
+    """JSON text written by Spark with its escapes as JSON.stringify has them.
+
+    Only text with such an escape is rewritten.  An even run of backslashes
+    before it is escaped backslashes and stays.
+    """
+    codes = F.array(*[F.lit(code) for code in _LETTERED_ESCAPES])
+
+    def lower_one(text: Column, code: Column) -> Column:
+        return F.regexp_replace(
+            text,
+            F.concat(F.lit(r"(?<!\\)((?:\\\\)*)\\u"), code),
+            F.concat(F.lit(r"$1\\u"), F.lower(code)),
         )
-    return F.when(F.contains(text, F.lit("\\u00")), fixed).otherwise(text)
+
+    rewritten = F.aggregate(codes, json_text, lower_one)
+    return F.when(F.contains(json_text, F.lit("\\u00")), rewritten).otherwise(json_text)
 
 
 def json_object(*fields: Column) -> Column:
     """JSON object of text fields in the order given; null fields are left out."""
-    return _lower_case_escapes(F.to_json(F.struct(*fields)))
+    return js_escapes(F.to_json(F.struct(*fields)))
 
 
 def json_string(text: Column) -> Column:
-    """One JSON string literal."""
-    array = _lower_case_escapes(F.to_json(F.array(text)))
+    """One JSON string literal, with Spark's escapes."""
+    array = F.to_json(F.array(text))
     return F.substring(array, F.lit(2), F.length(array) - 2)
 
 
 def json_string_array(items: Column) -> Column:
-    return _lower_case_escapes(F.to_json(items))
+    return js_escapes(F.to_json(items))
 
 
 def js_number(value: Column) -> Column:
@@ -45,23 +54,20 @@ def js_number(value: Column) -> Column:
     """
     value = value.cast("double")
     size = F.abs(value)
-    plain = F.regexp_replace(value.cast("string"), r"\.0$", "")
-    large = _trim_zeros(value.cast("decimal(38,16)").cast("string"))
-    small = _trim_zeros(value.cast("decimal(38,24)").cast("string"))
-    scientific = F.regexp_replace(
-        F.regexp_replace(value.cast("string"), r"\.0E", "E"), r"E(\d)", "E+$1"
-    )
+    text = value.cast("string")
+    power = F.replace(F.replace(text, F.lit(".0E"), F.lit("E")), F.lit("E"), F.lit("e+"))
     return (
         F.when(value == 0, F.lit("0"))
-        .when((size >= 1e-3) & (size < 1e7), plain)
-        .when((size >= 1e7) & (size < 1e21), large)
-        .when((size >= 1e-6) & (size < 1e-3), small)
-        .otherwise(F.lower(scientific))
+        .when((size >= 1e-3) & (size < 1e7), _trim_zeros(text))
+        .when((size >= 1e7) & (size < 1e21), _trim_zeros(value.cast("decimal(38,16)").cast("string")))
+        .when((size >= 1e-6) & (size < 1e-3), _trim_zeros(value.cast("decimal(38,24)").cast("string")))
+        .otherwise(F.replace(power, F.lit("e+-"), F.lit("e-")))
     )
 
 
-def _trim_zeros(decimal_text: Column) -> Column:
-    return F.regexp_replace(decimal_text, r"\.?0+$", "")
+def _trim_zeros(text: Column) -> Column:
+    """Drop the zeros after a decimal point, and the point if nothing follows."""
+    return F.rtrim(F.rtrim(text, F.lit("0")), F.lit("."))
 
 
 def canonical_envelope(
@@ -114,4 +120,4 @@ def canonical_json(text: Column) -> Column:
     The variant type keeps object keys sorted.  Numbers are printed by Spark,
     so only integers and plain decimals are sure to keep their text.
     """
-    return _lower_case_escapes(F.to_json(F.try_parse_json(text)))
+    return js_escapes(F.to_json(F.try_parse_json(text)))

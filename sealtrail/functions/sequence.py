@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sealtrail.functions.json_text import js_number
-from sealtrail.functions.text import clamp, fixed_two, js_trim, round_half_up
+from sealtrail.functions.text import clamp, js_trim, round_half_up
 
 # Residue letters kept by cleaning.
 RESIDUE_ALPHABET = "ACDEFGHIKLMNPQRSTVWYXBJOUZ"
@@ -55,21 +55,14 @@ def residues(sequence: Column) -> Column:
     return F.when(sequence == "", F.array().cast("array<string>")).otherwise(F.split(sequence, ""))
 
 
-def _count(sequence: Column, letter: str) -> Column:
-    return F.length(sequence) - F.length(F.replace(sequence, F.lit(letter), F.lit("")))
-
-
-def letter_counts(sequence: Column, letters: str = "".join(HYDROPATHY)) -> Column:
-    """Struct of how often each letter occurs."""
-    return F.struct(*[_count(sequence, letter).alias(letter) for letter in letters])
-
-
 def _weighted(counts: Column, scale: dict[str, float]) -> Column:
     return reduce(add, [counts[a] * F.lit(w) for a, w in hundredths(scale).items()])
 
 
 def peptide_stats(length: Column, counts: Column) -> Column:
-    """Statistics struct from a sequence's length and ``letter_counts``.
+    """Statistics struct from a sequence's length and its letter counts.
+
+    ``counts`` is a struct with one field per letter of the scales.
 
     Mass is the rough 110 per residue less one water.  Hydropathy, helix and
     sheet are per-residue means of integer hundredths, so order and float
@@ -95,31 +88,14 @@ def peptide_stats(length: Column, counts: Column) -> Column:
     return F.when(length == 0, F.struct(*none)).otherwise(F.struct(*stats))
 
 
-def class_score(residue: Column) -> Column:
-    score = F.lit(CONFIDENCE_OTHER)
-    for letters, value in reversed(CONFIDENCE_CLASSES):
-        score = F.when(F.contains(F.lit(letters), residue), F.lit(value)).otherwise(score)
-    return score
-
-
-def residue_confidence(residue: Column, position: Column) -> Column:
-    """Stand-in confidence of a residue from its class and 0-based position."""
-    wobble = F.sin(position * F.lit(0.7)) * 4 + (position % 7) * F.lit(0.5)
-    return clamp(class_score(residue) + wobble, *CONFIDENCE_RANGE)
-
-
-def confidence_array(sequence: Column) -> Column:
-    return F.transform(residues(sequence), residue_confidence)
-
-
-def sequential_mean(values: Column) -> Column:
-    """Mean summed in array order, 0 for an empty array."""
+def sequential_mean(values: str) -> Column:
+    """Mean of an array column, summed in array order; 0 for an empty array."""
     total = F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v)
     return F.when(F.size(values) > 0, total / F.size(values)).otherwise(F.lit(0.0))
 
 
-def prediction_statement(accession: Column, length: Column, mean: Column) -> Column:
-    """Claim sentence of a confidence prediction."""
+def prediction_statement(accession: Column, length: Column, mean_text: Column) -> Column:
+    """Claim sentence of a confidence prediction; the mean comes with two decimals."""
     return F.concat(
         F.lit("AlphaFold DB pLDDT for "),
         F.when(F.coalesce(F.length(accession), F.lit(0)) > 0, accession).otherwise(
@@ -128,27 +104,19 @@ def prediction_statement(accession: Column, length: Column, mean: Column) -> Col
         F.lit(" ("),
         length.cast("string"),
         F.lit(" residues, mean "),
-        fixed_two(mean),
+        mean_text,
         F.lit(")."),
     )
 
 
-def peptide_statement(stats: Column, assessment: Column) -> Column:
-    """Spoken report of peptide statistics."""
+def peptide_statement(assessment: Column) -> Column:
+    """Spoken report of a row with the peptide statistics columns."""
     return F.concat(
-        F.lit("Peptide analysis. Length: "),
-        stats["length"].cast("string"),
-        F.lit(" residues. Molecular weight: approximately "),
-        stats["mass"].cast("string"),
-        F.lit(" daltons. Isoelectric point: "),
-        js_number(stats["pi"]),
-        F.lit(". GRAVY hydropathy: "),
-        js_number(stats["gravy"]),
-        F.lit(". Predicted helix propensity: "),
-        stats["helix"].cast("string"),
-        F.lit(" percent. Predicted sheet propensity: "),
-        stats["sheet"].cast("string"),
-        F.lit(" percent. Biosecurity assessment: "),
-        assessment,
-        F.lit("."),
+        F.lit("Peptide analysis. Length: "), F.col("length").cast("string"),
+        F.lit(" residues. Molecular weight: approximately "), F.col("mass").cast("string"),
+        F.lit(" daltons. Isoelectric point: "), js_number(F.col("pi")),
+        F.lit(". GRAVY hydropathy: "), js_number(F.col("gravy")),
+        F.lit(". Predicted helix propensity: "), F.col("helix").cast("string"),
+        F.lit(" percent. Predicted sheet propensity: "), F.col("sheet").cast("string"),
+        F.lit(" percent. Biosecurity assessment: "), assessment, F.lit("."),
     )

@@ -156,27 +156,34 @@ def seal_turns(turns: DataFrame, profile: SealProfile, keep: tuple[str, ...] = (
     return _ledger_rows(sealed, keep)
 
 
-def sample_payload(
-    name: Column, sequence: Column, lat: Column, lng: Column, custodian: Column, timestamp: Column
-) -> Column:
-    return F.concat(
-        F.lit('{"name":'), J.json_string(name),
-        F.lit(',"sequence":'), J.json_string(sequence),
-        F.lit(',"gps":{"lat":'), J.js_number(lat),
-        F.lit(',"lng":'), J.js_number(lng),
-        F.lit('},"custodian":'), J.json_string(custodian),
-        F.lit(',"timestamp":'), J.json_string(timestamp),
-        F.lit("}"),
+def _with_place(samples: DataFrame) -> DataFrame:
+    return samples.withColumns(
+        {"lat": J.js_number(F.col("gps_lat")), "lng": J.js_number(F.col("gps_lng"))}
     )
 
 
+def sample_payload(custodian: Column, assessment: Column | None = None) -> Column:
+    """Payload of a row with name, sequence, created_at_utc and place texts lat, lng."""
+    parts = [
+        F.lit('{"name":'), J.json_string(F.col("name")),
+        F.lit(',"sequence":'), J.json_string(F.col("sequence")),
+        F.lit(',"gps":{"lat":'), F.col("lat"),
+        F.lit(',"lng":'), F.col("lng"),
+        F.lit('},"custodian":'), J.json_string(custodian),
+        F.lit(',"timestamp":'), J.json_string(F.col("created_at_utc")),
+    ]
+    if assessment is not None:
+        parts += [F.lit(',"assessment":'), J.json_string(assessment)]
+    return J.js_escapes(F.concat(*parts, F.lit("}")))
+
+
 def seal_samples(samples: DataFrame, profile: SealProfile, keep: tuple[str, ...] = ()) -> DataFrame:
     """Seal field samples.
 
     Input: name, sequence, gps_lat, gps_lng, created_at_utc; custodian,
     device_id and device_type are optional.
     """
-    rows = samples.withColumns(
+    rows = _with_place(samples).withColumns(
         {
             "custodian": optional(samples, "custodian", F.lit(profile.author)),
             "device_id": optional(samples, "device_id", F.lit(S.WEB_DEVICE_ID)),
@@ -188,18 +195,13 @@ def seal_samples(samples: DataFrame, profile: SealProfile, keep: tuple[str, ...]
     sealed = with_envelope(
         rows,
         profile,
-        payload=sample_payload(
-            *[
-                F.col(c)
-                for c in ("name", "sequence", "gps_lat", "gps_lng", "custodian", "created_at_utc")
-            ]
-        ),
+        payload=sample_payload(F.col("custodian")),
         object_type=S.SAMPLE_TYPE,
         release_class="field-private",
         claim_type=S.SAMPLE_TYPE,
         statement=F.concat(
-            F.lit("Field sample "), "name", F.lit(" sealed at "), J.js_number(F.col("gps_lat")),
-            F.lit(","), J.js_number(F.col("gps_lng")), F.lit(" by "), "custodian", F.lit("."),
+            F.lit("Field sample "), "name", F.lit(" sealed at "), "lat", F.lit(","), "lng",
+            F.lit(" by "), "custodian", F.lit("."),
         ),
         claim_ceiling=S.SAMPLE_ENVELOPE_CEILING,
         created_at_utc=F.col("created_at_utc"),
@@ -286,17 +288,17 @@ def seal_exchanges(
     return sealed_human.unionByName(sealed_agent).select(*keep, *S.LEDGER_TEXT_COLUMNS)
 
 
-def prediction_payload(
-    accession: Column, source: Column, length: Column, mean: Column, values: Column
-) -> Column:
-    return F.concat(
-        F.lit('{"uniprot":'),
-        F.coalesce(J.json_string(accession), F.lit("null")),
-        F.lit(',"source":'), J.json_string(source),
-        F.lit(',"length":'), length.cast("string"),
-        F.lit(',"mean":'), J.js_number(X.round_half_up(mean, 1)),
-        F.lit(',"plddt":['), F.array_join(F.transform(values, J.js_number), ","), F.lit("]}"),
+def prediction_payload() -> Column:
+    """Payload of a row with accession, source, n_values, mean and confidence."""
+    values = F.array_join(F.transform("confidence", J.js_number), ",")
+    text = F.concat(
+        F.lit('{"uniprot":'), F.coalesce(J.json_string(F.col("accession")), F.lit("null")),
+        F.lit(',"source":'), J.json_string(F.col("source")),
+        F.lit(',"length":'), F.col("n_values").cast("string"),
+        F.lit(',"mean":'), J.js_number(X.round_half_up(F.col("mean"), 1)),
+        F.lit(',"plddt":['), values, F.lit("]}"),
     )
+    return J.js_escapes(text)
 
 
 def seal_predictions(
@@ -313,11 +315,12 @@ def seal_predictions(
             {
                 "accession": F.nullif(F.col("accession"), F.lit("")),
                 "n_values": F.size("confidence"),
-                "mean": Q.sequential_mean(F.col("confidence")),
+                "mean": Q.sequential_mean("confidence"),
                 "device_id": F.lit(S.PREDICTION_DEVICE_ID),
                 "device_type": F.lit(S.WEB_DEVICE_TYPE),
             }
         )
+        .withColumn("mean_text", X.fixed_two(F.col("mean")))
         .withColumn(
             "node_id",
             X.node_key(
@@ -330,13 +333,13 @@ def seal_predictions(
     sealed = with_envelope(
         rows,
         profile,
-        payload=prediction_payload(
-            *[F.col(c) for c in ("accession", "source", "n_values", "mean", "confidence")]
-        ),
+        payload=prediction_payload(),
         object_type=S.PREDICTION_TYPE,
         release_class="public-safe",
         claim_type=S.PREDICTION_TYPE,
-        statement=Q.prediction_statement(F.col("accession"), F.col("n_values"), F.col("mean")),
+        statement=Q.prediction_statement(
+            F.col("accession"), F.col("n_values"), F.col("mean_text")
+        ),
         claim_ceiling=S.PREDICTION_CEILING,
         created_at_utc=F.col("created_at_utc"),
         device_id=F.col("device_id"),
@@ -346,9 +349,8 @@ def seal_predictions(
         {
             "payload_preview": F.concat(
                 F.lit("AlphaFold DB pLDDT ("), "source", F.lit(") for "),
-                F.coalesce("accession", F.lit("sequence")), F.lit(": mean "),
-                X.fixed_two(F.col("mean")), F.lit(", "), F.col("n_values").cast("string"),
-                F.lit(" residues"),
+                F.coalesce("accession", F.lit("sequence")), F.lit(": mean "), "mean_text",
+                F.lit(", "), F.col("n_values").cast("string"), F.lit(" residues"),
             ),
             "claim_ceiling": F.lit(S.PREDICTION_CEILING),
             "created_locally_at_utc": F.col("created_at_utc"),
@@ -399,26 +401,19 @@ def seal_seed_samples(
     Input: node_id, name, sequence, gps_lat, gps_lng, assessment,
     created_at_utc.  The device is the first part of the node id.
     """
-    rows = samples.withColumns(
+    rows = _with_place(samples).withColumns(
         {"device_id": X.node_device(F.col("node_id")), "device_type": F.lit("android")}
     )
-    body = sample_payload(
-        F.col("name"), F.col("sequence"), F.col("gps_lat"), F.col("gps_lng"),
-        F.lit(profile.author), F.col("created_at_utc"),
-    )
     sealed = with_envelope(
         rows,
         profile,
-        payload=F.concat(
-            F.substring(body, F.lit(1), F.length(body) - 1),
-            F.lit(',"assessment":'), J.json_string(F.col("assessment")), F.lit("}"),
-        ),
+        payload=sample_payload(F.lit(profile.author), F.col("assessment")),
         object_type=S.SAMPLE_TYPE,
         release_class="field-private",
         claim_type=S.SAMPLE_TYPE,
         statement=F.concat(
-            F.lit("Field sample "), "name", F.lit(" sealed at "), J.js_number(F.col("gps_lat")),
-            F.lit(","), J.js_number(F.col("gps_lng")), F.lit("."),
+            F.lit("Field sample "), "name", F.lit(" sealed at "), "lat", F.lit(","), "lng",
+            F.lit("."),
         ),
         claim_ceiling=S.SAMPLE_ENVELOPE_CEILING,
         created_at_utc=F.col("created_at_utc"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sealtrail.functions import residue_arrays as A
 from sealtrail.functions import rules as R
 from sealtrail.functions import sequence as Q
 from sealtrail.functions import text as X
@@ -21,7 +22,7 @@ def peptide_stats(
     counted = sequences.select(
         *keep,
         F.length(sequence).alias("n"),
-        Q.letter_counts(F.col(sequence)).alias("counts"),
+        A.letter_counts(sequence).alias("counts"),
     )
     return counted.select(
         *keep, Q.peptide_stats(F.col("n"), F.col("counts")).alias("stats")
@@ -40,10 +41,8 @@ def residue_positions(
 def residue_confidence(
     sequences: DataFrame, keep: tuple[str, ...], sequence: str = "sequence"
 ) -> DataFrame:
-    """One stand-in confidence per residue."""
-    return residue_positions(sequences, keep, sequence).select(
-        *keep, "pos", Q.residue_confidence(F.col("residue"), F.col("pos")).alias("value")
-    )
+    """One stand-in confidence per residue, by its class and 0-based position."""
+    return sequences.select(*keep, F.posexplode(A.confidence_array(sequence)).alias("pos", "value"))
 
 
 def confidence_mean(
@@ -51,7 +50,7 @@ def confidence_mean(
 ) -> DataFrame:
     """Mean confidence per sequence, whole and rounded to one decimal; 0 if empty."""
     means = sequences.select(
-        *keep, Q.sequential_mean(Q.confidence_array(F.col(sequence))).alias("mean")
+        *keep, A.confidence_mean(sequence).alias("mean")
     )
     return means.select(*keep, "mean", X.round_half_up(F.col("mean"), 1).alias("mean_1"))
 

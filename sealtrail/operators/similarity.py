@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import sys
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from sealtrail.schema import HEATMAP_ITEMS
 
+# Ship this module's helpers with the job, so executors need no install.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def first_items(
     items: DataFrame, group: str, position: str, limit: int = HEATMAP_ITEMS
@@ -17,12 +27,55 @@ def first_items(
     holds much of the data ships at most ``limit`` rows per task.
     """
     rank = F.row_number().over(Window.partitionBy(group).orderBy(position))
-    return items.withColumn("i", rank - 1).where(F.col("i") < limit)
+    ranked = items.withColumn("rank", rank).where(F.col("rank") <= limit)
+    return ranked.withColumn("i", F.col("rank") - 1).drop("rank")
+
+
+def _similarity_map(vectors: pa.ChunkedArray) -> np.ndarray:
+    rows = vectors.combine_chunks()
+    matrix = rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+    matrix = matrix.astype(np.float64)
+    norms = np.sqrt(np.einsum("ij,ij->i", matrix, matrix))
+    return (matrix @ matrix.T) / (np.outer(norms, norms) + 1e-9)
+
+
+def _scaled(values: np.ndarray) -> np.ndarray:
+    low, high = values.min(), max(0.0, values.max())
+    return (values - low) / (high - low + 1e-9)
+
+
+def _map_cells(
+    items: DataFrame, group: str, position: str, vector: str, limit: int,
+    finish: Callable[[np.ndarray], np.ndarray],
+) -> DataFrame:
+    """Cells (group, i, j, value) of each group's similarity map.
 
+    One group is at most ``limit`` vectors when it reaches a task.  The maps
+    are matrix products in the task: an array expression over each pair
+    measured several times slower already at 64 dimensions.
+    """
+    picked = first_items(items.select(group, position, vector), group, position, limit)
+    schema = StructType(
+        [
+            items.schema[group],
+            StructField("i", IntegerType()),
+            StructField("j", IntegerType()),
+            StructField("value", DoubleType()),
+        ]
+    )
 
-def _dot(a: Column, b: Column) -> Column:
-    products = F.zip_with(a, b, lambda x, y: x * y)
-    return F.aggregate(products, F.lit(0.0), lambda acc, v: acc + v)
+    def cells(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("i")
+        values = finish(_similarity_map(rows["vector"]))
+        at = np.arange(len(rows), dtype=np.int32)
+        labels = pa.repeat(key[0], len(rows) ** 2)
+        columns = [labels, np.repeat(at, len(rows)), np.tile(at, len(rows)), values.ravel()]
+        return pa.table([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns],
+                        names=[group, "i", "j", "value"])
+
+    return picked.select(group, "i", F.col(vector).alias("vector")).groupBy(group).applyInArrow(
+        cells, schema
+    )
 
 
 def cosine_pairs(
@@ -35,30 +88,9 @@ def cosine_pairs(
     """All ordered pairs among the first ``limit`` items of each group.
 
     ``limit`` is the operator's own size, the side of a group's similarity
-    map, so a group yields at most ``limit`` squared pairs.  The map is built
-    inside the row that holds the group's vectors; no pair is shuffled.
+    map.  Vectors of one group have one length.
     """
-    map_rows = _similarity_maps(items, group, position, vector, limit)
-    rows = map_rows.select(group, F.posexplode("map").alias("i", "row"))
-    return rows.select(group, "i", F.posexplode("row").alias("j", "value"))
-
-
-def _similarity_maps(items, group, position, vector, limit) -> DataFrame:
-    vec = F.col(vector).cast("array<double>")
-    picked = first_items(items.select(group, position, vector), group, position, limit).select(
-        group, "i", vec.alias("vec"), F.sqrt(_dot(vec, vec)).alias("norm")
-    )
-    members = picked.groupBy(group).agg(
-        F.sort_array(F.collect_list(F.struct("i", "vec", "norm"))).alias("members")
-    )
-    similarity = F.transform(
-        "members",
-        lambda a: F.transform(
-            "members",
-            lambda b: _dot(a["vec"], b["vec"]) / (a["norm"] * b["norm"] + F.lit(1e-9)),
-        ),
-    )
-    return members.select(group, similarity.alias("map"))
+    return _map_cells(items, group, position, vector, limit, lambda values: values)
 
 
 def minmax_scale(
@@ -72,15 +104,4 @@ def minmax_scale(
 
     The maximum counts from 0 up, so an all-negative map has maximum 0.
     """
-    maps = _similarity_maps(items, group, position, vector, limit)
-    flat = F.flatten("map")
-    bounded = maps.select(
-        group,
-        "map",
-        F.array_min(flat).alias("low"),
-        F.greatest(F.lit(0.0), F.array_max(flat)).alias("high"),
-    )
-    rows = bounded.select(group, "low", "high", F.posexplode("map").alias("i", "row"))
-    cells = rows.select(group, "low", "high", "i", F.posexplode("row").alias("j", "v"))
-    scaled = (F.col("v") - F.col("low")) / (F.col("high") - F.col("low") + F.lit(1e-9))
-    return cells.select(group, "i", "j", scaled.alias("value"))
+    return _map_cells(items, group, position, vector, limit, _scaled)

@@ -159,25 +159,30 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def structure_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fixed-width lines: order lines written as atom records, other records, short and bad lines."""
-    rows = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax",
-        "l_returnflag", "l_linestatus",
-    )
+def structure_files(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of fixed-width text files made from the order lines.
+
+    Most lines are atom records; some are other records, too short, or without
+    a number.  The order key and line number stand in columns 21-32 and 41-44.
+    """
+    rows = table(spark, sf_dir, "lineitem")
     number = F.concat(
         F.col("l_quantity").cast("int").cast("string"),
         F.lit("."),
         F.lpad(F.round(F.col("l_discount") * 100).cast("int").cast("string"), 2, "0"),
     )
-    shown = F.when(
-        (F.col("l_linestatus") == "F") & (F.col("l_tax") == 0), F.lit("n/a")
-    ).otherwise(number)
+    untaxed = F.col("l_tax") == 0
+    shown = F.when((F.col("l_linestatus") == "F") & untaxed, F.lit("n/a")).otherwise(number)
     record = F.when(F.col("l_returnflag") == "R", F.lit("HETATM")).otherwise(F.lit("ATOM"))
-    full = F.concat(F.rpad(record, 60, " "), F.lpad(shown, 6, " "), F.lit("  C"))
-    short = (F.col("l_linestatus") == "O") & (F.col("l_tax") == 0)
-    return rows.select(
-        "l_orderkey",
-        "l_linenumber",
-        F.when(short, F.substring(full, 1, 64)).otherwise(full).alias("value"),
+    line = F.concat(
+        F.rpad(record, 20, " "),
+        F.lpad(F.col("l_orderkey").cast("string"), 12, " "),
+        F.lpad(F.col("l_linenumber").cast("string"), 12, " "),
+        F.lpad(shown, 22, " "),
+        F.lit("  C"),
     )
+    short = (F.col("l_linestatus") == "O") & untaxed
+    folder = f"{scratch(spark)}/structures"
+    text = F.when(short, F.substring(line, 1, 64)).otherwise(line)
+    rows.select(text.alias("value")).write.text(folder)
+    return folder

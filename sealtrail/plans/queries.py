@@ -16,7 +16,7 @@ from sealtrail.operators import integrity, ledger, merkle, reports, sealing, seq
 from sealtrail.plans import inputs as I
 from sealtrail.schema import LEDGER_COLUMNS, LEDGER_TEXT_COLUMNS
 from sealtrail.sources.ledger_table import LedgerTable
-from sealtrail.sources.structure_files import fixed_width_atoms
+from sealtrail.sources.structure_files import fixed_width_atoms, read_lines
 from sealtrail.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -207,9 +207,17 @@ def seed_samples(spark, sf_dir):
     return sealed.select(*_SEALED, "device_id")
 
 
+def _atoms(spark, sf_dir):
+    """Numbers of the atom lines in structure files, with the keys in each line."""
+    lines = read_lines(spark, I.structure_files(spark, sf_dir))
+    key = lambda at, chars: F.btrim(F.substring("value", at, chars)).cast("long")
+    keyed = lines.withColumns({"l_orderkey": key(21, 12), "l_linenumber": key(41, 4)})
+    return fixed_width_atoms(keyed, ("l_orderkey", "l_linenumber"))
+
+
 def _predictions(spark, sf_dir):
     """Confidence arrays read from fixed-width lines, one per order."""
-    values = fixed_width_atoms(I.structure_lines(spark, sf_dir), ("l_orderkey", "l_linenumber"))
+    values = _atoms(spark, sf_dir)
     lists = values.groupBy("l_orderkey").agg(
         F.sort_array(F.collect_list(F.struct("l_linenumber", "confidence"))).alias("found")
     )
@@ -227,11 +235,11 @@ def seal_predictions(spark, sf_dir):
 
 
 @query
-def fixed_width_atoms_(spark, sf_dir):
-    return fixed_width_atoms(I.structure_lines(spark, sf_dir), ("l_orderkey", "l_linenumber"))
+def fixed_width(spark, sf_dir):
+    return _atoms(spark, sf_dir)
 
 
-QUERIES["fixed_width_atoms"] = QUERIES.pop("fixed_width_atoms_")
+QUERIES["fixed_width_atoms"] = QUERIES.pop("fixed_width")
 
 
 @query
@@ -588,20 +596,21 @@ def plural_label(spark, sf_dir):
 
 @query
 def result_statement(spark, sf_dir):
-    rows = I.sequences(spark, sf_dir)
-    counted = rows.select(
-        "doc_id",
-        R.risk_assessment(F.col("sequence"), SAMPLE_RULES).alias("assessment"),
-        Q.peptide_stats(F.length("sequence"), Q.letter_counts(F.col("sequence"))).alias("stats"),
+    rows = I.sequences(spark, sf_dir).withColumn(
+        "assessment", R.risk_assessment(F.col("sequence"), SAMPLE_RULES)
+    )
+    stats = sequences.peptide_stats(rows, ("doc_id", "assessment"))
+    return stats.select(
+        "doc_id", Q.peptide_statement(F.col("assessment")).alias("report")
     )
-    report = Q.peptide_statement(F.col("stats"), F.col("assessment"))
-    return counted.select("doc_id", report.alias("report"))
 
 
 @query
 def prediction_statement(spark, sf_dir):
-    rows = _predictions(spark, sf_dir).withColumn("mean", Q.sequential_mean(F.col("confidence")))
-    statement = Q.prediction_statement(F.col("accession"), F.size("confidence"), F.col("mean"))
+    rows = _predictions(spark, sf_dir).withColumn("mean", Q.sequential_mean("confidence"))
+    statement = Q.prediction_statement(
+        F.col("accession"), F.size("confidence"), X.fixed_two(F.col("mean"))
+    )
     return rows.select("accession", statement.alias("statement"))
 
 

@@ -21,9 +21,16 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_float(text: Column) -> Column:
-    """The number at the start of a text, null if there is none."""
-    number = F.regexp_extract(F.btrim(text), _LEADING_NUMBER, 1)
-    return F.when(number != "", number.try_cast("double"))
+    """The number at the start of a text, null if there is none.
+
+    Text that is a number as a whole is cast; only the rest needs the pattern.
+    """
+    text = F.btrim(text)
+    whole = text.try_cast("double")
+    start = F.regexp_extract(text, _LEADING_NUMBER, 1)
+    return F.when(F.abs(whole) < float("inf"), whole).otherwise(
+        F.when(start != "", start.try_cast("double"))
+    )
 
 
 def fixed_width_atoms(
