@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import add
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,6 +28,11 @@ SHEET = {
     "P": 0.55, "S": 0.75, "T": 1.19, "W": 1.37, "Y": 1.47, "V": 1.70,
 }
 
+SCALES = {"hydropathy": HYDROPATHY, "helix": HELIX, "sheet": SHEET}
+
+# Residue charges.
+CHARGES = {"KR": 1, "DE": -1}
+
 # Confidence classes, their scores, and the score of the rest.
 CONFIDENCE_CLASSES = (("VILFM", 92.0), ("ACWGSTY", 80.0), ("KRDEHNPQ", 70.0))
 CONFIDENCE_OTHER = 60.0
@@ -55,37 +57,29 @@ def residues(sequence: Column) -> Column:
     return F.when(sequence == "", F.array().cast("array<string>")).otherwise(F.split(sequence, ""))
 
 
-def _weighted(counts: Column, scale: dict[str, float]) -> Column:
-    return reduce(add, [counts[a] * F.lit(w) for a, w in hundredths(scale).items()])
-
-
-def peptide_stats(length: Column, counts: Column) -> Column:
-    """Statistics struct from a sequence's length and its letter counts.
-
-    ``counts`` is a struct with one field per letter of the scales.
+def peptide_stats(length: Column, sums: Column) -> Column:
+    """Statistics struct from a sequence's length and its ``residue_sums``.
 
     Mass is the rough 110 per residue less one water.  Hydropathy, helix and
     sheet are per-residue means of integer hundredths, so order and float
     error cannot move a rounding tie.
     """
-    charge = counts["K"] + counts["R"] - counts["D"] - counts["E"]
-    stats = (
+
+    def per_residue(name: str) -> Column:
+        return round_half_up(sums[name] / length)
+
+    stats = {
+        "mass": length * RESIDUE_MASS - WATER_MASS,
+        "pi": round_half_up(clamp(sums["charge"] * F.lit(0.5) + 7, 2.0, 12.0), 1),
+        "gravy": per_residue("hydropathy") / 100,
+        "helix": per_residue("helix").cast("long"),
+        "sheet": per_residue("sheet").cast("long"),
+    }
+    empty = {"mass": 0, "pi": 7.0, "gravy": 0.0, "helix": 0, "sheet": 0}
+    return F.struct(
         length.alias("length"),
-        (length * RESIDUE_MASS - WATER_MASS).alias("mass"),
-        round_half_up(clamp(charge * F.lit(0.5) + 7, 2.0, 12.0), 1).alias("pi"),
-        (round_half_up(_weighted(counts, HYDROPATHY) / length) / 100).alias("gravy"),
-        round_half_up(_weighted(counts, HELIX) / length).cast("long").alias("helix"),
-        round_half_up(_weighted(counts, SHEET) / length).cast("long").alias("sheet"),
-    )
-    none = (
-        F.lit(0).alias("length"),
-        F.lit(0).alias("mass"),
-        F.lit(7.0).alias("pi"),
-        F.lit(0.0).alias("gravy"),
-        F.lit(0).cast("long").alias("helix"),
-        F.lit(0).cast("long").alias("sheet"),
+        *[F.when(length > 0, v).otherwise(F.lit(empty[k])).alias(k) for k, v in stats.items()],
     )
-    return F.when(length == 0, F.struct(*none)).otherwise(F.struct(*stats))
 
 
 def sequential_mean(values: str) -> Column:

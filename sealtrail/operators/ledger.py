@@ -165,8 +165,12 @@ def lookup_one(ledger: DataFrame, object_id: str) -> DataFrame:
 
 
 def lookup(ledger: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of all ids in a one-column table of object ids."""
-    return ledger.join(ids.select("object_id"), "object_id", "left_semi")
+    """Rows of all ids in a one-column table of object ids.
+
+    Repeated ids collapse before the join, so an id asked for very often costs
+    one row there.
+    """
+    return ledger.join(ids.select("object_id").distinct(), "object_id", "left_semi")
 
 
 def union_ledgers(*ledgers: DataFrame) -> DataFrame:

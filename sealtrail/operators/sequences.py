@@ -18,15 +18,12 @@ def with_sequence(texts: DataFrame, text: str = "text", name: str = "sequence")
 def peptide_stats(
     sequences: DataFrame, keep: tuple[str, ...], sequence: str = "sequence"
 ) -> DataFrame:
-    """Statistics columns per sequence; row-wise, letters are counted once."""
-    counted = sequences.select(
-        *keep,
-        F.length(sequence).alias("n"),
-        A.letter_counts(sequence).alias("counts"),
+    """Statistics columns per sequence; row-wise, one pass over its letters."""
+    summed = sequences.select(
+        *keep, F.length(sequence).alias("n"), A.residue_sums(sequence).alias("sums")
     )
-    return counted.select(
-        *keep, Q.peptide_stats(F.col("n"), F.col("counts")).alias("stats")
-    ).select(*keep, "stats.*")
+    stats = Q.peptide_stats(F.col("n"), F.col("sums"))
+    return summed.select(*keep, stats.alias("stats")).select(*keep, "stats.*")
 
 
 def residue_positions(
@@ -142,8 +139,7 @@ def coefficient_sums(sequences: DataFrame, key: str, sequence: str = "sequence")
     The coefficient table has one row per residue letter, so it is broadcast;
     letters outside it count 0.
     """
-    scales = [Q.hundredths(s) for s in (Q.HYDROPATHY, Q.HELIX, Q.SHEET)]
-    names = ("hydropathy", "helix", "sheet")
+    scales = [Q.hundredths(s) for s in Q.SCALES.values()]
     table = sequences.sparkSession.createDataFrame(
         [(letter, *[s[letter] for s in scales]) for letter in scales[0]],
         "residue string, hydropathy int, helix int, sheet int",
@@ -152,5 +148,5 @@ def coefficient_sums(sequences: DataFrame, key: str, sequence: str = "sequence")
         F.broadcast(table), "residue", "left"
     )
     return found.groupBy(key).agg(
-        *[F.sum(F.coalesce(F.col(n), F.lit(0))).alias(f"{n}_sum") for n in names]
+        *[F.sum(F.coalesce(F.col(n), F.lit(0))).alias(f"{n}_sum") for n in Q.SCALES]
     )

@@ -34,6 +34,10 @@ def _with_batch(schema: T.StructType) -> T.StructType:
     return T.StructType([*schema.fields, T.StructField("batch_no", T.LongType())])
 
 
+def _range_of(state: Row) -> MountainRange:
+    return MountainRange(state.leaf_count, tuple(state.peaks))
+
+
 class LedgerTable:
     """Append-only ledger with an incrementally kept root."""
 
@@ -96,20 +100,26 @@ class LedgerTable:
         if last is not None and last.leaf_count > 0:
             fresh = self._unknown(fresh.checkpoint(), last)
         added, count = number_rows(fresh, first_seq)
-        added.write.mode("overwrite").parquet(f"{self.path}/rows/batch_no={batch_no}")
-
-        bounds = self._batch(batch_no).agg(
-            F.min("created_locally_at_utc").alias("low"),
-            F.max(F.struct(*S.LEDGER_ORDER)).alias("high"),
-        ).first()
-        summary, high = self._new_range(last, batch_no, count, bounds)
+        low, high = None, (None, -1) if last is None else (last.last_created, last.last_seq)
+        # Also without new rows: a failed attempt may have left some behind.
+        self._write_rows(added, batch_no)
+        if count == 0:
+            summary = MountainRange() if last is None else _range_of(last)
+        else:
+            bounds = self._batch(batch_no).agg(
+                F.min("created_locally_at_utc").alias("low"),
+                F.max(F.struct(*S.LEDGER_ORDER)).alias("high"),
+            ).first()
+            low, newest = bounds.low, tuple(bounds.high)
+            high = newest if high[0] is None else max(high, newest)
+            summary = self._new_range(last, batch_no, first_seq, count, low)
         state = (
             summary.root,
             summary.leaf_count,
             updated_at_utc or utc_now(),
             list(summary.peaks),
             count,
-            bounds.low,
+            low,
             high[0],
             high[1],
             first_seq + count,
@@ -133,49 +143,42 @@ class LedgerTable:
             f"{self.path}/rows/batch_no={batch_no}"
         )
 
+    def _write_rows(self, rows: DataFrame, batch_no: int) -> None:
+        """Write a batch with Bloom filters on the id, so a look-up skips most files."""
+        (
+            rows.write.mode("overwrite")
+            .option("parquet.bloom.filter.enabled#object_id", "true")
+            .option("parquet.bloom.filter.adaptive.enabled", "true")
+            .parquet(f"{self.path}/rows/batch_no={batch_no}")
+        )
+
     def _new_range(
-        self, last: Row | None, batch_no: int, count: int, bounds: Row
-    ) -> tuple[MountainRange, tuple[str | None, int]]:
-        """Range and last key after a batch, re-folding only the changed tail.
+        self, last: Row | None, batch_no: int, first_seq: int, count: int, low: str
+    ) -> MountainRange:
+        """Range after a batch, re-folding only the changed tail.
 
         A row dated in the past moves every later leaf, but leaves before it
         keep their places.  So the fold restarts from the newest snapshot all
         of whose rows still come before everything added since.
         """
-        base = MountainRange()
-        key: tuple[str | None, int] = (None, -1)
-        kept_batch = -1
-        if last is not None:
-            newest = (last.last_created, last.last_seq)
-            if count == 0:
-                return MountainRange(last.leaf_count, tuple(last.peaks)), newest
-            kept = self._newest_prefix(bounds.low)
-            if kept is not None:
-                base = MountainRange(kept.leaf_count, tuple(kept.peaks))
-                key = (kept.last_created, kept.last_seq)
-                kept_batch = kept.batch_no
-        if count == 0:
-            return base, key
-        if last is None or kept_batch == last.batch_no:
+        kept = None if last is None else self._newest_prefix(low)
+        base = MountainRange() if kept is None else _range_of(kept)
+        if last is None or (kept is not None and kept.batch_no == last.batch_no):
             # All of the batch comes last, and its numbers follow its order.
-            first_seq = 0 if last is None else last.next_seq
             place = F.col("ingest_seq") + (base.leaf_count - first_seq)
             tail, size = self._batch(batch_no).withColumn("leaf_index", place), count
         else:
-            tail, size = self._tail(batch_no, key)
+            tail, size = self._tail(batch_no, kept)
             tail = tail.withColumn("leaf_index", F.col("leaf_index") + base.leaf_count)
-        summary = base.extended(perfect_trees(tail, base.leaf_count, base.leaf_count + size))
-        high = (bounds.high["created_locally_at_utc"], bounds.high["ingest_seq"])
-        if last is not None and last.last_created is not None:
-            high = max(high, (last.last_created, last.last_seq))
-        return summary, high
-
-    def _tail(self, batch_no: int, key: tuple[str | None, int]) -> tuple[DataFrame, int]:
-        """Leaves after a key up to a batch, with their place among them."""
+        return base.extended(perfect_trees(tail, base.leaf_count, base.leaf_count + size))
+
+    def _tail(self, batch_no: int, after: Row | None) -> tuple[DataFrame, int]:
+        """Leaves after a snapshot's last one, up to a batch, with their place among them."""
         rows = self._read("rows", S.LEDGER_SCHEMA).where(F.col("batch_no") <= batch_no)
-        if key[0] is not None:
+        if after is not None:
             created, seq = F.col("created_locally_at_utc"), F.col("ingest_seq")
-            rows = rows.where((created >= key[0]) & ((created > key[0]) | (seq > key[1])))
+            later = (created > after.last_created) | (seq > after.last_seq)
+            rows = rows.where((created >= after.last_created) & later)
         return with_dense_index(rows.select(*S.LEDGER_ORDER, "leaf_hash"), list(S.LEDGER_ORDER))
 
     def _newest_prefix(self, lowest_created: str) -> Row | None:

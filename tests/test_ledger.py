@@ -125,6 +125,14 @@ def test_uncommitted_batch_is_invisible_and_overwritten(table, spark):
     assert summary.root == root_by_hand([[("a", "1")], [("b", "2")]])
 
 
+def test_left_over_rows_do_not_join_an_empty_batch(table, spark):
+    table.append(rows_of(spark, [("a", "1")]))
+    left_over = ledger.number_rows(rows_of(spark, [("x", "9")]), 1)[0]
+    left_over.write.parquet(f"{table.path}/rows/batch_no=1")
+    table.append(rows_of(spark, [("a", "1")]))
+    assert [r.object_id for r in table.rows().collect()] == ["a"]
+
+
 def test_large_batches_join_without_broadcast(table, spark, monkeypatch):
     monkeypatch.setattr(ledger, "MAX_BROADCAST_IDS", 3)
     table.append(rows_of(spark, [(f"r{i}", "1") for i in range(10)]))
