@@ -55,7 +55,7 @@ def with_envelope(
         .withColumns(
             {
                 "bytes_sha256": H.payload_hash(F.col("payload")),
-                "byte_length": F.octet_length("payload"),
+                "byte_length": F.octet_length("payload").cast("long"),
             }
         )
         .withColumn(

@@ -20,7 +20,7 @@ def peptide_stats(
 ) -> DataFrame:
     """Statistics columns per sequence; row-wise, one pass over its letters."""
     summed = sequences.select(
-        *keep, F.length(sequence).alias("n"), A.residue_sums(sequence).alias("sums")
+        *keep, F.length(sequence).cast("long").alias("n"), A.residue_sums(sequence).alias("sums")
     )
     stats = Q.peptide_stats(F.col("n"), F.col("sums"))
     return summed.select(*keep, stats.alias("stats")).select(*keep, "stats.*")

@@ -13,6 +13,7 @@ from sealtrail.functions import text as X
 from sealtrail.operators import sealing
 from sealtrail.operators.ordering import ensure_checkpoint_dir
 from sealtrail.profile import SealProfile
+from sealtrail.sources.splits import spread_small
 
 # A made-up key fingerprint and author.
 PROFILE = SealProfile(
@@ -27,11 +28,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table for heavy work per row."""
+    return spread_small(table(spark, sf_dir, name))
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder beside the cluster's checkpoints."""
     return f"{ensure_checkpoint_dir(spark)}/sealtrail-{uuid.uuid4().hex}"
 
 
+def stored(rows: DataFrame) -> DataFrame:
+    """The rows written to a table and read back, as a ledger would be kept."""
+    folder = f"{scratch(rows.sparkSession)}/table"
+    rows.write.parquet(folder)
+    return rows.sparkSession.read.schema(rows.schema).parquet(folder)
+
+
 def after_base(seconds: Column) -> Column:
     """ISO text of a fixed start time plus seconds."""
     base = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
@@ -66,7 +79,7 @@ def exchange_ledger(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
 
 def event_ledger(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
     """Ledger of device events, as devices would pre-seal them."""
-    return event_ledger_of(table(spark, sf_dir, "events"), *keep)
+    return event_ledger_of(spread(spark, sf_dir, "events"), *keep)
 
 
 def event_ledger_of(events: DataFrame, *keep: str) -> DataFrame:
@@ -137,13 +150,13 @@ def sync_requests(events: DataFrame) -> DataFrame:
 def sent_requests(spark: SparkSession, sf_dir: str) -> str:
     """Folder of Parquet files with the requests, as a device gateway leaves them."""
     folder = f"{scratch(spark)}/requests"
-    sync_requests(table(spark, sf_dir, "events")).write.parquet(folder)
+    sync_requests(spread(spark, sf_dir, "events")).write.parquet(folder)
     return folder
 
 
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Residue sequences: the letters of each document's text."""
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    documents = spread(spark, sf_dir, "documents")
     return documents.select("doc_id", Q.sanitize_sequence(F.col("text")).alias("sequence"))
 
 
@@ -165,7 +178,7 @@ def structure_files(spark: SparkSession, sf_dir: str) -> str:
     Most lines are atom records; some are other records, too short, or without
     a number.  The order key and line number stand in columns 21-32 and 41-44.
     """
-    rows = table(spark, sf_dir, "lineitem")
+    rows = spread(spark, sf_dir, "lineitem")
     number = F.concat(
         F.col("l_quantity").cast("int").cast("string"),
         F.lit("."),

@@ -39,6 +39,10 @@ def rounded(value, digits: int = 6):
     return F.round(value, digits) + F.lit(0.0)
 
 
+def as_long(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("long") for c in columns})
+
+
 # --- ledger: scans, append, state, sync -----------------------------------------------
 
 
@@ -50,7 +54,7 @@ def ledger_scan(spark, sf_dir):
 
 @query
 def ledger_lookup(spark, sf_dir):
-    rows = I.exchange_ledger(spark, sf_dir)
+    rows = I.stored(I.exchange_ledger(spark, sf_dir))
     asked = integrity.parent_edges(rows).select(F.col("parent").alias("object_id"))
     return ledger.lookup(rows, asked).select("object_id", "object_type", "node_id", "fco_root")
 
@@ -149,7 +153,7 @@ def _seed_turns(spark, sf_dir):
 @query
 def seed_if_empty(spark, sf_dir):
     seed = sealing.seal_seed_turns(_seed_turns(spark, sf_dir), I.PROFILE)
-    full = I.turn_ledger(spark, sf_dir)
+    full = I.stored(I.turn_ledger(spark, sf_dir))
     empty = full.where(F.col("ingest_seq") < 0)
 
     def case(name, before):
@@ -210,8 +214,10 @@ def seed_samples(spark, sf_dir):
 def _atoms(spark, sf_dir):
     """Numbers of the atom lines in structure files, with the keys in each line."""
     lines = read_lines(spark, I.structure_files(spark, sf_dir))
-    key = lambda at, chars: F.btrim(F.substring("value", at, chars)).cast("long")
-    keyed = lines.withColumns({"l_orderkey": key(21, 12), "l_linenumber": key(41, 4)})
+    key = lambda at, chars: F.btrim(F.substring("value", at, chars))
+    keyed = lines.withColumns(
+        {"l_orderkey": key(21, 12).cast("long"), "l_linenumber": key(41, 4).cast("int")}
+    )
     return fixed_width_atoms(keyed, ("l_orderkey", "l_linenumber"))
 
 
@@ -377,7 +383,7 @@ def parent_edges(spark, sf_dir):
 @query
 def dangling_parents(spark, sf_dir):
     """Edges left without a parent once the opening human turns are missing."""
-    rows = I.exchange_ledger(spark, sf_dir, "role", "turn")
+    rows = I.stored(I.exchange_ledger(spark, sf_dir, "role", "turn"))
     return integrity.dangling_parents(rows.where((F.col("role") == "agent") | (F.col("turn") > 0)))
 
 
@@ -387,13 +393,13 @@ def dangling_parents(spark, sf_dir):
 @query
 def cosine_pairs(spark, sf_dir):
     pairs = similarity.cosine_pairs(I.table(spark, sf_dir, "embeddings"))
-    return pairs.withColumn("value", rounded("value"))
+    return as_long(pairs, "i", "j").withColumn("value", rounded("value"))
 
 
 @query
 def minmax_scale(spark, sf_dir):
     pairs = similarity.minmax_scale(I.table(spark, sf_dir, "embeddings"))
-    return pairs.withColumn("value", rounded("value"))
+    return as_long(pairs, "i", "j").withColumn("value", rounded("value"))
 
 
 # --- sequences and texts --------------------------------------------------------------
@@ -406,13 +412,13 @@ def sanitize_sequence(spark, sf_dir):
 
 @query
 def residue_position(spark, sf_dir):
-    return sequences.residue_positions(I.sequences(spark, sf_dir), ("doc_id",))
+    return as_long(sequences.residue_positions(I.sequences(spark, sf_dir), ("doc_id",)), "pos")
 
 
 @query
 def residue_confidence(spark, sf_dir):
     rows = sequences.residue_confidence(I.sequences(spark, sf_dir), ("doc_id",))
-    return rows.withColumn("value", rounded("value"))
+    return as_long(rows, "pos").withColumn("value", rounded("value"))
 
 
 @query
@@ -438,14 +444,15 @@ def risk_sequence(spark, sf_dir):
 
 @query
 def threat_text(spark, sf_dir):
-    documents = I.table(spark, sf_dir, "documents")
+    documents = I.spread(spark, sf_dir, "documents")
     return sequences.threat_text(documents, ("doc_id",), pattern=SAMPLE_THREATS)
 
 
 @query
 def text_chunks(spark, sf_dir):
-    documents = I.table(spark, sf_dir, "documents")
-    return sequences.text_chunks(documents, ("doc_id",), separator=r"\n+")
+    documents = I.spread(spark, sf_dir, "documents")
+    rows = sequences.text_chunks(documents, ("doc_id",), separator=r"\n+")
+    return as_long(rows, "chars", "chunks", "chunk_no")
 
 
 @query
@@ -641,7 +648,7 @@ def round_half_up(spark, sf_dir):
 @query
 def js_number(spark, sf_dir):
     value = F.col("l_extendedprice")
-    return I.table(spark, sf_dir, "lineitem").select(
+    return I.spread(spark, sf_dir, "lineitem").select(
         "l_orderkey",
         "l_linenumber",
         J.js_number(F.col("l_quantity")).alias("whole"),
@@ -676,7 +683,8 @@ def stream_sync(spark, sf_dir):
 
 @query
 def stream_root(spark, sf_dir):
-    return _synced_table(spark, sf_dir).states().select("batch_no", "leaf_count", "merkle_root")
+    states = _synced_table(spark, sf_dir).states()
+    return states.select(F.col("batch_no").cast("int"), "leaf_count", "merkle_root")
 
 
 @query

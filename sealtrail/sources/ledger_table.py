@@ -113,22 +113,17 @@ class LedgerTable:
             low, newest = bounds.low, tuple(bounds.high)
             high = newest if high[0] is None else max(high, newest)
             summary = self._new_range(last, batch_no, first_seq, count, low)
-        state = (
-            summary.root,
-            summary.leaf_count,
-            updated_at_utc or utc_now(),
-            list(summary.peaks),
-            count,
-            low,
-            high[0],
-            high[1],
-            first_seq + count,
-        )
-        (
-            self.spark.createDataFrame([state], S.STATE_SCHEMA)
-            .coalesce(1)
-            .write.mode("overwrite")
-            .parquet(f"{self.path}/state/batch_no={batch_no}")
+        self._write_state(
+            batch_no,
+            merkle_root=summary.root,
+            leaf_count=summary.leaf_count,
+            updated_at_utc=updated_at_utc or utc_now(),
+            peaks=list(summary.peaks),
+            rows_added=count,
+            min_created=low,
+            last_created=high[0],
+            last_seq=high[1],
+            next_seq=first_seq + count,
         )
         return summary
 
@@ -152,6 +147,12 @@ class LedgerTable:
             .parquet(f"{self.path}/rows/batch_no={batch_no}")
         )
 
+    def _write_state(self, batch_no: int, **values) -> None:
+        """Commit a batch."""
+        columns = [F.lit(values[f.name]).cast(f.dataType).alias(f.name) for f in S.STATE_SCHEMA]
+        row = self.spark.range(1, numPartitions=1).select(*columns)
+        row.write.mode("overwrite").parquet(f"{self.path}/state/batch_no={batch_no}")
+
     def _new_range(
         self, last: Row | None, batch_no: int, first_seq: int, count: int, low: str
     ) -> MountainRange:
