@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sealtrail.schema import CHUNK_CHARS, HEAD_LINES, PREVIEW_CHARS
+from sealtrail.schema import CHUNK_CHARS, HEAD_LINES, PREVIEW_CHARS, TAIL_LINES
 
 # Fixed set: the characters JavaScript's trim() removes.
 _JS_SPACE = (
@@ -142,6 +142,10 @@ def head_lines(text: Column, lines: int = HEAD_LINES) -> Column:
     return F.substring_index(text, "\n", lines)
 
 
+def tail_lines(text: Column, lines: int = TAIL_LINES) -> Column:
+    return F.substring_index(text, "\n", -lines)
+
+
 def text_chunks(
     text: Column, separator: str = r"\n\n+", max_chars: int = CHUNK_CHARS
 ) -> Column:

@@ -355,6 +355,8 @@ SELECT object_id, content_leaf, fco_root, {node_leaf("'plddt/' || acc || '/' ||
   FROM sealed""",
     "fixed_width_atoms": f"WITH {LINES} SELECT * FROM atoms",
     "head_lines": """SELECT doc_id, array_to_string(list_slice(string_split(text, chr(10)), 1, 400), chr(10)) AS head
+  FROM documents""",
+    "tail_lines": """SELECT doc_id, array_to_string(list_slice(string_split(text, chr(10)), -12, -1), chr(10)) AS tail
   FROM documents""",
     "live_rows": f"""WITH {TURN_LEDGER} SELECT object_id, object_type, fco_root, device_id, device_type,
   created_locally_at_utc, payload_preview FROM led ORDER BY created_locally_at_utc DESC, ingest_seq DESC LIMIT 12""",

@@ -43,6 +43,14 @@ def as_long(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("long") for c in columns})
 
 
+def count_both(one: DataFrame, two: DataFrame, first: str, second: str) -> DataFrame:
+    """One row with the row counts of two DataFrames."""
+    marked = one.select(F.lit(1).alias("side")).unionByName(two.select(F.lit(2).alias("side")))
+    return marked.agg(
+        F.count_if(F.col("side") == 1).alias(first), F.count_if(F.col("side") == 2).alias(second)
+    )
+
+
 # --- ledger: scans, append, state, sync -----------------------------------------------
 
 
@@ -157,9 +165,9 @@ def seed_if_empty(spark, sf_dir):
     empty = full.where(F.col("ingest_seq") < 0)
 
     def case(name, before):
-        after = ledger.seed_if_empty(before, seed)
-        counts = before.agg(F.count("*").alias("rows_before"))
-        counts = counts.crossJoin(after.agg(F.count("*").alias("rows_after")))
+        counts = count_both(
+            before, ledger.seed_if_empty(before, seed), "rows_before", "rows_after"
+        )
         return counts.select(F.lit(name).alias("ledger"), "rows_before", "rows_after")
 
     return case("empty", empty).unionByName(case("full", full))
@@ -168,9 +176,7 @@ def seed_if_empty(spark, sf_dir):
 @query
 def seed_counts(spark, sf_dir):
     seed = sealing.seal_seed_turns(_seed_turns(spark, sf_dir), I.PROFILE)
-    seeded = seed.agg(F.count("*").alias("seeded"))
-    rows = ledger.valid_rows(seed)
-    return seeded.crossJoin(reports.leaf_count(rows))
+    return count_both(seed, ledger.valid_rows(seed), "seeded", "leaf_count")
 
 
 # --- sealing --------------------------------------------------------------------------
@@ -255,6 +261,13 @@ def head_lines(spark, sf_dir):
     )
 
 
+@query
+def tail_lines(spark, sf_dir):
+    return I.table(spark, sf_dir, "documents").select(
+        "doc_id", X.tail_lines(F.col("text")).alias("tail")
+    )
+
+
 # --- reports --------------------------------------------------------------------------
 
 

@@ -105,4 +105,5 @@ TOUCH_PREVIEW_CHARS = 100
 RECENT_ROWS = 12
 CHUNK_CHARS = 4500
 HEAD_LINES = 400
+TAIL_LINES = 12
 HEATMAP_ITEMS = 64

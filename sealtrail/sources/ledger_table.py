@@ -183,7 +183,10 @@ class LedgerTable:
         return with_dense_index(rows.select(*S.LEDGER_ORDER, "leaf_hash"), list(S.LEDGER_ORDER))
 
     def _newest_prefix(self, lowest_created: str) -> Row | None:
-        """The newest snapshot that is still a prefix once this batch is in."""
+        """The newest snapshot that is still a prefix once this batch is in.
+
+        The window runs over one small row per batch.
+        """
         following = Window.orderBy("batch_no").rowsBetween(1, Window.unboundedFollowing)
         later = F.min("min_created").over(following)
         lowest = F.least(later, F.lit(lowest_created))

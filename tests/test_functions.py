@@ -121,11 +121,13 @@ def test_text_formatting(spark):
         X.plural_label(F.lit(1)), X.plural_label(F.lit(0)),
         X.node_device(F.lit("phone/turn/x")), X.js_trim(F.lit("﻿ \n a b 　")),
         X.head_lines(F.lit("1\n2\n3"), 2), X.head_lines(F.lit("1\n2"), 5),
+        X.tail_lines(F.lit("1\n2\n3"), 2), X.tail_lines(F.lit("1"), 2),
         X.turn_preview(F.lit("human"), F.lit("web"), F.lit("y" * 161)),
     ).first()
     assert tuple(row) == (
         "2024-01-02T03:04:05.678Z", "2024-01-02T03:04:05.000Z", "03:04:05", "01:04:05", None,
         "abc", "abc…", "1 FCO", "0 FCOs", "phone", "a b", "1\n2", "1\n2",
+        "2\n3", "1",
         "human via web: " + "y" * 160 + "...",
     )
 
