@@ -9,22 +9,41 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sealtrail.llm import exact_dedup, packing
+from sealtrail.llm import exact_dedup, language_id, near_dedup, packing, secrets
 from sealtrail.llm.common import stored, table
 from sealtrail.llm.queries import vocabulary
 
 
+def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents without any language: null text, or no letter in it."""
+    found = language_id.identify(docs, language_id.train(docs), keep=True)
+    return found.where(F.col("lang_pred") != "und").select(*docs.columns)
+
+
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.without_copies(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dedup.without_near_copies(docs)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents stay; the text of each secret in them is masked."""
+    return secrets.redact(docs)
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, vocabulary())
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", keep_identified),
     ("exact_dedup", drop_exact_copies),
+    ("near_dedup", drop_near_copies),
+    ("secrets", mask_secrets),
     ("packing", pack_sequences),
 ]
 

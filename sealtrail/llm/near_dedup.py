@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sealtrail.llm.common import slices, stored, utf8
+from sealtrail.llm.words import FACTOR, mixed, word_hashes
 
 WORDS = 2
 SIMILARITY = 80  # per cent
@@ -39,53 +40,19 @@ BASE, RATE, TOP = 1.001, 20.0, 65534
 LEAST_LOG_RATIO = -12.5
 
 _RANDOM = np.random.Generator(np.random.PCG64(20240229))
-_LETTERS = _RANDOM.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_LETTERS[65:91] = _LETTERS[97:123]  # A-Z as a-z
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_FACTOR = 0x9E3779B97F4A7C15
 _SPREAD = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BAND_MARKS = _RANDOM.integers(0, 1 << 63, BANDS, dtype=np.uint64)
 
 
-def _powers(factor: int, size: int) -> np.ndarray:
-    out = np.full(size, factor, np.uint64)
-    if size:
-        out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def shingle_sets(raw: np.ndarray, starts: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of all texts, and where each text's begin.
 
-    A word's hash is a polynomial in its bytes, a shingle's one in its words;
-    a text with fewer words than a shingle is one shingle.
+    A text with fewer words than a shingle is one shingle.
     """
     texts = len(starts) - 1
-    inside = np.zeros(len(raw) + 2, np.int8)
-    inside[1:-1] = ~_SPACE[raw]
-    edges = np.diff(inside)
-    # A text's start also begins a word, and ends the one before.
-    first, last = edges[:-1] == 1, edges[1:] == -1
-    if len(raw):
-        cuts = starts[1:-1]
-        cuts = cuts[(cuts > 0) & (cuts < len(raw))]
-        whole = cuts[(inside[1:-1][cuts] == 1) & (inside[1:-1][cuts - 1] == 1)]
-        first[whole], last[whole - 1] = True, True
-    begin, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    begin, _, word, text_of = word_hashes(raw, starts)
     if not len(begin):
         return np.empty(0, np.uint64), np.zeros(texts + 1, np.int64)
-    powers = _powers(_FACTOR, len(raw))
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_LETTERS[raw] * powers)])
-    back = _powers(pow(_FACTOR, -1, 1 << 64), len(raw))
-    word = _mixed((total[end] - total[begin]) * back[begin] + (end - begin).astype(np.uint64))
-    text_of = np.searchsorted(starts, begin, "right") - 1
     per_text = np.bincount(text_of, minlength=texts)
     word_start = np.concatenate([[0], np.cumsum(per_text)])
     made = np.where(per_text >= words, per_text - words + 1, np.minimum(per_text, 1))
@@ -96,7 +63,7 @@ def shingle_sets(raw: np.ndarray, starts: np.ndarray, words: int = WORDS) -> tup
     shingle = size.astype(np.uint64)
     for k in range(words):
         there = k < size
-        shingle = np.where(there, _mixed(shingle * np.uint64(_FACTOR) + word[np.minimum(at + k, len(word) - 1)]), shingle)
+        shingle = np.where(there, mixed(shingle * np.uint64(FACTOR) + word[np.minimum(at + k, len(word) - 1)]), shingle)
     order = np.lexsort((shingle, owner))
     owner, shingle = owner[order], shingle[order]
     new = np.ones(len(shingle), bool)
@@ -133,7 +100,7 @@ def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
         for batch in slices(batches, "text", 1 << 21):
             items, starts = shingle_sets(*utf8(batch.column(1)))
             made = registers(items, starts)
-            keys = (made.reshape(-1, BANDS, ROWS).view(np.uint64)[:, :, 0] ^ _BAND_MARKS) * np.uint64(_FACTOR)
+            keys = (made.reshape(-1, BANDS, ROWS).view(np.uint64)[:, :, 0] ^ _BAND_MARKS) * np.uint64(FACTOR)
             lists = pa.ListArray.from_arrays(
                 pa.array(np.arange(len(made) + 1) * BANDS, pa.int32()), pa.array(keys.ravel().view(np.int64))
             )
