@@ -5,8 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
-from sealtrail.llm import bpe, exact_dedup, language_id, near_dedup, packing, quality, secrets
+from pyspark.sql import functions as F
+
+from sealtrail.llm import (
+    bpe,
+    exact_dedup,
+    language_id,
+    licences,
+    near_dedup,
+    nearest,
+    packing,
+    quality,
+    secrets,
+    url_filter,
+)
 from sealtrail.llm.common import table
 
 
@@ -32,6 +44,19 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_copies(table(spark, sf_dir, "documents"))
 
 
+def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return licences.licences(docs, licences.train(docs))
+
+
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
@@ -51,6 +76,9 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_near_dedup": op4_near_dedup,
+    "op5_licences": op5_licences,
+    "op6_nearest": op6_nearest,
+    "op7_url_filter": op7_url_filter,
     "op8_quality": op8_quality,
     "op9_packing": op9_packing,
     "op10_language_id": op10_language_id,
