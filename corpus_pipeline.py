@@ -12,14 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sealtrail.llm import exact_dedup, language_id, near_dedup, packing, secrets
-from sealtrail.llm.common import stored, table
+from sealtrail.llm.common import free_name, stored, table
 from sealtrail.llm.queries import vocabulary
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without any language: null text, or no letter in it."""
     found = language_id.identify(docs, language_id.train(docs), keep=True)
-    return found.where(F.col("lang_pred") != "und").select(*docs.columns)
+    return found.where(F.col(free_name(docs, "lang_pred")) != "und").select(*docs.columns)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -44,6 +44,14 @@ def stored(rows: DataFrame) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(folder)
 
 
+def free_name(rows: DataFrame, wanted: str) -> str:
+    """The wanted column name, or a longer one if the input has it already."""
+    taken = {c.lower() for c in rows.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a text column, and each row's start (one more than rows); null counts as empty."""
     wide = column.cast(pa.large_string()).fill_null("")

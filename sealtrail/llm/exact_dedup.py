@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sealtrail.llm.common import stored
+from sealtrail.llm.common import free_name, stored
 
 # A digest with more than 1 / (COUNTERS + 1) of all rows is certain to be found.
 COUNTERS = 1024
@@ -107,6 +107,7 @@ def without_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         mark_copies(docs, doc_id, text).where("kept")
         .select(F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_key"))
     )
-    keyed = with_digest(docs, text)
-    same = keyed["_digest"].eqNullSafe(kept["_key"]) & keyed[doc_id].eqNullSafe(kept["_id"])
-    return keyed.join(kept, same, "left_semi").dropDuplicates([doc_id, "_digest"]).select(*names)
+    digest = free_name(docs, "_digest")
+    keyed = with_digest(docs, text, digest)
+    same = keyed[digest].eqNullSafe(kept["_key"]) & keyed[doc_id].eqNullSafe(kept["_id"])
+    return keyed.join(kept, same, "left_semi").dropDuplicates([doc_id, digest]).select(*names)

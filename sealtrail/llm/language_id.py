@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sealtrail.llm.common import slices
+from sealtrail.llm.common import free_name, slices
 
 WINDOW = 240
 WIDTHS = (2, 3, 4)
@@ -35,7 +35,7 @@ FILTERS = 16
 DIMENSION = 8
 LEARN_DOCS = 500
 LEARN_WINDOWS = 3
-EPOCHS = 8
+STEPS, BATCH = 360, 128
 FOLDS, HELD_OUT = 4, 2
 
 _LETTER = re.compile(r"[^\W\d_]")
@@ -136,17 +136,16 @@ class Network:
         random = np.random.default_rng(seed)
         mean = {k: np.zeros_like(v) for k, v in self.parts.items()}
         square = {k: np.zeros_like(v) for k, v in self.parts.items()}
-        step = 0
-        for _ in range(EPOCHS):
-            order = random.permutation(len(rows))
-            for at in range(0, len(rows), 128):
-                step += 1
-                chosen = order[at : at + 128]
-                for k, g in self.gradients(rows[chosen], labels[chosen]).items():
-                    mean[k] += 0.1 * (g - mean[k])
-                    square[k] += 0.001 * (g * g - square[k])
-                    rate = 0.004 * (1 - 0.999**step) ** 0.5 / (1 - 0.9**step)
-                    self.parts[k] -= rate * mean[k] / (np.sqrt(square[k]) + 1e-8)
+        order = np.empty(0, np.int64)
+        for step in range(1, STEPS + 1):
+            while len(order) < BATCH:
+                order = np.concatenate([order, random.permutation(len(rows))])
+            chosen, order = order[:BATCH], order[BATCH:]
+            for k, g in self.gradients(rows[chosen], labels[chosen]).items():
+                mean[k] += 0.1 * (g - mean[k])
+                square[k] += 0.001 * (g * g - square[k])
+                rate = 0.004 * (1 - 0.999**step) ** 0.5 / (1 - 0.9**step)
+                self.parts[k] -= rate * mean[k] / (np.sqrt(square[k]) + 1e-8)
 
     def documents(self, texts: list[bytes]) -> np.ndarray:
         """Chances of each language for each text; rows of texts without bytes are zero."""
@@ -196,7 +195,11 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
 def identify(
     docs: DataFrame, network: Network | None, doc_id: str = "doc_id", text: str = "text", keep: bool = False
 ) -> DataFrame:
-    """One row per document: doc_id, held_out, lang_pred, score; with ``keep``, all columns and the last two."""
+    """One row per document: doc_id, held_out, lang_pred, score.
+
+    With ``keep``, all columns of ``docs`` and the last two, whose names get
+    underscores where they are taken.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
@@ -211,7 +214,7 @@ def identify(
             names = [n for n in batch.schema.names if keep or n != text]
             columns = [batch.column(batch.schema.get_field_index(n)) for n in names]
             yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(best, pa.string()), pa.array(score, pa.float64())], [*names, "lang_pred", "score"]
+                [*columns, pa.array(best, pa.string()), pa.array(score, pa.float64())], [*names, *added]
             )
 
     if keep:
@@ -222,4 +225,5 @@ def identify(
         text = "text"
         left = [f for f in rows.schema.fields if f.name != "text"]
     schema = type(docs.schema)(list(left))
-    return rows.mapInArrow(run, schema.add("lang_pred", "string").add("score", "double"))
+    added = [free_name(docs, "lang_pred"), free_name(docs, "score")] if keep else ["lang_pred", "score"]
+    return rows.mapInArrow(run, schema.add(added[0], "string").add(added[1], "double"))

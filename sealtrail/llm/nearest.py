@@ -61,7 +61,7 @@ def stop_ratio(certain: float = CERTAIN, freedom: int = PROJECTED) -> float:
 def usable(vectors: DataFrame, vec_id: str, vector: str) -> DataFrame:
     """vec_id and vec of the rows that take part, each pair once."""
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
-    rows = vectors.select(F.col(vec_id).alias("vec_id"), F.col(vector).alias("vec")).where(
+    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).alias("vec")).where(
         F.col("vec_id").isNotNull() & F.col("vec").isNotNull()
     )
     rows = rows.where(~F.exists("vec", bad)).where(F.exists("vec", lambda x: x != 0))

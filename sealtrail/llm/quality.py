@@ -33,7 +33,7 @@ CODE = 24
 GATE = 12
 LEARN_DOCS = 6000
 LEARN_PASSAGES = 32
-EPOCHS = 25
+STEPS, BATCH = 1500, 64
 FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.3
 
@@ -166,21 +166,20 @@ class Attention:
         random = np.random.default_rng(seed)
         first = {k: np.zeros_like(v) for k, v in self.parts.items()}
         second = {k: np.zeros_like(v) for k, v in self.parts.items()}
-        step = 0
-        for _ in range(EPOCHS):
-            order = random.permutation(len(labels))
-            for at in range(0, len(order), 64):
-                step += 1
-                chosen = order[at : at + 64]
-                size = bounds[chosen + 1] - bounds[chosen]
-                rows = np.concatenate([np.arange(bounds[i], bounds[i + 1]) for i in chosen])
-                found = self.gradients(x[rows], np.repeat(np.arange(len(chosen)), size), labels[chosen])
-                found["code"] += 1e-3 * self.parts["code"]
-                for k, g in found.items():
-                    first[k] += 0.1 * (g - first[k])
-                    second[k] += 0.001 * (g * g - second[k])
-                    rate = 0.003 * (1 - 0.999**step) ** 0.5 / (1 - 0.9**step)
-                    self.parts[k] -= rate * first[k] / (np.sqrt(second[k]) + 1e-8)
+        order = np.empty(0, np.int64)
+        for step in range(1, STEPS + 1):
+            while len(order) < BATCH:
+                order = np.concatenate([order, random.permutation(len(labels))])
+            chosen, order = order[:BATCH], order[BATCH:]
+            size = bounds[chosen + 1] - bounds[chosen]
+            rows = np.concatenate([np.arange(bounds[i], bounds[i + 1]) for i in chosen])
+            found = self.gradients(x[rows], np.repeat(np.arange(len(chosen)), size), labels[chosen])
+            found["code"] += 1e-3 * self.parts["code"]
+            for k, g in found.items():
+                first[k] += 0.1 * (g - first[k])
+                second[k] += 0.001 * (g * g - second[k])
+                rate = 0.003 * (1 - 0.999**step) ** 0.5 / (1 - 0.9**step)
+                self.parts[k] -= rate * first[k] / (np.sqrt(second[k]) + 1e-8)
 
     def scores(self, x: np.ndarray, owner: np.ndarray, bags: int) -> np.ndarray:
         return self.forward((x - self.mean) * self.scale, owner, bags)["score"].astype(np.float64)
