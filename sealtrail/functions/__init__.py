@@ -1 +1 @@
-"""Column functions: every one is a composition of Spark built-ins."""
+"""Column functions: compositions of Spark built-ins, but for ``residue_arrays``, which works on Arrow batches."""

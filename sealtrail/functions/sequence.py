@@ -89,7 +89,10 @@ def sequential_mean(values: str) -> Column:
 
 
 def prediction_statement(accession: Column, length: Column, mean_text: Column) -> Column:
-    """Claim sentence of a confidence prediction; the mean comes with two decimals."""
+    """Claim sentence of a confidence prediction; the mean comes with two decimals.
+
+    The sentence is a fixed value.
+    """
     return F.concat(
         F.lit("AlphaFold DB pLDDT for "),
         F.when(F.coalesce(F.length(accession), F.lit(0)) > 0, accession).otherwise(
@@ -104,7 +107,10 @@ def prediction_statement(accession: Column, length: Column, mean_text: Column) -
 
 
 def peptide_statement(assessment: Column) -> Column:
-    """Spoken report of a row with the peptide statistics columns."""
+    """Spoken report of a row with the peptide statistics columns.
+
+    The sentence is a fixed value.
+    """
     return F.concat(
         F.lit("Peptide analysis. Length: "), F.col("length").cast("string"),
         F.lit(" residues. Molecular weight: approximately "), F.col("mass").cast("string"),

@@ -12,43 +12,10 @@ from pyspark.sql import functions as F
 from sealtrail import schema as S
 from sealtrail.functions.text import cut
 from sealtrail.operators.ordering import with_dense_index
+from sealtrail.operators.required import REQUIRED_FIELDS, split_any_required, split_required
 from sealtrail.operators.sealing import optional
 
-# The required fields of each kind of request.
-REQUIRED_FIELDS = {
-    "seal": ("name", "sequence"),
-    "sync": ("object_id", "fco_root"),
-    "turn": ("role", "content"),
-    "chat": ("message",),
-    "chunk": ("text",),
-}
-
-# A batch of at most this many ids (about 100 bytes each) is broadcast to the
-# ledger scan; a larger one is joined with a shuffle.
-MAX_BROADCAST_IDS = 1_000_000
-
-
-def _filled(name: str) -> Column:
-    return F.coalesce(F.length(name) > 0, F.lit(False))
-
-
-def missing_fields(fields: Sequence[str]) -> Column:
-    """Names of required fields that are null or empty, comma separated."""
-    return F.concat_ws(",", *[F.when(~_filled(f), F.lit(f)) for f in fields])
-
-
-def split_required(df: DataFrame, fields: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Accepted rows, and rejected rows with a ``reason`` column."""
-    complete = reduce(and_, [_filled(f) for f in fields])
-    reason = F.concat(missing_fields(fields), F.lit(" required"))
-    return df.where(complete), df.where(~complete).withColumn("reason", reason)
-
-
-def split_any_required(df: DataFrame, fields: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """The same where one filled field of several is enough."""
-    complete = F.coalesce(*[F.when(_filled(f), F.lit(True)) for f in fields], F.lit(False))
-    reason = F.lit(" or ".join(fields) + " required")
-    return df.where(complete), df.where(~complete).withColumn("reason", reason)
+__all__ = ["REQUIRED_FIELDS", "split_any_required", "split_required"]
 
 
 def complete() -> Column:
@@ -98,13 +65,12 @@ def new_rows(
     return fresh.join(ledger.select("object_id"), "object_id", "left_anti").select(*batch.columns)
 
 
-def known_ids(ledger: DataFrame, ids: DataFrame, id_count: int) -> DataFrame:
+def known_ids(ledger: DataFrame, ids: DataFrame) -> DataFrame:
     """The ids that the ledger already has.
 
-    With few ids the ledger's id column is scanned once and never shuffled.
+    The ledger's id column is scanned once; whether the ids are broadcast to that
+    scan is left to their size at run time.
     """
-    if id_count <= MAX_BROADCAST_IDS:
-        ids = F.broadcast(ids)
     return ledger.select("object_id").join(ids, "object_id", "left_semi")
 
 

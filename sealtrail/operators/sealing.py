@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from sealtrail import schema as S
 from sealtrail.functions import hashing as H
 from sealtrail.functions import json_text as J
+from sealtrail.functions import residue_arrays as A
 from sealtrail.functions import sequence as Q
 from sealtrail.functions import text as X
+from sealtrail.operators.required import REQUIRED_FIELDS, all_filled
 from sealtrail.profile import SealProfile
 
 
@@ -122,7 +124,9 @@ def seal_turns(turns: DataFrame, profile: SealProfile, keep: tuple[str, ...] = (
 
     Input: role (human or agent), content, created_at_utc; device_id and
     device_type are optional.  ``keep`` names input columns to carry along.
+    Turns without a role or content are not sealed; ``split_required`` names why.
     """
+    turns = turns.where(all_filled(REQUIRED_FIELDS["turn"]))
     null_text = F.lit(None).cast("string")
     device_id, device_type = device_defaults(
         F.col("role"),
@@ -157,9 +161,14 @@ def seal_turns(turns: DataFrame, profile: SealProfile, keep: tuple[str, ...] = (
 
 
 def _with_place(samples: DataFrame) -> DataFrame:
-    return samples.withColumns(
-        {"lat": J.js_number(F.col("gps_lat")), "lng": J.js_number(F.col("gps_lng"))}
-    )
+    """Texts of the place; null and what is no number print as null, as in JSON."""
+
+    def printed(name: str) -> Column:
+        value = F.col(name).cast("double")
+        finite = F.abs(value) < float("inf")
+        return F.coalesce(F.when(finite, J.js_number(value)), F.lit("null"))
+
+    return samples.withColumns({"lat": printed("gps_lat"), "lng": printed("gps_lng")})
 
 
 def sample_payload(custodian: Column, assessment: Column | None = None) -> Column:
@@ -181,8 +190,10 @@ def seal_samples(samples: DataFrame, profile: SealProfile, keep: tuple[str, ...]
     """Seal field samples.
 
     Input: name, sequence, gps_lat, gps_lng, created_at_utc; custodian,
-    device_id and device_type are optional.
+    device_id and device_type are optional.  Samples without a name or sequence
+    are not sealed; ``split_required`` names why.
     """
+    samples = samples.where(all_filled(REQUIRED_FIELDS["seal"]))
     rows = _with_place(samples).withColumns(
         {
             "custodian": optional(samples, "custodian", F.lit(profile.author)),
@@ -301,6 +312,28 @@ def prediction_payload() -> Column:
     return J.js_escapes(text)
 
 
+def choose_predictions(requests: DataFrame, structures: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Confidences for requests with an accession or a sequence, and their source.
+
+    ``structures`` has one row (accession, confidence) per structure read.  Its
+    numbers count if there are any; else the residues' stand-in does.  Requests
+    with neither are dropped.
+    """
+    known = structures.where(F.size("confidence") > 0).select("accession", F.col("confidence").alias("_read"))
+    found = F.col("_read").isNotNull()
+    return (
+        requests.join(known, "accession", "left")
+        .withColumn("_made", A.confidence_array(F.when(~found, F.col("sequence"))))
+        .select(
+            *keep,
+            "accession",
+            F.when(found, F.lit(S.STRUCTURE_SOURCE)).otherwise(F.lit(S.FALLBACK_SOURCE)).alias("source"),
+            F.when(found, F.col("_read")).otherwise(F.col("_made")).alias("confidence"),
+        )
+        .where(F.size("confidence") > 0)
+    )
+
+
 def seal_predictions(
     predictions: DataFrame, profile: SealProfile, keep: tuple[str, ...] = ()
 ) -> DataFrame:

@@ -144,9 +144,9 @@ def coefficient_sums(sequences: DataFrame, key: str, sequence: str = "sequence")
         [(letter, *[s[letter] for s in scales]) for letter in scales[0]],
         "residue string, hydropathy int, helix int, sheet int",
     )
-    found = residue_positions(sequences, (key,), sequence).join(
-        F.broadcast(table), "residue", "left"
-    )
+    # Without residues a sequence keeps one row, which counts 0.
+    letters = sequences.select(key, F.explode_outer(Q.residues(F.col(sequence))).alias("residue"))
+    found = letters.join(F.broadcast(table), "residue", "left")
     return found.groupBy(key).agg(
         *[F.sum(F.coalesce(F.col(n), F.lit(0))).alias(f"{n}_sum") for n in Q.SCALES]
     )

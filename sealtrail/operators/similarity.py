@@ -18,6 +18,18 @@ from sealtrail.schema import HEATMAP_ITEMS
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
+# The largest map; a larger one would build too many cells in one task.
+MAX_ITEMS = 1024
+
+
+def in_blocks(items: DataFrame, position: str = "vec_id", size: int = HEATMAP_ITEMS, name: str = "sequence") -> DataFrame:
+    """Add the number of the run of ``size`` positions that each item is in.
+
+    Grouped by it, every item is in one map, and the cells grow with the items.
+    """
+    return items.withColumn(name, F.floor(F.col(position) / F.lit(size)).cast("long"))
+
+
 def first_items(
     items: DataFrame, group: str, position: str, limit: int = HEATMAP_ITEMS
 ) -> DataFrame:
@@ -54,6 +66,8 @@ def _map_cells(
     are matrix products in the task: an array expression over each pair
     measured several times slower already at 64 dimensions.
     """
+    if not 0 < limit <= MAX_ITEMS:
+        raise ValueError(f"a map has 1 to {MAX_ITEMS} items on a side")
     picked = first_items(items.select(group, position, vector), group, position, limit)
     schema = StructType(
         [

@@ -74,7 +74,9 @@ def turn_ledger(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
 
 def exchange_ledger(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
     """Ledger of the same turns sealed as chats, with parents."""
-    return sealing.seal_exchanges(turns(spark, sf_dir), PROFILE, keep=("ingest_seq", *keep))
+    spoken = turns(spark, sf_dir)
+    source = F.when(F.col("turn") % 4 == 1, F.lit("model")).otherwise(F.lit("mock"))
+    return sealing.seal_exchanges(spoken.withColumn("source", source), PROFILE, keep=("ingest_seq", *keep))
 
 
 def event_ledger(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:

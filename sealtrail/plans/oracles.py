@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from sealtrail.functions import rules as R
 from sealtrail.functions import sequence as Q
+from sealtrail.operators.required import REQUIRED_FIELDS
 from sealtrail.plans.inputs import PROFILE, SYNCED_AT
 from sealtrail.plans.queries import SAMPLE_RULES, SAMPLE_THREATS
 
@@ -109,7 +112,8 @@ led AS (SELECT *, device_id || '/turn/' || created AS node_id,
 
 
 def _chat(role: str, device: str, kind: str, source: str, parents: str) -> str:
-    payload = f"""'{{"role":"{role}","content":' || {js('content')} || ',"timestamp":"' || created || '"}}'"""
+    replied = """ || '","source":"' || CASE WHEN turn % 4 = 1 THEN 'model' ELSE 'mock' END""" if role == "agent" else ""
+    payload = f"""'{{"role":"{role}","content":' || {js('content')} || ',"timestamp":"' || created{replied} || '"}}'"""
     return f"""{role}_in AS (SELECT * REPLACE ('{device}' AS device_id, '{kind}' AS device_type) FROM {source}),
 {sealed_cte(role + '_s', role + '_in', payload=payload, object_type='conversation_turn',
             release='public-safe', claim_type='conversation_turn',
@@ -179,6 +183,14 @@ root AS (SELECT (SELECT n FROM cnt) AS leaf_count, coalesce(
   repeat('0', 64)) AS merkle_root FROM peaks)"""
 
 
+def second_root(ledger: str, order: str) -> str:
+    """The same CTEs with other names, up to ``second_root``."""
+    text = root_ctes(ledger, order)
+    for name in ("leaves", "cnt", "tree", "peaks", "root"):
+        text = re.sub(rf"\b{name}\b", f"second_{name}", text)
+    return text
+
+
 # The stored ledger of the append query: human turns, then what the batch adds.
 STORED = f"""{TURN_LEDGER},
 first_led AS (SELECT *, row_number() OVER (ORDER BY created, object_id) - 1 AS seq FROM led WHERE role = 'human'),
@@ -277,12 +289,11 @@ conf AS (SELECT doc_id, pos, greatest(50.0::double, least(98.0::double,
     WHEN residue IN ('K','R','D','E','H','N','P','Q') THEN 70.0 ELSE 60.0 END::double
   + sin(pos * 0.7::double) * 4 + (pos % 7) * 0.5::double)) AS value FROM res)"""
 
-SIMILARITY = """ranked AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS i,
-  embedding::double[] AS v FROM embeddings),
-few AS MATERIALIZED (SELECT * FROM ranked WHERE i < 64),
-pairs AS (SELECT a.label, a.i, b.i AS j, list_dot_product(a.v, b.v) /
+SIMILARITY = """few AS MATERIALIZED (SELECT vec_id // 64 AS sequence,
+  row_number() OVER (PARTITION BY vec_id // 64 ORDER BY vec_id) - 1 AS i, embedding::double[] AS v FROM embeddings),
+pairs AS (SELECT a.sequence, a.i, b.i AS j, list_dot_product(a.v, b.v) /
   (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v)) + 1e-9) AS value
-  FROM few a JOIN few b ON a.label = b.label)"""
+  FROM few a JOIN few b ON a.sequence = b.sequence)"""
 
 HISTORY = f"""{TURNS},
 hist AS (SELECT conv_id, turn, role, content AS message, coalesce(string_agg(
@@ -304,21 +315,52 @@ folded AS (SELECT doc_id, body, CASE WHEN length(body) <= 4500 THEN {{'done': []
 parts AS (SELECT doc_id, length(body) AS chars, CASE WHEN trim(f.cur, {SPACE}) <> ''
   THEN list_append(f.done, trim(f.cur, {SPACE})) ELSE f.done END AS parts FROM folded)"""
 
+def _required_sets() -> str:
+    names = sorted({f for fields in REQUIRED_FIELDS.values() for f in fields})
+    blank = {f: f"CASE WHEN doc_id % {i + 2} < 2 THEN '{f}' END" for i, f in enumerate(names)}
+    parts = []
+    for kind, fields in sorted(REQUIRED_FIELDS.items()):
+        missing = f"concat_ws(',', {', '.join(blank[f] for f in fields)})"
+        reason = f"CASE WHEN {missing} = '' THEN '' ELSE {missing} || ' required' END"
+        parts.append(f"SELECT '{kind}' AS kind, {reason} AS reason, count(*) AS n FROM documents GROUP BY ALL")
+    return " UNION ALL ".join(parts)
+
+
+REQUIRED_SETS = _required_sets()
+
 ORACLES: dict[str, str] = {
     "ledger_scan": f"""WITH {TURN_LEDGER}
 SELECT row_number() OVER (ORDER BY created, object_id) - 1 AS ingest_seq, {COLUMNS} FROM led""",
     "ledger_lookup": f"""WITH {EXCHANGES}
 SELECT object_id, object_type, node_id, fco_root FROM led
 WHERE object_id IN (SELECT parent_id FROM led WHERE parent_id IS NOT NULL)""",
+    "lookup_one": f"""WITH {EXCHANGES} SELECT object_id, object_type, node_id, fco_root FROM led
+ORDER BY object_id LIMIT 1""",
     "ledger_append": f"WITH {STORED} SELECT ingest_seq, object_id, synced_at_utc FROM stored",
     "state_upsert": f"WITH RECURSIVE {STORED}, {root_ctes('stored')} SELECT merkle_root, leaf_count FROM root",
     "state_read": f"""WITH RECURSIVE {EVENT_LEDGER}, {root_ctes('led', 'created, object_id')}
 SELECT leaf_count, merkle_root FROM root""",
+    "damaged_state": f"""WITH RECURSIVE {TURN_LEDGER},
+half AS (SELECT * FROM led WHERE ingest_seq % 2 = 0), {second_root('half', 'created, object_id')},
+{root_ctes('led', 'created, ingest_seq % 2, object_id')}
+SELECT leaf_count, merkle_root, 'appended' AS moment FROM root
+UNION ALL SELECT leaf_count, merkle_root, 'damaged' FROM second_root""",
     "missing_state": f"""WITH RECURSIVE {TURN_LEDGER}, {root_ctes('led')} SELECT merkle_root, leaf_count FROM root""",
     "sync_ingest": f"WITH {SYNCED} SELECT {COLUMNS} FROM kept",
     "required_fields": """SELECT reason, count(*) AS n FROM (SELECT CASE turn WHEN 1 THEN 'content required'
   WHEN 2 THEN 'content required' WHEN 3 THEN 'role,content required' ELSE '' END AS reason
   FROM conversations) GROUP BY reason""",
+    "required_sets": REQUIRED_SETS,
+    "seal_incomplete": f"""WITH {SAMPLES},
+samples_in AS (SELECT * REPLACE ('ACDE' AS sequence), 'web-demo' AS device_id, 'web' AS device_type,
+  CASE doc_id % 6 WHEN 4 THEN 'null' ELSE {number('lat')} END AS lat_text FROM samples WHERE doc_id % 6 > 3),
+{sealed_cte('whole', 'samples_in', payload=SAMPLE_BODY.replace(number('lat'), 'lat_text') + " || '}'",
+            object_type='field_sample_sealed', release='field-private', claim_type='field_sample_sealed',
+            statement=f"'Field sample ' || name || ' sealed at ' || lat_text || ',' || {number('lng')} || ' by {AUTHOR}.'",
+            ceiling=SAMPLE_CEILING)},
+{TURN_LEDGER}
+SELECT object_id, object_type, content_leaf, name || ' via web-demo: 4 aa' AS payload_preview FROM whole
+UNION ALL SELECT object_id, object_type, content_leaf, payload_preview FROM led WHERE turn NOT IN (1, 2)""",
     "union_ledgers": f"""WITH {EVENT_LEDGER} SELECT object_id, device_id,
   CASE WHEN event_type IN ('click', 'view') THEN synced_at_utc ELSE '2024-02-01T00:00:00.000Z' END AS synced_at_utc
   FROM led""",
@@ -353,8 +395,18 @@ SELECT object_id, content_leaf, fco_root, {node_leaf('node_id', 'fco_root')} AS
 SELECT object_id, content_leaf, fco_root, {node_leaf("'plddt/' || acc || '/' || created", 'fco_root')} AS leaf_hash,
   'AlphaFold DB pLDDT (alphafold-db) for ' || acc || ': mean ' || mean_2 || ', ' || n || ' residues' AS payload_preview
   FROM sealed""",
+    "predict_with_fallback": f"""WITH {PREDICTIONS}, {CONFIDENCE},
+made AS (SELECT doc_id, count(*) AS n_values, avg(value) AS mean FROM conf GROUP BY doc_id),
+read AS (SELECT acc, count(*) AS n_values, avg(confidence) AS mean FROM (SELECT 'P' || l_orderkey::varchar AS acc, confidence FROM atoms)
+  GROUP BY acc)
+SELECT s.doc_id, 'P' || s.doc_id::varchar AS accession, CASE WHEN r.acc IS NULL THEN 'fallback' ELSE 'alphafold-db' END AS source,
+  coalesce(r.n_values, m.n_values) AS n_values, round(coalesce(r.mean, m.mean), 5) + 0.0 AS mean
+FROM seqs s LEFT JOIN made m ON m.doc_id = s.doc_id LEFT JOIN read r ON r.acc = 'P' || s.doc_id::varchar
+WHERE coalesce(r.n_values, m.n_values) > 0""",
     "fixed_width_atoms": f"WITH {LINES} SELECT * FROM atoms",
     "head_lines": """SELECT doc_id, array_to_string(list_slice(string_split(text, chr(10)), 1, 400), chr(10)) AS head
+  FROM documents""",
+    "head_two_lines": """SELECT doc_id, array_to_string(list_slice(string_split(text, chr(10)), 1, 2), chr(10)) AS head
   FROM documents""",
     "tail_lines": """SELECT doc_id, array_to_string(list_slice(string_split(text, chr(10)), -12, -1), chr(10)) AS tail
   FROM documents""",
@@ -405,10 +457,10 @@ SELECT conv_id, turn, CASE turn WHEN 0 THEN 'sha256:' || reverse(content_leaf) E
     "dangling_parents": f"""WITH {EXCHANGES} SELECT object_id AS child, parent_id AS parent FROM led
   WHERE parent_id IS NOT NULL AND role = 'agent'
   AND parent_id NOT IN (SELECT object_id FROM led WHERE role = 'agent' OR turn > 0)""",
-    "cosine_pairs": f"WITH {SIMILARITY} SELECT label, i, j, round(value, 6) + 0.0 AS value FROM pairs",
-    "minmax_scale": f"""WITH {SIMILARITY}, b AS (SELECT label, min(value) AS lo, greatest(0.0::double, max(value)) AS hi
-  FROM pairs GROUP BY label)
-SELECT label, i, j, round((value - lo) / (hi - lo + 1e-9), 6) + 0.0 AS value FROM pairs JOIN b USING (label)""",
+    "cosine_pairs": f"WITH {SIMILARITY} SELECT sequence, i, j, round(value, 6) + 0.0 AS value FROM pairs",
+    "minmax_scale": f"""WITH {SIMILARITY}, b AS (SELECT sequence, min(value) AS lo, greatest(0.0::double, max(value)) AS hi
+  FROM pairs GROUP BY sequence)
+SELECT sequence, i, j, round((value - lo) / (hi - lo + 1e-9), 6) + 0.0 AS value FROM pairs JOIN b USING (sequence)""",
     "sanitize_sequence": f"WITH {SEQUENCES} SELECT * FROM seqs",
     "residue_position": f"WITH {RESIDUES} SELECT doc_id, pos, residue FROM res",
     "residue_confidence": f"WITH {CONFIDENCE} SELECT doc_id, pos, round(value, 6) + 0.0 AS value FROM conf",
@@ -417,7 +469,7 @@ SELECT label, i, j, round((value - lo) / (hi - lo + 1e-9), 6) + 0.0 AS value FRO
 SELECT doc_id, round(mean, 6) + 0.0 AS mean, floor(mean * 10 + 0.5) / 10 AS mean_1 FROM means""",
     "peptide_stats": f"WITH {STATS} SELECT doc_id, length, mass, pi, gravy, helix, sheet FROM stats",
     "coef_lookup": f"""WITH {SEQUENCES} SELECT doc_id, {weighted(Q.HYDROPATHY)} AS hydropathy_sum,
-  {weighted(Q.HELIX)} AS helix_sum, {weighted(Q.SHEET)} AS sheet_sum FROM seqs WHERE sequence <> ''""",
+  {weighted(Q.HELIX)} AS helix_sum, {weighted(Q.SHEET)} AS sheet_sum FROM seqs""",
     "risk_sequence": f"""WITH {SEQUENCES} SELECT doc_id, CASE WHEN {RED} THEN 'red' ELSE 'green' END AS risk,
   {ASSESSMENT} AS assessment FROM seqs""",
     "threat_text": f"""SELECT doc_id, CASE WHEN regexp_matches(lower(text), '{SAMPLE_THREATS}')
@@ -472,8 +524,10 @@ SELECT page_id, bytes_sha256, byte_length, content_leaf, object_id, fco_root, fc
     "js_number": f"""SELECT l_orderkey, l_linenumber, {number('l_quantity')} AS whole, {number('l_extendedprice')} AS price,
   regexp_replace(printf('%.20f', l_quantity / 65536), '0+$', '') AS small FROM lineitem""",
     "stream_sync": f"WITH {SYNCED} SELECT {COLUMNS} FROM kept",
-    "stream_root": f"""WITH RECURSIVE {SYNCED}, {root_ctes('kept', 'created_locally_at_utc, object_id')}
-SELECT 0 AS batch_no, leaf_count, merkle_root FROM root""",
+    "stream_root": f"""WITH RECURSIVE {EVENT_LEDGER}, even AS (SELECT * FROM led WHERE event_id % 2 = 0),
+{second_root('even', 'created, object_id')}, {root_ctes('led', 'created, event_id % 2, object_id')}
+SELECT 0 AS batch_no, leaf_count, merkle_root FROM second_root
+UNION ALL SELECT 1, leaf_count, merkle_root FROM root""",
     "stream_turns": f"""WITH {TURN_LEDGER}
 SELECT row_number() OVER (ORDER BY created, object_id) - 1 AS ingest_seq, {COLUMNS} FROM led""",
     "stream_counts": "SELECT 'dev-' || user_id::varchar AS device_id, count(*) AS n FROM events GROUP BY 1",

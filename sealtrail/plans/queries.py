@@ -67,6 +67,14 @@ def ledger_lookup(spark, sf_dir):
     return ledger.lookup(rows, asked).select("object_id", "object_type", "node_id", "fco_root")
 
 
+@query
+def lookup_one(spark, sf_dir):
+    """The row of the smallest object id."""
+    rows = I.stored(I.exchange_ledger(spark, sf_dir))
+    asked = rows.agg(F.coalesce(F.min("object_id"), F.lit("")).alias("id")).first()["id"]
+    return ledger.lookup_one(rows, asked).select("object_id", "object_type", "node_id", "fco_root")
+
+
 def _overlapping_batch(spark, sf_dir):
     """All turns twice, the second time synced later, some with a null field."""
     rows = I.turn_ledger(spark, sf_dir, "turn")
@@ -103,6 +111,20 @@ def state_read(spark, sf_dir):
     return stored.root()
 
 
+@query
+def damaged_state(spark, sf_dir):
+    """Root and next append after the stored root was lost."""
+    stored = LedgerTable(spark, I.scratch(spark))
+    rows = I.turn_ledger(spark, sf_dir).withColumn("half", F.col("ingest_seq") % 2)
+    stored.append(rows.where("half = 0"))
+    blank = stored.state().withColumns({"merkle_root": F.lit(""), "leaf_count": F.lit(0).cast("long")})
+    stored.replace_state(blank)
+    found = stored.root().withColumn("moment", F.lit("damaged"))
+    found = I.stored(found)
+    stored.append(rows)
+    return found.unionByName(stored.root().withColumn("moment", F.lit("appended")))
+
+
 @query
 def missing_state(spark, sf_dir):
     stored = LedgerTable(spark, I.scratch(spark))
@@ -132,6 +154,44 @@ def required_fields(spark, sf_dir):
     return both.groupBy("reason").agg(F.count("*").alias("n"))
 
 
+@query
+def required_sets(spark, sf_dir):
+    """Counts of reasons for every set of required fields; fields are blank or null by the id's remainders."""
+    documents = I.table(spark, sf_dir, "documents").select("doc_id", "text")
+    names = sorted({f for fields in ledger.REQUIRED_FIELDS.values() for f in fields})
+    value = lambda i: (
+        F.when(F.col("doc_id") % (i + 2) == 0, F.lit("")).when(F.col("doc_id") % (i + 2) == 1, F.lit(None))
+        .otherwise(F.lit("x"))
+    )
+    rows = documents.select(*[value(i).alias(f) for i, f in enumerate(names)])
+    found = None
+    for kind, fields in sorted(ledger.REQUIRED_FIELDS.items()):
+        accepted, rejected = ledger.split_required(rows, fields)
+        both = accepted.withColumn("reason", F.lit("")).unionByName(rejected)
+        part = both.groupBy("reason").agg(F.count("*").alias("n")).withColumn("kind", F.lit(kind))
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+@query
+def seal_incomplete(spark, sf_dir):
+    """Samples and turns with blank, null and missing fields: what is sealed of them, and with what payload."""
+    part = F.col("doc_id") % 6
+    samples = I.samples(spark, sf_dir).withColumns(
+        {
+            "name": F.when(part == 0, F.lit("")).when(part == 1, F.lit(None)).otherwise(F.col("name")),
+            "sequence": F.when(part == 2, F.lit("")).when(part == 3, F.lit(None)).otherwise(F.lit("ACDE")),
+            "gps_lat": F.when(part == 4, F.lit(None)).otherwise(F.col("gps_lat")),
+        }
+    )
+    turn = F.col("turn")
+    turns = I.turns(spark, sf_dir).withColumn(
+        "content", F.when(turn == 1, F.lit("")).when(turn == 2, F.lit(None)).otherwise(F.col("content"))
+    )
+    sealed = sealing.seal_samples(samples, I.PROFILE).unionByName(sealing.seal_turns(turns, I.PROFILE))
+    return sealed.select("object_id", "object_type", "content_leaf", "payload_preview")
+
+
 @query
 def union_ledgers(spark, sf_dir):
     rows = I.event_ledger(spark, sf_dir, "event_type")
@@ -246,6 +306,18 @@ def seal_predictions(spark, sf_dir):
     return sealing.seal_predictions(_predictions(spark, sf_dir), I.PROFILE).select(*_SEALED)
 
 
+@query
+def predict_with_fallback(spark, sf_dir):
+    """Structure numbers where there are any, else the stand-in by residue."""
+    asked = I.sequences(spark, sf_dir).withColumn("accession", F.concat(F.lit("P"), F.col("doc_id").cast("string")))
+    structures = _predictions(spark, sf_dir).select("accession", "confidence")
+    rows = sealing.choose_predictions(asked, structures, ("doc_id",)).withColumn("mean", Q.sequential_mean("confidence"))
+    return rows.select(
+        "doc_id", "accession", "source", F.size("confidence").cast("long").alias("n_values"),
+        rounded("mean", 5).alias("mean"),
+    )
+
+
 @query
 def fixed_width(spark, sf_dir):
     return _atoms(spark, sf_dir)
@@ -261,6 +333,13 @@ def head_lines(spark, sf_dir):
     )
 
 
+@query
+def head_two_lines(spark, sf_dir):
+    return I.table(spark, sf_dir, "documents").select(
+        "doc_id", X.head_lines(F.col("text"), 2).alias("head")
+    )
+
+
 @query
 def tail_lines(spark, sf_dir):
     return I.table(spark, sf_dir, "documents").select(
@@ -405,13 +484,15 @@ def dangling_parents(spark, sf_dir):
 
 @query
 def cosine_pairs(spark, sf_dir):
-    pairs = similarity.cosine_pairs(I.table(spark, sf_dir, "embeddings"))
+    items = similarity.in_blocks(I.table(spark, sf_dir, "embeddings"))
+    pairs = similarity.cosine_pairs(items, group="sequence")
     return as_long(pairs, "i", "j").withColumn("value", rounded("value"))
 
 
 @query
 def minmax_scale(spark, sf_dir):
-    pairs = similarity.minmax_scale(I.table(spark, sf_dir, "embeddings"))
+    items = similarity.in_blocks(I.table(spark, sf_dir, "embeddings"))
+    pairs = similarity.minmax_scale(items, group="sequence")
     return as_long(pairs, "i", "j").withColumn("value", rounded("value"))
 
 
@@ -689,6 +770,14 @@ def _synced_table(spark, sf_dir) -> LedgerTable:
     return stored
 
 
+def _in_two_files(rows: DataFrame, first, second) -> tuple[str, object]:
+    """Two parts of the rows as files of a folder, in this order."""
+    folder = f"{I.scratch(rows.sparkSession)}/arriving"
+    for part in (first, second):
+        rows.where(part).coalesce(1).write.mode("append").parquet(folder)
+    return folder, rows.schema
+
+
 @query
 def stream_sync(spark, sf_dir):
     return _synced_table(spark, sf_dir).rows().select(*LEDGER_TEXT_COLUMNS)
@@ -696,8 +785,15 @@ def stream_sync(spark, sf_dir):
 
 @query
 def stream_root(spark, sf_dir):
-    states = _synced_table(spark, sf_dir).states()
-    return states.select(F.col("batch_no").cast("int"), "leaf_count", "merkle_root")
+    """Roots after two micro-batches: the second one's rows lie among the first one's."""
+    folder = I.scratch(spark)
+    even = F.col("event_id") % 2 == 0
+    rows = I.event_ledger(spark, sf_dir, "event_id")
+    arriving, schema = _in_two_files(rows, even, ~even)
+    stored = LedgerTable(spark, f"{folder}/ledger")
+    source = jobs.read_files(spark, arriving, schema, max_files=1)
+    jobs.run_to_end(jobs.ledger_writer(source, stored, f"{folder}/checkpoint", once=True))
+    return stored.states().select(F.col("batch_no").cast("int"), "leaf_count", "merkle_root")
 
 
 @query
@@ -713,12 +809,16 @@ def stream_turns(spark, sf_dir):
 
 @query
 def stream_counts(spark, sf_dir):
+    """Counts of stored rows after two micro-batches that share a third of the events."""
     folder = I.scratch(spark)
-    rows = I.event_ledger_of(_stream(spark, sf_dir, "events"))
-    jobs.run_to_end(
-        jobs.stream_counts(rows, f"{folder}/counts", f"{folder}/checkpoint", once=True)
-    )
-    return spark.read.parquet(f"{folder}/counts")
+    third = F.col("event_id") % 3
+    rows = I.event_ledger(spark, sf_dir, "event_id")
+    arriving, schema = _in_two_files(rows, third < 2, third > 0)
+    stored = LedgerTable(spark, f"{folder}/ledger")
+    source = jobs.read_files(spark, arriving, schema, max_files=1)
+    out = f"{folder}/counts"
+    jobs.run_to_end(jobs.stream_counts(source, stored, out, f"{folder}/checkpoint", once=True))
+    return jobs.latest_counts(spark, out)
 
 
 @query

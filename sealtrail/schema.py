@@ -56,10 +56,13 @@ STATE_SCHEMA = T.StructType(
         T.StructField("last_created", T.StringType()),
         T.StructField("last_seq", T.LongType()),
         T.StructField("next_seq", T.LongType()),
+        T.StructField("batch_key", T.StringType()),
     ]
 )
 
 # Fixed values of the ledger format.
+STRUCTURE_SOURCE = "alphafold-db"
+FALLBACK_SOURCE = "fallback"
 ENVELOPE_VERSION = "v3"
 OBJECT_ID_PREFIX = "sha256:"
 EMPTY_ROOT = "0" * 64

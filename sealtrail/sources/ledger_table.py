@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from sealtrail import schema as S
 from sealtrail.operators.ledger import known_ids, number_rows, valid_rows
-from sealtrail.operators.merkle import MountainRange, perfect_trees
+from sealtrail.operators.merkle import MountainRange, mountain_range, perfect_trees
 from sealtrail.operators.ordering import ensure_checkpoint_dir, with_dense_index
 
 
@@ -34,6 +34,10 @@ def _with_batch(schema: T.StructType) -> T.StructType:
     return T.StructType([*schema.fields, T.StructField("batch_no", T.LongType())])
 
 
+def _usable(state: Row) -> bool:
+    return bool(state.merkle_root) and (state.leaf_count or 0) > 0
+
+
 def _range_of(state: Row) -> MountainRange:
     return MountainRange(state.leaf_count, tuple(state.peaks))
 
@@ -74,25 +78,74 @@ class LedgerTable:
         return self._rows(self._last()).select(*S.LEDGER_COLUMNS)
 
     def root(self) -> DataFrame:
-        """Stored root and leaf count; the empty root if nothing is stored."""
+        """Stored root and leaf count, worked out from the rows if the state is of no use.
+
+        The empty root if nothing is stored.
+        """
         last = self._last()
-        usable = last is not None and last.merkle_root and last.leaf_count > 0
-        row = (last.leaf_count, last.merkle_root) if usable else (0, S.EMPTY_ROOT)
+        if last is None:
+            row = (0, S.EMPTY_ROOT)
+        elif _usable(last):
+            row = (last.leaf_count, last.merkle_root)
+        else:
+            summary = mountain_range(self._rows(last))
+            row = (summary.leaf_count, summary.root)
         return self.spark.createDataFrame([row], "leaf_count long, merkle_root string")
 
+    def replace_state(self, state: DataFrame) -> None:
+        """Store a snapshot in place of the one of its batch."""
+        row = state.first()
+        self._write_state(row.batch_no, **{f.name: row[f.name] for f in S.STATE_SCHEMA})
+
+    def _repaired(self) -> Row | None:
+        """The newest snapshot; one that is of no use is first made anew from the rows."""
+        last = self._last()
+        if last is None or _usable(last):
+            return last
+        rows = self._rows(last)
+        found = rows.agg(
+            F.min("created_locally_at_utc").alias("low"),
+            F.max(F.struct(*S.LEDGER_ORDER)).alias("high"),
+            F.max("ingest_seq").alias("seq"),
+        ).first()
+        if found.seq is None:
+            return last
+        summary = mountain_range(rows)
+        self._write_state(
+            last.batch_no,
+            merkle_root=summary.root,
+            leaf_count=summary.leaf_count,
+            updated_at_utc=last.updated_at_utc,
+            peaks=list(summary.peaks),
+            rows_added=last.rows_added,
+            # All rows may count as this batch's: an older snapshot is a prefix only before them.
+            min_created=found.low,
+            last_created=found.high[0],
+            last_seq=found.high[1],
+            next_seq=found.seq + 1,
+            batch_key=last.batch_key,
+        )
+        return self._last()
+
     def append(
         self,
         batch: DataFrame,
         updated_at_utc: str | None = None,
         order: tuple[str, ...] = ("synced_at_utc", "created_locally_at_utc"),
+        batch_key: str | None = None,
     ) -> MountainRange:
         """Add the batch's new rows and store the new root.
 
+        A batch whose key the newest snapshot has is already stored, and nothing
+        is done.
+
         The batch's sealed rows are staged once, ids already present are
         dropped, and the remaining rows are numbered and written.
         """
         ensure_checkpoint_dir(self.spark)
-        last = self._last()
+        last = self._repaired()
+        if last is not None and batch_key is not None and last.batch_key == batch_key:
+            return _range_of(last)
         batch_no = 0 if last is None else last.batch_no + 1
         first_seq = 0 if last is None else last.next_seq
 
@@ -124,15 +177,20 @@ class LedgerTable:
             last_created=high[0],
             last_seq=high[1],
             next_seq=first_seq + count,
+            batch_key=batch_key,
         )
         return summary
 
     def _unknown(self, staged: DataFrame, last: Row) -> DataFrame:
         """Staged rows whose id no committed row has."""
         ids = staged.select("object_id")
-        seen = known_ids(self._rows(last), ids, ids.count())
+        seen = known_ids(self._rows(last), ids)
         return staged.join(seen, "object_id", "left_anti")
 
+    def batch_rows(self, batch_no: int) -> DataFrame:
+        """The rows that one committed batch added."""
+        return self._batch(batch_no)
+
     def _batch(self, batch_no: int) -> DataFrame:
         return self.spark.read.schema(S.LEDGER_SCHEMA).parquet(
             f"{self.path}/rows/batch_no={batch_no}"

@@ -17,7 +17,7 @@ _LEADING_NUMBER = r"^([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)"
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of all files under a path: file, value."""
-    return spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    return spark.read.text(path, lineSep="\n").select(F.col("_metadata.file_path").alias("file"), "value")
 
 
 def parse_float(text: Column) -> Column:

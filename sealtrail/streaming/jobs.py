@@ -2,12 +2,14 @@
 
 Rows are accepted at any age and placed by creation time, so there is no
 watermark.  De-duplication is the append's anti join with the whole ledger,
-which never forgets an id.  A replayed micro-batch adds nothing.
+which never forgets an id.  A micro-batch is stored with its number, so a
+replayed one is left out.
 """
 
 from __future__ import annotations
 
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
@@ -23,6 +25,8 @@ from sealtrail.sources.ledger_table import LedgerTable
 # Fixed value: how often the reports refresh.
 REFRESH = "3 seconds"
 
+COUNTS_SCHEMA = "device_id string, n long"
+
 
 def read_files(
     spark: SparkSession, path: str, schema: StructType, pattern: str = "*.parquet",
@@ -43,10 +47,10 @@ def _triggered(writer: DataStreamWriter, checkpoint: str, once: bool) -> DataStr
 def ledger_writer(
     rows: DataFrame, table: LedgerTable, checkpoint: str, *, once: bool = False
 ) -> DataStreamWriter:
-    """Append ledger rows; each micro-batch stores a new root."""
+    """Append ledger rows; each micro-batch stores a new root, once."""
 
-    def write(batch: DataFrame, _: int) -> None:
-        table.append(batch)
+    def write(batch: DataFrame, number: int) -> None:
+        table.append(batch, batch_key=f"{checkpoint}#{number}")
 
     return _triggered(rows.writeStream.foreachBatch(write), checkpoint, once)
 
@@ -67,14 +71,43 @@ def stream_turns(
     return ledger_writer(seal_turns(accepted, profile), table, checkpoint, once=once)
 
 
-def stream_counts(source: DataFrame, out: str, checkpoint: str, *, once: bool = False) -> DataStreamWriter:
-    """Live counts by device; each refresh replaces the stored result."""
+def stream_counts(
+    rows: DataFrame, table: LedgerTable, out: str, checkpoint: str, *, once: bool = False
+) -> DataStreamWriter:
+    """Append ledger rows and keep counts by device of the rows stored.
+
+    Each micro-batch adds the counts of the rows that it added to the counts
+    before, as a new version; ``latest_counts`` reads the newest complete one.
+    An object that is sent again adds nothing.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        table.append(batch, batch_key=f"{checkpoint}#{number}")
+        version = table.state().first().batch_no
+        added = count_by_device(table.batch_rows(version))
+        try:
+            before = batch.sparkSession.read.schema(COUNTS_SCHEMA).parquet(f"{out}/counts/version={version - 1}")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            before, added = None, count_by_device(table.rows())
+        if before is not None:
+            added = before.unionByName(added).groupBy("device_id").agg(F.sum("n").alias("n"))
+        added.write.mode("overwrite").parquet(f"{out}/counts/version={version}")
+        mark = batch.sparkSession.range(1).select(F.lit(version).cast("long").alias("version"))
+        mark.write.mode("append").parquet(f"{out}/marks")
+
+    return _triggered(rows.writeStream.foreachBatch(write), checkpoint, once)
+
 
-    def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
+def latest_counts(spark: SparkSession, out: str) -> DataFrame:
+    """The newest complete version of the counts.
 
-    counts = count_by_device(source).writeStream.outputMode("complete")
-    return _triggered(counts.foreachBatch(write), checkpoint, once)
+    A version counts once its mark is written, so a crash while writing leaves
+    the one before in force.
+    """
+    newest = spark.read.schema("version long").parquet(f"{out}/marks").agg(F.max("version").alias("n")).first()["n"]
+    return spark.read.schema(COUNTS_SCHEMA).parquet(f"{out}/counts/version={newest}")
 
 
 def stream_threats(

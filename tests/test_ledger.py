@@ -133,8 +133,7 @@ def test_left_over_rows_do_not_join_an_empty_batch(table, spark):
     assert [r.object_id for r in table.rows().collect()] == ["a"]
 
 
-def test_large_batches_join_without_broadcast(table, spark, monkeypatch):
-    monkeypatch.setattr(ledger, "MAX_BROADCAST_IDS", 3)
+def test_overlapping_batches(table, spark):
     table.append(rows_of(spark, [(f"r{i}", "1") for i in range(10)]))
     table.append(rows_of(spark, [(f"r{i}", "1") for i in range(5, 15)]))
     assert sorted(r.ingest_seq for r in table.rows().collect()) == list(range(15))

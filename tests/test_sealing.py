@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from sealtrail.operators import sealing
 from tests import by_hand
 from tests.test_functions import TEXTS
@@ -18,6 +20,9 @@ def test_turns(spark, profile):
     got = {r.i: r.asDict() for r in sealing.seal_turns(turns, profile, ("i",)).collect()}
     defaults = {"human": ("web-demo", "web"), "agent": ("sauna-agent", "agent")}
     for i, role, content, _, device, kind in rows:
+        if not content:
+            assert i not in got
+            continue
         device, kind = device or defaults[role][0], kind or defaults[role][1]
         node = f"{device}/turn/{AT}"
         text = by_hand.canonical(
@@ -51,14 +56,19 @@ def test_samples(spark, profile):
         ("s1", "MSKGEEL", 37.4275, -122.1697, None, None),
         ("s\"2", "MIF\n", 5.0, 1e-7, "Other", "phone"),
         ("s3", "A", -0.0, 1e21, None, None),
+        ("s4", "A", None, float("nan"), None, None),
+        ("", "A", 1.0, 1.0, None, None),
+        ("s5", "", 1.0, 1.0, None, None),
+        ("s6", None, 1.0, 1.0, None, None),
     ]
-    shown = {"s1": ("37.4275", "-122.1697"), 's"2': ("5", "1e-7"), "s3": ("0", "1e+21")}
+    shown = {"s1": ("37.4275", "-122.1697"), 's"2': ("5", "1e-7"), "s3": ("0", "1e+21"), "s4": ("null", "null")}
     samples = spark.createDataFrame(
         [(*r, AT) for r in rows],
         "name string, sequence string, gps_lat double, gps_lng double, custodian string, device_id string, created_at_utc string",
     )
     got = {r.name: r for r in sealing.seal_samples(samples, profile, ("name",)).collect()}
-    for name, sequence, _, _, custodian, device in rows:
+    assert set(got) == set(shown)
+    for name, sequence, _, _, custodian, device in rows[:4]:
         custodian, device = custodian or profile.author, device or "web-demo"
         lat, lng = shown[name]
         payload = (
@@ -168,3 +178,19 @@ def test_seed_rows(spark, profile):
     assert by_hand.sha(payload) in sealed.envelope_json
     assert (sealed.device_id, sealed.synced_at_utc) == ("android-9", "later")
     assert sealed.payload_preview == "n via android: ok"
+
+
+def test_predictions_fall_back_to_residues(spark, profile):
+    asked = spark.createDataFrame(
+        [("P1", "ACD"), ("P2", "VK"), (None, "A"), ("P3", ""), ("P4", None)], "accession string, sequence string"
+    )
+    read = spark.createDataFrame([("P1", [90.5, 80.0]), ("P2", [])], "accession string, confidence array<double>")
+    chosen = sealing.choose_predictions(asked, read)
+    got = {r.accession: (r.source, [round(x, 6) for x in r.confidence]) for r in chosen.collect()}
+    assert got == {
+        "P1": ("alphafold-db", [90.5, 80.0]),
+        "P2": ("fallback", [92.0, 73.076871]),
+        None: ("fallback", [80.0]),
+    }
+    sealed = sealing.seal_predictions(chosen.withColumn("created_at_utc", F.lit(AT)), profile)
+    assert sealed.where("content_leaf is not null").count() == 3

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sealtrail.operators import ledger, merkle
+from sealtrail.operators.reports import count_by_device
 from sealtrail.sources.ledger_table import LedgerTable
 from sealtrail.streaming import jobs
 from tests.test_ledger import rows_of
@@ -47,10 +48,23 @@ def test_sync_stream_with_overlap_and_restart(spark, folder):
 
 def test_counts_stream(spark, folder):
     rows_of(spark, [(f"{c}{i}", "1") for c in "abb" for i in range(3)]).repartition(3).write.parquet(folder["in"])
+    rows_of(spark, [("a0", "1"), ("c0", "1")]).write.mode("append").parquet(folder["in"])
     source = jobs.read_files(spark, folder["in"], spark.read.parquet(folder["in"]).schema, max_files=1)
-    jobs.run_to_end(jobs.stream_counts(source, folder["out"], folder["checkpoint"], once=True))
-    got = {r.device_id: r.n for r in spark.read.parquet(folder["out"]).collect()}
-    assert got == {"dev-a": 3, "dev-b": 6}
+    table = LedgerTable(spark, folder["ledger"])
+    jobs.run_to_end(jobs.stream_counts(source, table, folder["out"], folder["checkpoint"], once=True))
+    got = {r.device_id: r.n for r in jobs.latest_counts(spark, folder["out"]).collect()}
+    assert got == {r.device_id: r.n for r in count_by_device(table.rows()).collect()}
+    assert got == {"dev-a": 3, "dev-b": 3, "dev-c": 1}
+
+
+def test_replayed_batch_leaves_one_state(spark, folder):
+    table = LedgerTable(spark, folder["ledger"])
+    rows = rows_of(spark, [("a", "1"), ("b", "2")])
+    first = table.append(rows, batch_key="q#0")
+    assert table.append(rows, batch_key="q#0") == first
+    assert table.states().count() == 1
+    table.append(rows, batch_key="q#1")
+    assert table.states().count() == 2
 
 
 def test_turn_stream_skips_blank_turns(spark, folder, profile):
