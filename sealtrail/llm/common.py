@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import uuid
 from collections.abc import Iterator
 
@@ -15,7 +16,18 @@ from sealtrail.operators.ordering import ensure_checkpoint_dir
 _made: list[tuple[SparkSession, str]] = []
 
 
+_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A stored table.
+
+    Workers that see this package's folder may import it from there; elsewhere
+    ship the package with the job.
+    """
+    environment = spark.sparkContext.environment
+    if _ROOT not in environment.get("PYTHONPATH", "").split(os.pathsep):
+        environment["PYTHONPATH"] = os.pathsep.join(filter(None, [environment.get("PYTHONPATH"), _ROOT]))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
