@@ -3,15 +3,21 @@
 Leaves ``[start, end)`` split into aligned perfect trees.  Which tree a leaf
 belongs to follows from the bits of its index alone, so every tree is folded at
 once: leaves are grouped by aligned blocks of 1,024 and each block becomes one
-node, then nodes are grouped again.  One shuffle serves ten levels, no group
-is larger than a block, and only the last few dozen nodes reach the driver.
+node, then nodes are grouped again.  A block whose leaves lie in one partition
+is folded there; as partitions are contiguous, only the leaves at their edges are
+shuffled.  One shuffle serves ten levels, no group is larger than a block, and
+only the last few dozen nodes reach the driver.
 """
 
 from __future__ import annotations
 
 import hashlib
+import sys
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +25,9 @@ from sealtrail.functions.hashing import merkle_parent
 from sealtrail.operators.ordering import with_dense_index
 from sealtrail.schema import EMPTY_ROOT, LEDGER_ORDER
 
+# Ship this module's helpers with the job, so executors need no install.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 BLOCK_LEVELS = 10
 
 
@@ -100,26 +109,63 @@ def perfect_trees(
         height.cast("int").alias("height"), at.alias("pos"), F.col(leaf).alias("node")
     )
     tallest = (end - start).bit_length() - 1
+    nodes = nodes.mapInArrow(_fold_whole_blocks, "height int, pos long, node string, folded boolean")
     for done in range(0, max(tallest, 1), BLOCK_LEVELS):
         nodes = _fold_levels(nodes, done)
     rows = nodes.select(_shift_left(F.col("pos"), F.col("height")).alias("first"), "height", "node")
     return [(r.height, r.node) for r in sorted(rows.collect())]
 
 
+def _fold_whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fold the blocks whose leaves are all in this partition; the other leaves pass.
+
+    Rows come as (height, pos, node), nearly always in the order of ``pos``, so one
+    open block is held at a time.
+    """
+    size = 1 << BLOCK_LEVELS
+    open_: dict[int, list[tuple[int, str, int]]] = {}
+
+    def made(rows: list[tuple[int, int, str, bool]]) -> pa.RecordBatch:
+        height, pos, node, folded = zip(*rows) if rows else ((), (), (), ())
+        arrays = [
+            pa.array(height, pa.int32()), pa.array(pos, pa.int64()), pa.array(node, pa.string()), pa.array(folded, pa.bool_())
+        ]
+        return pa.RecordBatch.from_arrays(arrays, ["height", "pos", "node", "folded"])
+
+    for batch in batches:
+        out: list[tuple[int, int, str, bool]] = []
+        for height, pos, node in zip(*(c.to_pylist() for c in batch.columns)):
+            if height < BLOCK_LEVELS:
+                out.append((height, pos, node, False))
+                continue
+            block = open_.setdefault(pos >> BLOCK_LEVELS, [])
+            block.append((pos, node, height))
+            if len(block) == size and len({p for p, _, _ in block}) == size:
+                nodes = [n for _, n, _ in sorted(open_.pop(pos >> BLOCK_LEVELS))]
+                while len(nodes) > 1:
+                    nodes = [_parent(a, b) for a, b in zip(nodes[::2], nodes[1::2])]
+                out.append((height, pos >> BLOCK_LEVELS, nodes[0], True))
+        yield made(out)
+    yield made([(height, pos, node, False) for block in open_.values() for pos, node, height in block])
+
+
 def _fold_levels(nodes: DataFrame, done: int) -> DataFrame:
+    """Fold ten levels; nodes that are folded already pass."""
     levels = F.greatest(F.lit(0), F.least(F.lit(BLOCK_LEVELS), F.col("height") - done))
+    levels = F.when(F.col("folded"), F.lit(0)).otherwise(levels)
     members = F.sort_array("members")
     complete = F.when(
         F.size("members") == _shift_left(F.lit(1), F.col("levels")), members["node"]
     ).otherwise(F.raise_error(F.lit("leaf positions are not dense")))
     return (
         nodes.withColumn("levels", levels)
-        .groupBy("height", "levels", _shift_right(F.col("pos"), F.col("levels")).alias("block"))
+        .groupBy("height", "levels", "folded", _shift_right(F.col("pos"), F.col("levels")).alias("block"))
         .agg(F.collect_list(F.struct("pos", "node")).alias("members"))
         .select(
             "height",
             F.col("block").alias("pos"),
             _fold_block(complete, F.col("levels")).alias("node"),
+            F.lit(False).alias("folded"),
         )
     )
 
