@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,8 +9,8 @@ from sealtrail.functions import json_text as J
 from sealtrail.functions import sequence as Q
 from sealtrail.functions import text as X
 from sealtrail.operators import sealing
-from sealtrail.operators.ordering import ensure_checkpoint_dir
 from sealtrail.profile import SealProfile
+from sealtrail.sources.scratch import new_folder
 from sealtrail.sources.splits import spread_small
 
 # A made-up key fingerprint and author.
@@ -34,8 +32,8 @@ def spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder beside the cluster's checkpoints."""
-    return f"{ensure_checkpoint_dir(spark)}/sealtrail-{uuid.uuid4().hex}"
+    """A new folder beside the cluster's checkpoints; it goes when the process ends."""
+    return new_folder(spark)
 
 
 def stored(rows: DataFrame) -> DataFrame:
