@@ -2,19 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
 import os
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from sealtrail.operators.ordering import ensure_checkpoint_dir
-
-_made: list[tuple[SparkSession, str]] = []
-
+from sealtrail.sources.scratch import new_folder
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -31,15 +26,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _remove_all() -> None:
-    for spark, folder in _made:
-        try:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-        except Exception:  # the session has ended; the folder stays
-            return
-
-
 def stored(rows: DataFrame) -> DataFrame:
     """The rows written as Parquet to the shared checkpoint folder and read back.
 
@@ -48,10 +34,7 @@ def stored(rows: DataFrame) -> DataFrame:
     folder goes when the driver's process ends.
     """
     spark = rows.sparkSession
-    folder = f"{ensure_checkpoint_dir(spark)}/llm-{uuid.uuid4().hex}"
-    if not _made:
-        atexit.register(_remove_all)
-    _made.append((spark, folder))
+    folder = new_folder(spark, "llm")
     rows.write.parquet(folder)
     return spark.read.schema(rows.schema).parquet(folder)
 
