@@ -7,12 +7,16 @@ with about the probability of the Jaccard similarity.  ``ROWS`` registers form a
 band; with ``BANDS`` bands a pair at the limit shares none with probability 3e-6.
 
 Documents with equal sets are one node.  No bucket of a band is expanded into
-its pairs.  First each node meets one centre, then the other centres of its
-buckets.  Links found make components; only where a bucket still holds several
-components do the members of all but its largest one meet the rest.  So every
-pair of a bucket is either inside one component or checked.  A pair goes on to
+its pairs.  First each node meets the centres of its buckets, one per band at
+most; a bucket's centre is its member with the best filled buckets, as a text is
+that others were copied from.  Links found make components; only where a bucket
+still holds several components do the members of all but its largest one meet
+the rest.  So every pair of a bucket is either inside one component or checked.
+In buckets of up to ``SMALL`` members such pairs are listed; a pair goes on to
 verification unless its registers are e**-12.5 times less likely at the limit
-or above than at their best; verified links compare the full sets.
+or above than at their best, and verification compares the full sets.  Larger
+buckets are compared block by block on the full sets, of which only links come
+out, one for each member and component.
 
 Defined results: null, empty or white-space texts have an empty set and are
 linked with nothing.  A row with a null id counts as a text of its own and has
@@ -38,6 +42,8 @@ SIMILARITY = 80  # per cent
 BANDS, ROWS = 24, 4
 BASE, RATE, TOP = 1.001, 20.0, 65534
 LEAST_LOG_RATIO = -12.5
+SMALL = 24
+BLOCK = 256
 
 _RANDOM = np.random.Generator(np.random.PCG64(20240229))
 _SPREAD = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -175,6 +181,35 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(fits, pa.bool_())).select(["a", "b"])
 
 
+def _sets(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in column]
+    return np.concatenate([np.empty(0, np.uint64), *sets]), np.array([len(x) for x in sets], np.int64)
+
+
+def block_links(fewer: pa.Table, others: pa.Table) -> pa.Table:
+    """Links between two blocks of sets with different labels; one for each of ``fewer`` and label."""
+    a, b = fewer["node"].to_pylist(), others["node"].to_pylist()
+    out: dict[tuple[bytes, bytes], bytes] = {}
+    if a and b:
+        items, sizes = _sets(fewer["items"])
+        order = np.argsort(items, kind="stable")
+        items, owner = items[order], np.repeat(np.arange(len(a)), sizes)[order]
+        label_a, label_b = fewer["label"].to_pylist(), others["label"].to_pylist()
+        for j, value in enumerate(others["items"]):
+            one = np.frombuffer(value.as_buffer(), np.uint64)
+            low, high = np.searchsorted(items, one, "left"), np.searchsorted(items, one, "right")
+            found = high - low
+            at = np.repeat(low - np.cumsum(found) + found, found) + np.arange(found.sum())
+            common = np.bincount(owner[at], minlength=len(a))
+            linked = (100 * common >= SIMILARITY * (sizes + len(one) - common)) & (common > 0)
+            for i in np.flatnonzero(linked):
+                if label_a[i] != label_b[j]:
+                    out.setdefault((a[i], label_b[j]), b[j])
+    return pa.table(
+        [pa.array([x for x, _ in out], pa.binary()), pa.array(list(out.values()), pa.binary())], names=["a", "b"]
+    )
+
+
 def set_table(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """node and its sorted shingle hashes, for each row."""
 
@@ -196,8 +231,14 @@ def components(edges: DataFrame) -> DataFrame:
     Each step is a join on nodes; steps are about the logarithm of the longest
     path.  Nothing but a count reaches the driver.
     """
-    edges = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    before = None
     while True:
+        edges = stored(edges)
+        state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if state == before:
+            return edges.groupBy("a").agg(F.min("b").alias("label")).withColumnRenamed("a", "node")
+        before = state
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = (
@@ -206,16 +247,8 @@ def components(edges: DataFrame) -> DataFrame:
         )
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(least, "a")
-        small = (
-            joined.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
-            .union(joined.select("a", F.col("m").alias("b")))
-            .distinct()
-        )
-        small = stored(small)
-        same = small.count() == edges.count() and small.join(edges, ["a", "b"], "left_anti").isEmpty()
-        edges = small
-        if same:
-            return edges.groupBy("a").agg(F.min("b").alias("label")).withColumnRenamed("a", "node")
+        small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
+        edges = small.union(joined.select("a", F.col("m").alias("b"))).distinct()
 
 
 class _Search:
@@ -230,59 +263,78 @@ class _Search:
             .select("node", "r.*")
         )
         members = self.nodes.select(F.explode("bands").alias("key"), "node")
-        shared = members.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("centre")).where("n > 1")
-        self.buckets = stored(members.join(shared, "key"))
-        involved = self.buckets.select("node").distinct().join(self.nodes, "node").select(F.col("doc_id").alias("_id"))
+        sizes = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+        shared = stored(members.join(sizes, "key"))
+        filled = shared.groupBy("node").agg(F.sum("n").alias("filled"))
+        centres = shared.join(filled, "node").groupBy("key").agg(F.max(F.struct("filled", "node")).alias("c"))
+        self.buckets = stored(shared.join(centres.select("key", F.col("c.node").alias("centre")), "key"))
+        involved = self.nodes.join(self.buckets, "node", "left_semi").select(F.col("doc_id").alias("_id"))
         read = docs.select(F.col(doc_id).alias("_d"), F.col(text).alias("_t"))
         read = read.join(involved, read["_d"].eqNullSafe(involved["_id"]), "left_semi")
-        self.sets = stored(set_table(read, "_d", "_t").dropDuplicates(["node"]))
+        self.sets = stored(set_table(read, "_d", "_t"))
         self.links: DataFrame | None = None
-        self.seen: DataFrame | None = None
         self.labels: DataFrame | None = None
 
     def labelled(self, rows: DataFrame, column: str, name: str) -> DataFrame:
         labels = self.labels.select(F.col("node").alias(column), F.col("label").alias("_label"))
         return rows.join(labels, column, "left").withColumn(name, F.coalesce("_label", column)).drop("_label")
 
-    def check(self, pairs: DataFrame) -> None:
-        """Estimate and verify pairs (a, b), then join the links to the components."""
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if self.seen is not None:
-            pairs = pairs.join(self.seen, ["a", "b"], "left_anti")
-        pairs = stored(pairs)
+    def add(self, links: DataFrame) -> None:
+        """Join verified links to the components."""
+        self.links = links if self.links is None else self.links.union(links)
+        self.labels = stored(components(self.links))
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """Those of distinct pairs (a, b) that are links: estimated first, then compared."""
         facts = self.nodes.select("node", "n_shingles", "registers")
         side = lambda x: facts.toDF(x, f"n_{x}", f"r_{x}")
         sized = pairs.join(side("a"), "a").join(side("b"), "b")
         likely = sized.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(_likely, "a binary, b binary")
         with_a = likely.join(self.sets.toDF("a", "items_a"), "a")
         full = with_a.join(self.sets.toDF("b", "items_b"), "b").select("a", "b", "items_a", "items_b")
-        links = stored(full.mapInArrow(_linked, "a binary, b binary"))
-        self.seen = pairs if self.seen is None else self.seen.union(pairs)
-        self.links = links if self.links is None else self.links.union(links)
-        self.labels = stored(components(self.links))
+        return stored(full.mapInArrow(_linked, "a binary, b binary"))
 
     def run(self) -> DataFrame:
-        stars = self.buckets.where("node != centre").groupBy("node", "centre").agg(F.count("*").alias("hits"))
-        stars = stored(stars)
-        one = stars.groupBy("node").agg(F.max(F.struct("hits", "centre")).alias("best"))
-        self.check(one.select(F.col("node").alias("a"), F.col("best.centre").alias("b")))
-        rest = self.labelled(self.labelled(stars, "node", "la"), "centre", "lb").where("la != lb")
-        self.check(rest.select(F.col("node").alias("a"), F.col("centre").alias("b")))
-        self.check(self.open_pairs())
+        stars = self.buckets.where("node != centre")
+        stars = stored(_pairs(stars.select(F.col("node").alias("a"), F.col("centre").alias("b"))))
+        self.add(self.verified(stars))
+        open_ = stored(self.open_members())
+        fewer, small = open_.where("label != top"), F.col("n") <= SMALL
+        listed = (
+            fewer.where(small).select("key", F.col("node").alias("a"), F.col("label").alias("la"))
+            .join(open_.where(small).select("key", F.col("node").alias("b"), F.col("label").alias("lb")), "key")
+            .where("la != lb")
+        )
+        links = self.verified(_pairs(listed).join(stars, ["a", "b"], "left_anti"))
+        blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("long")
+        place = lambda n: F.pmod(F.xxhash64("node"), blocks(n))
+        each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), blocks(n) - 1))
+        one = fewer.where(~small).select("key", "node", "label", place(F.col("few")).alias("x"), each(F.col("n")).alias("y"))
+        all_ = open_.where(~small).select("key", "node", "label", each(F.col("few")).alias("x"), place(F.col("n")).alias("y"))
+        keys = ["key", "x", "y"]
+        # New column identities, as both sides come from the same tables.
+        with_items = lambda rows: rows.join(self.sets, "node").select(*keys, "node", "label", "items").toDF(
+            *keys, "node", "label", "items"
+        )
+        compared = with_items(one).groupBy(*keys).cogroup(with_items(all_).groupBy(*keys)).applyInArrow(
+            block_links, "a binary, b binary"
+        )
+        self.add(links.union(stored(compared)))
         return self.labels
 
-    def open_pairs(self) -> DataFrame:
-        """In buckets of several components: the members of all but the largest one, with all others."""
-        members = stored(self.labelled(self.buckets.select("key", "node"), "node", "label"))
-        sizes = members.groupBy("key", "label").agg(F.count("*").alias("n"))
+    def open_members(self) -> DataFrame:
+        """Members of buckets that hold several components: their labels, the largest one, and how many lie outside it."""
+        members = self.labelled(self.buckets.select("key", "node", "n"), "node", "label")
+        sizes = members.groupBy("key", "label").agg(F.count("*").alias("m"))
         largest = (
-            sizes.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("n", "label")).alias("top"))
-            .where("parts > 1").select("key", F.col("top.label").alias("top"))
+            sizes.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("m", "label")).alias("t"), F.sum("m").alias("all"))
+            .where("parts > 1").select("key", F.col("t.label").alias("top"), (F.col("all") - F.col("t.m")).alias("few"))
         )
-        open_ = members.join(largest, "key")
-        fewer = open_.where("label != top").select("key", F.col("node").alias("a"), F.col("label").alias("la"))
-        others = open_.select("key", F.col("node").alias("b"), F.col("label").alias("lb"))
-        return fewer.join(others, "key").where("la != lb").select("a", "b")
+        return members.join(largest, "key")
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    return rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
