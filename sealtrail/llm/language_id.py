@@ -36,6 +36,7 @@ DIMENSION = 8
 LEARN_DOCS = 500
 LEARN_WINDOWS = 3
 STEPS, BATCH = 360, 128
+PARTS = 64
 FOLDS, HELD_OUT = 4, 2
 
 _LETTER = re.compile(r"[^\W\d_]")
@@ -49,7 +50,9 @@ def held_out(doc_id: str, folds: int, fold: int) -> Column:
 
 def plain_bytes(text: str | None) -> bytes:
     """The bytes that the network reads; none if there is no letter."""
-    if not text or not _LETTER.search(text):
+    found = _LETTER.search(text) if text else None
+    # The pattern also finds numerals that are no digits.
+    if not found or not (found[0].isalpha() or any(map(str.isalpha, text))):
         return b""
     return text.lower().encode("utf-8", "replace").translate(_PLAIN)
 
@@ -175,10 +178,13 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Network | None:
     """Learn from the rows that are not held out; None if there are none."""
     usable = docs.where(F.col(lang).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(doc_id, FOLDS, HELD_OUT))
-    order = Window.partitionBy(lang).orderBy(F.xxhash64(doc_id), doc_id)
-    narrow = usable.select(doc_id, lang).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= LEARN_DOCS)
+    # First within parts of a language, as one language may hold most rows, then over what is left.
+    first = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.xxhash64("_id"), "_id")) <= LEARN_DOCS
+    narrow = usable.select(F.col(doc_id).alias("_id"), F.col(lang).alias("_lang"))
+    narrow = narrow.withColumn("_part", F.pmod(F.hash("_id"), F.lit(PARTS))).withColumn("_first", first("_lang", "_part"))
+    narrow = narrow.where("_first").withColumn("_first", first("_lang")).where("_first")
     # At most LEARN_DOCS ids per language.
-    chosen = F.broadcast(narrow.select(doc_id).distinct())
+    chosen = F.broadcast(narrow.select(F.col("_id").alias(doc_id)).distinct())
     rows = usable.join(chosen, doc_id, "left_semi").select(text, lang).mapInArrow(_sampled, "row binary, lang string").toPandas()
     rows = rows.sort_values(["lang", "row"], ignore_index=True)
     if not len(rows):
