@@ -27,6 +27,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component stays; links as in the operator's query, on runs of two words."""
     return near_dedup.without_near_copies(docs)
 
 

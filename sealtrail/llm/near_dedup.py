@@ -99,12 +99,12 @@ def _digest(items: np.ndarray) -> bytes:
     return hashlib.sha256(items.tobytes()).digest()[:16]
 
 
-def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, node (digest of the set), bands, registers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 21):
-            items, starts = shingle_sets(*utf8(batch.column(1)))
+            items, starts = shingle_sets(*utf8(batch.column(1)), words)
             made = registers(items, starts)
             keys = (made.reshape(-1, BANDS, ROWS).view(np.uint64)[:, :, 0] ^ _BAND_MARKS) * np.uint64(FACTOR)
             lists = pa.ListArray.from_arrays(
@@ -210,12 +210,12 @@ def block_links(fewer: pa.Table, others: pa.Table) -> pa.Table:
     )
 
 
-def set_table(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+def set_table(docs: DataFrame, text: str, words: int) -> DataFrame:
     """node and its sorted shingle hashes, for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 21):
-            items, starts = shingle_sets(*utf8(batch.column(0)))
+            items, starts = shingle_sets(*utf8(batch.column(0)), words)
             sets = [items[a:b] for a, b in zip(starts[:-1], starts[1:])]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([_digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
@@ -254,8 +254,8 @@ def components(edges: DataFrame) -> DataFrame:
 class _Search:
     """Rounds of pairs over one set of buckets."""
 
-    def __init__(self, docs: DataFrame, doc_id: str, text: str):
-        self.rows = stored(sketches(docs, doc_id, text))
+    def __init__(self, docs: DataFrame, doc_id: str, text: str, words: int):
+        self.rows = stored(sketches(docs, doc_id, text, words))
         # Two different sets below four shingles are never similar enough.
         self.nodes = stored(
             self.rows.where(F.col("n_shingles") * (100 - SIMILARITY) >= SIMILARITY)
@@ -271,7 +271,7 @@ class _Search:
         involved = self.nodes.join(self.buckets, "node", "left_semi").select(F.col("doc_id").alias("_id"))
         read = docs.select(F.col(doc_id).alias("_d"), F.col(text).alias("_t"))
         read = read.join(involved, read["_d"].eqNullSafe(involved["_id"]), "left_semi")
-        self.sets = stored(set_table(read, "_d", "_t"))
+        self.sets = stored(set_table(read, "_t", words))
         self.links: DataFrame | None = None
         self.labels: DataFrame | None = None
 
@@ -337,9 +337,11 @@ def _pairs(rows: DataFrame) -> DataFrame:
     return rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_copies(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS
+) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
-    search = _Search(docs, doc_id, text)
+    search = _Search(docs, doc_id, text, words)
     labels = search.run()
     rows = search.rows.select("doc_id", "n_shingles", "node").join(labels, "node", "left")
     rows = rows.withColumn("_label", F.coalesce("label", "node"))
@@ -351,7 +353,9 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     )
 
 
-def without_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def without_near_copies(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS
+) -> DataFrame:
     """The rows of ``docs`` whose document stays; those that go are few, so they are what is joined."""
-    gone = near_copies(docs, doc_id, text).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
+    gone = near_copies(docs, doc_id, text, words).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
     return docs.join(gone, docs[doc_id] == gone["_gone"], "left_anti")

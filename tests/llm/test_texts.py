@@ -184,8 +184,8 @@ def shingles(text, n=2):
     return frozenset(zip(*(words[i:] for i in range(n))))
 
 
-def brute_components(rows):
-    sets = {i: shingles(t) for i, t in rows}
+def brute_components(rows, words=2):
+    sets = {i: shingles(t, words) for i, t in rows}
     parent = {i: i for i in sets}
 
     def root(i):
@@ -220,20 +220,32 @@ def near_texts():
     return [None, "", "  ", "one", "One", "two words", *out]
 
 
-def test_near_copies(spark):
+@pytest.mark.parametrize("words", [2, 5])
+def test_near_copies(spark, words):
     texts = near_texts()
     rows = frame(spark, texts, first=100).repartition(4)
-    expected, sets = brute_components([(100 + i, t) for i, t in enumerate(texts)])
-    found = {r.doc_id: r for r in near_dedup.near_copies(rows).collect()}
+    expected, sets = brute_components([(100 + i, t) for i, t in enumerate(texts)], words)
+    found = {r.doc_id: r for r in near_dedup.near_copies(rows, words=words).collect()}
     assert {i: r.component_id for i, r in found.items()} == expected
     assert all(found[i].n_shingles == len(sets[i]) and found[i].kept == (expected[i] == i) for i in expected)
-    left = near_dedup.without_near_copies(rows)
-    assert left.columns == rows.columns and left.count() == len(set(expected.values()))
+
+
+def test_near_copies_in_large_buckets(spark, monkeypatch):
+    """Buckets above the limit are compared in blocks."""
+    monkeypatch.setattr(near_dedup, "SMALL", 3)
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    texts = near_texts()
+    expected, _ = brute_components(list(enumerate(texts)))
+    assert {r.doc_id: r.component_id for r in near_dedup.near_copies(frame(spark, texts)).collect()} == expected
 
 
 def test_near_copies_of_odd_rows(spark, docs):
     rows = near_dedup.near_copies(docs).collect()
     assert len(rows) == docs.count()
+    gone = {r.doc_id for r in rows if not r.kept}
+    left = near_dedup.without_near_copies(docs)
+    assert left.columns == docs.columns and not gone & {r.doc_id for r in left.collect()}
+    assert left.count() == docs.where(~F.coalesce(F.col("doc_id").isin(list(gone)), F.lit(False))).count()
     assert {r.component_id for r in rows if r.doc_id in (7, 8, 9)} == {7}
     assert near_dedup.near_copies(empty(spark)).count() == 0
 
