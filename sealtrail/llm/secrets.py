@@ -53,8 +53,14 @@ MASK = "[REDACTED]"
 _BLOCK = 64
 
 
-def running(values: Column, join: Callable[[Column, Column], Column], zero: Column) -> Column:
-    """Inclusive running results of an array, in blocks so that no long array is copied per item."""
+def with_running(
+    rows: DataFrame, columns: dict[str, str], join: Callable[[Column, Column], Column], zero: Column
+) -> DataFrame:
+    """Add inclusive running results of array columns; ``columns`` maps new names to those.
+
+    Worked out in blocks, so no long array is copied per item.  Lambdas refer to
+    finished columns only: an expression inside one is evaluated for each item.
+    """
 
     def steps(items: Column, first: Column) -> Column:
         return F.aggregate(
@@ -65,19 +71,21 @@ def running(values: Column, join: Callable[[Column, Column], Column], zero: Colu
             ),
         )["out"]
 
-    blocks = F.transform(
-        F.sequence(F.lit(0), F.floor((F.size(values) - 1) / _BLOCK).cast("int")),
-        lambda b: F.slice(values, b * _BLOCK + 1, _BLOCK),
-    )
-    sums = F.transform(blocks, lambda b: F.aggregate(b, zero, join))
-    before = F.concat(F.array(zero), steps(sums, zero))
-    flat = F.flatten(
-        F.transform(
-            F.arrays_zip(blocks.alias("b"), F.slice(before, F.lit(1), F.size(blocks)).alias("first")),
-            lambda z: steps(z["b"], z["first"]),
+    def cut(name: str) -> Column:
+        last = F.floor((F.size(name) - 1) / _BLOCK).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(F.col(name), b * _BLOCK + 1, _BLOCK))
+
+    def whole(name: str) -> Column:
+        blocks = F.col(f"{name}_blocks")
+        sums = F.transform(blocks, lambda b: F.aggregate(b, zero, join))
+        before = F.slice(F.concat(F.array(zero), steps(sums, zero)), F.lit(1), F.size(blocks))
+        pairs = F.arrays_zip(blocks.alias("b"), before.alias("first"))
+        return F.when(F.size(name) > 0, F.flatten(F.transform(pairs, lambda z: steps(z["b"], z["first"])))).otherwise(
+            F.slice(F.array(zero), 1, 0)
         )
-    )
-    return F.when(F.size(values) > 0, flat).otherwise(F.slice(F.array(zero), 1, 0))
+
+    rows = rows.withColumns({f"{name}_blocks": cut(name) for name in columns.values()})
+    return rows.withColumns({new: whole(name) for new, name in columns.items()})
 
 
 def matches(text: Column, found: Column, pattern: str) -> Column:
@@ -211,22 +219,28 @@ def battery(found: Column) -> Column:
     return F.transform(F.transform(F.transform(F.transform(coded, counted), summed), tested), joined)
 
 
-def discoveries(tests: Column) -> Column:
-    """Weighted Benjamini-Hochberg over a document's candidates; those found, as (start, end)."""
-    mean = F.aggregate(tests, F.lit(0.0), lambda a, x: a + x["n"]) / F.size(tests)
+def with_discoveries(rows: DataFrame, name: str) -> DataFrame:
+    """Weighted Benjamini-Hochberg over each document's candidates; those found, as (start, end).
+
+    What all items share is handed to each of them, so no lambda works it out again.
+    """
+    tests = F.col(name)
+    shared = F.struct(
+        (F.aggregate(tests, F.lit(0.0), lambda a, x: a + x["n"]) / F.greatest(F.size(tests), F.lit(1))).alias("mean"), F.size(tests).alias("m")
+    )
     weighed = F.transform(
-        tests,
-        lambda x: F.struct(
-            F.when(x["random"] >= REJECT, x["worded"] * mean / x["n"]).otherwise(F.lit(1.0)).alias("p"),
-            x["start"], x["end"],
+        F.arrays_zip(tests.alias("t"), F.array_repeat(shared, F.size(tests)).alias("all")),
+        lambda z: F.struct(
+            F.when(z["t"]["random"] >= REJECT, z["t"]["worded"] * z["all"]["mean"] / z["t"]["n"]).otherwise(F.lit(1.0)).alias("p"),
+            z["t"]["start"].alias("start"), z["t"]["end"].alias("end"), z["all"]["m"].alias("m"),
         ),
     )
-    order = F.array_sort(weighed)
-    passed = F.transform(
-        order, lambda x, i: F.when(x["p"] <= (i + 1) * FALSE_DISCOVERIES / F.size(order), x["p"])
-    )
-    most = F.array_max(passed)
-    return F.filter(order, lambda x: x["p"] <= most)
+    rows = rows.withColumn(name, F.array_sort(weighed))
+    order = F.col(name)
+    passed = F.transform(order, lambda x, i: F.when(x["p"] <= (i + 1) * FALSE_DISCOVERIES / x["m"], x["p"]))
+    pairs = F.arrays_zip(order.alias("x"), F.array_repeat(F.array_max(passed), F.size(order)).alias("most"))
+    found = F.filter(pairs, lambda z: z["x"]["p"] <= z["most"])
+    return rows.withColumn(name, F.transform(found, lambda z: z["x"]))
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -238,19 +252,15 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: tupl
     least = {"assign": ASSIGN, "access": r"AKIA[A-Z0-9]{16}", "hex": r"[0-9a-f]{24}", "random": CANDIDATE}
     kinds = [("assign", ASSIGN), ("access", ACCESS), ("hex", r"[0-9a-f]{24,}"), ("random", CANDIDATE)]
     rows = rows.withColumns({f"_{kind}": matches(whole, whole.rlike(least[kind]), p) for kind, p in kinds})
-    rows = rows.withColumns(
-        {
-            f"_{kind}_ends": running(
-                F.transform(f"_{kind}", lambda c: F.length(c)), lambda a, b: a + b, F.lit(0)
-            )
-            for kind, _ in kinds
-        }
+    rows = rows.withColumns({f"_{kind}_sizes": F.transform(f"_{kind}", lambda c: F.length(c)) for kind, _ in kinds})
+    rows = with_running(
+        rows, {f"_{kind}_ends": f"_{kind}_sizes" for kind, _ in kinds}, lambda a, b: a + b, F.lit(0)
     )
     rows = rows.withColumns(
         {f"_{kind}": placed(F.col(f"_{kind}"), F.col(f"_{kind}_ends"), kind, p) for kind, p in kinds}
     )
     rows = rows.withColumn("_random", battery(F.col("_random")))
-    rows = rows.withColumn("_random", discoveries(F.col("_random")))
+    rows = with_discoveries(rows, "_random")
 
     def spans(kind: str, number: int, found: Column) -> Column:
         return F.transform(
@@ -296,8 +306,8 @@ def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars:
     rows = scan(held, "_row", "_source", ("_source",)).select(
         F.col("doc_id").alias("_row"), "_source", F.array_sort(F.concat("base", "found")).alias("_spans")
     )
-    ends = running(F.transform("_spans", lambda x: x["end"]), lambda a, b: F.greatest(a, b), F.lit(0))
-    rows = rows.withColumn("_ends", ends)
+    rows = rows.withColumn("_last", F.transform("_spans", lambda x: x["end"]))
+    rows = with_running(rows, {"_ends": "_last"}, lambda a, b: F.greatest(a, b), F.lit(0))
     source = F.col("_source")
     before = F.concat(F.array(F.lit(0)), F.slice("_ends", F.lit(1), F.greatest(F.size("_ends") - 1, F.lit(0))))
     parts = F.zip_with(
