@@ -3,8 +3,10 @@
 A pattern's matches come from one pass: ``\\G`` ties each match to the end of the
 one before, so a chunk is a gap and a match, and running lengths give places.
 
-Every run of 20 or more key-like characters is a candidate.  Its encoding is
-the smallest alphabet that holds it.  Against that alphabet three tests look for
+Every run of 20 or more key-like characters is a candidate, cut at each "=" that
+is not padding at its end.  One that mixes + or / with - or _ fits no alphabet:
+it is split at either kind and at both, and each part of 20 or more is a
+candidate, so parts may overlap.  Its encoding is the smallest alphabet that holds it.  Against that alphabet three tests look for
 structure: chi-squared for uniform use of the symbols, the runs test about
 the middle symbol, and serial correlation; Fisher's method joins their
 p-values.  A candidate is a discovery if the battery does not reject randomness
@@ -31,6 +33,17 @@ LEAST = {"assign": 6, "access": 20, "hex": 24}
 BASE = (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX))
 
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+LEAST_RUN = 20
+# What is between two "=" of such a run, with the padding if it is the last.
+CUT = (
+    r"[A-Za-z0-9+/_-]{20,}+(?:=++(?![A-Za-z0-9+/_-]))?"
+    r"|[A-Za-z0-9+/_-]{16,19}+=++(?![A-Za-z0-9+/_-])"
+)
+# Where a part without separators ends, and where one begins that has one kind of separator before and the other after it.
+EDGES = (
+    r"(?<=[A-Za-z0-9])(?=[+/_-])"
+    r"|(?<=[+/])(?=[A-Za-z0-9]{20,}+[_-])|(?<=[_-])(?=[A-Za-z0-9]{20,}+[+/])"
+)
 
 _DIGITS = "0123456789"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -128,14 +141,78 @@ def _any_encoding(token: Column, of: Callable[[str, str, float], Column]) -> Col
     return out
 
 
-def battery(found: Column) -> Column:
-    """Candidates (start, end, match) with encoding, length, and the tests' figures."""
-    stripped = F.transform(
-        found, lambda x: F.struct(x["start"], x["end"], F.rtrim(x["match"], F.lit("=")).alias("token"))
+def with_parts(rows: DataFrame, name: str) -> DataFrame:
+    """Cut runs (start, end, match) as candidates (start, end, token), those that no alphabet holds in parts.
+
+    A part between two separators of one kind comes from the split at that kind,
+    one between two kinds from ``EDGES``; so none comes twice.  The places follow
+    from running lengths over all parts of a document.
+    """
+    mixed, sizes, ends = f"{name}_mixed", f"{name}_mixed_sizes", f"{name}_mixed_ends"
+    parts, part_sizes, part_ends = f"{name}_parts", f"{name}_part_sizes", f"{name}_part_ends"
+    plus = lambda a, b: a + b
+    unfit = lambda x: x["token"].rlike("[+/]") & x["token"].rlike("[_-]")
+    rows = rows.withColumn(
+        name,
+        F.transform(
+            F.filter(name, lambda x: x["end"] - x["start"] >= LEAST_RUN),
+            lambda x: F.struct(x["start"], x["end"], F.rtrim(x["match"], F.lit("=")).alias("token")),
+        ),
+    )
+    rows = rows.withColumns(
+        {
+            mixed: F.transform(
+                F.filter(name, unfit),
+                lambda x: F.struct(x["start"], x["end"], x["token"], F.length(x["token"]).alias("n")),
+            ),
+            name: F.filter(name, lambda x: ~unfit(x)),
+        }
+    )
+    # A split at a character loses it, so its pieces count one more each.
+    rows = rows.withColumn(sizes, F.transform(mixed, lambda x: 3 * x["n"] + 2))
+    rows = with_running(rows, {ends: sizes}, plus, F.lit(0))
+
+    def pieces(x: Column, end: Column) -> Column:
+        def split(pattern: str, lost: int, before: Column) -> Column:
+            return F.transform(
+                F.split(x["token"], pattern),
+                lambda p: F.struct(
+                    x["start"].alias("first"), (x["start"] + x["n"]).alias("stop"), x["end"].alias("end"),
+                    (x["start"] - end + 3 * x["n"] + 2 - before).alias("zero"),
+                    p.alias("token"), (F.length(p) + lost).alias("size"), F.lit(lost == 0).alias("edged"),
+                ),
+            )
+
+        return F.concat(
+            split("[+/]", 1, F.lit(0)), split("[_-]", 1, x["n"] + 1), split(EDGES, 0, 2 * x["n"] + 2)
+        )
+
+    rows = rows.withColumn(parts, F.flatten(F.zip_with(mixed, ends, pieces)))
+    rows = rows.withColumn(part_sizes, F.transform(parts, lambda y: y["size"]))
+    rows = with_running(rows, {part_ends: part_sizes}, plus, F.lit(0))
+
+    def place(y: Column, end: Column) -> Column:
+        start = y["zero"] + end - y["size"]
+        stop = start + F.length(y["token"])
+        return F.struct(
+            start.alias("start"), F.when(stop == y["stop"], y["end"]).otherwise(stop).alias("end"), y["token"],
+            (~y["edged"] | ((start > y["first"]) & ~y["token"].rlike("[+/_-]"))).alias("whole"),
+        )
+
+    placed_parts = F.filter(
+        F.zip_with(parts, part_ends, place), lambda y: y["whole"] & (y["end"] - y["start"] >= LEAST_RUN)
     )
+    return rows.withColumn(
+        name,
+        F.concat(name, F.transform(placed_parts, lambda y: F.struct(y["start"], y["end"], y["token"]))),
+    )
+
+
+def battery(found: Column) -> Column:
+    """Candidates (start, end, token) with encoding, length, and the tests' figures."""
     coded = F.filter(
         F.transform(
-            stripped,
+            found,
             lambda x: F.struct(
                 x["start"], x["end"], x["token"], F.length(x["token"]).cast("double").alias("n"),
                 _any_encoding(
@@ -250,7 +327,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: tupl
     )
     whole = F.col("_text")
     least = {"assign": ASSIGN, "access": r"AKIA[A-Z0-9]{16}", "hex": r"[0-9a-f]{24}", "random": CANDIDATE}
-    kinds = [("assign", ASSIGN), ("access", ACCESS), ("hex", r"[0-9a-f]{24,}"), ("random", CANDIDATE)]
+    kinds = [("assign", ASSIGN), ("access", ACCESS), ("hex", r"[0-9a-f]{24,}"), ("random", CUT)]
     rows = rows.withColumns({f"_{kind}": matches(whole, whole.rlike(least[kind]), p) for kind, p in kinds})
     rows = rows.withColumns({f"_{kind}_sizes": F.transform(f"_{kind}", lambda c: F.length(c)) for kind, _ in kinds})
     rows = with_running(
@@ -259,6 +336,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: tupl
     rows = rows.withColumns(
         {f"_{kind}": placed(F.col(f"_{kind}"), F.col(f"_{kind}_ends"), kind, p) for kind, p in kinds}
     )
+    rows = with_parts(rows, "_random")
     rows = rows.withColumn("_random", battery(F.col("_random")))
     rows = with_discoveries(rows, "_random")
 
