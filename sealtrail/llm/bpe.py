@@ -36,6 +36,8 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 # How many parts a worker keeps, and the longest one kept.
 KEPT_PARTS = 1 << 18
 KEPT_LENGTH = 40
+# The longest white-space run that the library gets.
+LIBRARY_SPACES = 100_000
 
 
 def _printable() -> dict[str, int]:
@@ -233,7 +235,12 @@ class Bpe:
 
 
 class LibraryBpe(Bpe):
-    """The same ids, with new parts encoded by the tiktoken library from the same vocabulary."""
+    """The same ids, with new parts encoded by the tiktoken library from the same vocabulary.
+
+    The library's split keeps a step of its stack, of a million at most, for each
+    character of a white-space run, and fails above; parts with long runs are
+    encoded as in the base class.
+    """
 
     def __init__(self, path: str):
         super().__init__(path)
@@ -243,11 +250,14 @@ class LibraryBpe(Bpe):
         self.library = tiktoken.Encoding("own", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
 
     def _encode_part(self, part: str) -> bytes:
+        if len(part) > LIBRARY_SPACES and any(m.end() - m.start() > LIBRARY_SPACES for m in _SPACE_RUN.finditer(part)):
+            return super()._encode_part(part)
         return array("I", map(self.ids.__getitem__, self.library.encode_ordinary(part))).tobytes()
 
 
 # A space next to other white space: there a plain split could cut inside a piece.
 _SPACES = re.compile(r" \s|\s ")
+_SPACE_RUN = re.compile(r"\s+")
 _BORDER = re.compile(r"(?<=\S) (?=\S)")
 
 

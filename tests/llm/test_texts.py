@@ -192,6 +192,25 @@ def test_tokens_of_odd_strings():
         assert own.decode(got) == library.decode(ids, skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("run", [" ", "\n", "\u2003"])
+def test_tokens_of_very_long_runs(run):
+    own, quick = bpe.Bpe(VOCABULARY), bpe.LibraryBpe(VOCABULARY)
+    text = "before" + run * (2_000_000 // len(run)) + "after it"
+    ids = np.frombuffer(quick.encode(text), np.uint32)
+    assert own.decode(ids) == text
+    for n in (bpe.LIBRARY_SPACES - 1, bpe.LIBRARY_SPACES, bpe.LIBRARY_SPACES + 1):
+        part = "before" + run * (n // len(run)) + "after it" + " " * n
+        assert quick.encode(part) == own.encode(part)
+    assert quick.encode(text) == own.encode(text)
+
+
+def test_packing_of_very_long_space_runs(spark):
+    rows = packing.pack(frame(spark, [" " * 2_000_000 + "x", "a" + "\n" * 1_500_000 + "b", "c"]), VOCABULARY).collect()
+    own = bpe.Bpe(VOCABULARY)
+    size = len(own.encode(" " * 2_000_000 + "x")) // 4 + 1
+    assert sum(r.length for r in rows if r.doc_id == 0) == size and {r.doc_id for r in rows} == {0, 1, 2}
+
+
 def test_tokenise_returns_ids_and_text(spark, docs):
     for r in bpe.tokenise(docs, VOCABULARY).join(docs.select("doc_id", "text").distinct(), "doc_id").collect():
         assert r.decoded == (r.text or "")
