@@ -1,12 +1,16 @@
 """Licence scans: a trained paragraph classifier whose predictions templates confirm.
 
-A paragraph is a line.  Its words' one-, two- and three-word runs, hashed, are the sparse
+A paragraph is a run of lines up to one without words; words are letters and
+digits, so comment marks do not count and a notice may be wrapped anywhere.
+Its windows are the spans of words that hold at least ``CONFIRM`` of the two-word
+runs of a notice, wherever they begin: no other window could be confirmed, so
+the classifier judges these alone.  A window is at most twice the notice and eight words.
+Its words' one-, two- and three-word runs, hashed, are the sparse
 features of a multinomial logistic regression over licence families and
 ``unknown``.  It learns from the notices below, with words left out, cut and
 surrounded by others, and for ``unknown`` from lines of the corpus itself.
 A held-out part of the sample sets the temperature of the chances and the least chance
-at which no unknown line passes.  What passes must also hold at least
-``CONFIRM`` of the two-word runs of one of the family's notices.
+at which no unknown line passes.  The family must be that of the notice.
 
 It learns from at most ``LEARN_LINES`` corpus lines, one per document, so what the driver holds
 is bounded; scanning reads every line.
@@ -97,9 +101,25 @@ def lines(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.append(begin, len(raw)), np.searchsorted(starts, begin, "right") - 1
 
 
+def paragraphs(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of all paragraphs (one more than paragraphs), and the text each belongs to."""
+    bounds, text = lines(raw, starts)
+    if not len(text):
+        return bounds, text
+    total = np.concatenate([[0], np.cumsum(~_NOT_WORD[raw])])
+    blank = total[bounds[1:]] == total[bounds[:-1]]
+    first = np.append(True, (text[1:] != text[:-1]) | blank[:-1])
+    return np.append(bounds[:-1][first], len(raw)), text[first]
+
+
 def grams(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all one-, two- and three-word runs, the line of each, and its number of words."""
     _, _, word, line = word_hashes(raw, starts, _NOT_WORD)
+    return runs(word, line)
+
+
+def runs(word: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``grams``, of words whose hashes and lines are known."""
     hashes, owner, size = [word], [line], [np.ones(len(word), np.int64)]
     run = word
     for n in (2, 3):
@@ -118,6 +138,9 @@ def _pairs(text: str) -> np.ndarray:
 
 
 _TEMPLATES = [(CLASSES.index(family), _pairs(text)) for family, texts in NOTICES.items() for text in texts]
+_ALL_PAIRS = np.unique(np.concatenate([t for _, t in _TEMPLATES]))
+# Family, two-word runs, and the most words of a window.
+_WINDOWS = [(family, pairs, 2 * (len(pairs) + 1) + 8) for family, pairs in _TEMPLATES]
 
 
 class Scanner:
@@ -171,25 +194,34 @@ class Scanner:
         wrong = known[truth == len(CLASSES) - 1]
         self.least = min(max(float(wrong.max(initial=0.0)) + 1e-6, 0.3), 0.9)
 
-    def scan(self, raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Text, family and chance of every confirmed line."""
-        bounds, text = lines(raw, starts)
-        count = len(text)
-        hashes, owner, size = grams(raw, bounds)
-        chances = self.chances(self.scores(hashes, owner, count))
-        family = chances[:, :-1].argmax(1) if count else np.zeros(0, np.int64)
-        sure = chances[np.arange(count), family]
-        held = np.flatnonzero(sure >= self.least)
-        two = (size == 2) & np.isin(owner, held)
-        pairs, line = hashes[two], owner[two]
-        confirmed = np.zeros(count, bool)
-        for number, template in _TEMPLATES:
-            inside = np.isin(pairs, template)
-            both = np.unique(np.stack([line[inside].astype(np.uint64), pairs[inside]], 1), axis=0)
-            found = np.bincount(both[:, 0].astype(np.int64), minlength=count)
-            confirmed |= (family == number) & (found >= CONFIRM * len(template)) & (sure >= self.least)
-        kept = np.flatnonzero(confirmed)
-        return text[kept], family[kept], sure[kept]
+    def scan(self, raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Text, paragraph, family and chance of every confirmed window."""
+        bounds, text = paragraphs(raw, starts)
+        _, _, word, inside = word_hashes(raw, bounds, _NOT_WORD)
+        pair = mixed(word[:-1] * np.uint64(FACTOR) + word[1:])
+        pair[inside[1:] != inside[:-1]] = 0
+        known = np.flatnonzero(np.isin(pair, _ALL_PAIRS))
+        first, last, number = [], [], []
+        for n, (family, template, most) in enumerate(_WINDOWS):
+            hits = known[np.isin(pair[known], template)]
+            # The last hit that a window from each hit still reaches, in the same paragraph.
+            close = np.searchsorted(hits, hits + most - 2, "right")
+            close = np.minimum(close, np.searchsorted(inside[hits], inside[hits], "right"))
+            which = np.searchsorted(template, pair[hits])
+            for at in np.flatnonzero(close - np.arange(len(hits)) >= CONFIRM * len(template)):
+                if len(np.unique(which[at : close[at]])) >= CONFIRM * len(template):
+                    first.append(hits[at])
+                    last.append(hits[close[at] - 1] + 2)
+                    number.append(family)
+        begin, size = np.array(first, np.int64), np.array(last, np.int64) - np.array(first, np.int64)
+        owner = np.repeat(np.arange(len(begin)), size)
+        places = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(len(owner))
+        hashes, owner, _ = runs(word[places], owner)
+        chances = self.chances(self.scores(hashes, owner, len(begin))) if len(begin) else np.zeros((0, len(CLASSES)))
+        family = np.array(number, np.int64)
+        sure = chances[np.arange(len(begin)), family]
+        kept = np.flatnonzero((sure >= self.least) & (sure == chances[:, :-1].max(1, initial=0.0)))
+        return text[inside[begin[kept]]], inside[begin[kept]], family[kept], sure[kept]
 
 
 def _of_texts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -242,9 +274,11 @@ def licences(docs: DataFrame, scanner: Scanner, doc_id: str = "doc_id", text: st
             n = batch.num_rows
             names: list[set[str]] = [set() for _ in range(n)]
             counts, best = np.zeros(n, np.int64), np.zeros(n)
-            for row, family, sure in zip(*scanner.scan(*utf8(batch.column(1)))):
+            before = -1
+            for row, paragraph, family, sure in sorted(zip(*scanner.scan(*utf8(batch.column(1))))):
                 names[row].add(CLASSES[family])
-                counts[row] += 1
+                counts[row] += paragraph != before
+                before = paragraph
                 best[row] = max(best[row], sure)
             joined = [",".join(sorted(x)) if x else None for x in names]
             yield pa.RecordBatch.from_arrays(

@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 import string
+import textwrap
 import zlib
 
 import numpy as np
@@ -473,3 +474,24 @@ def test_licences(spark, docs):
         assert {x.licences for x in each} == {name}
     assert {x.doc_id for x in licences.licences(docs, scanner).where("licences = 'MIT'").collect()} == {12, 13}
     assert licences.licences(empty(spark), licences.train(empty(spark))).count() == 0
+
+
+def test_wrapped_notices_and_notices_amid_long_lines(spark):
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(2, 8)))
+    prose = [" ".join(word() for _ in range(r.randint(5, 60))) for _ in range(200)]
+    scanner = licences.train(frame(spark, prose))
+    texts, names = [], []
+    for name, notices in licences.NOTICES.items():
+        for notice in notices:
+            for mark in ("", " * ", "# ", "// "):
+                wrapped = textwrap.wrap(f"{prose[3]} {notice} {prose[4]}", 60)
+                texts.append("x = 1\n\n" + "\n".join(mark + line for line in wrapped))
+            texts.append(" ".join([*prose[:20], notice, *prose[20:40]]))
+            texts.append(notice.replace(" ", "\n\n"))
+            names += [name] * 5 + [None]
+    texts.append("\n\n".join(["Released under the MIT License.", prose[0], "Released under the\nBSD License."]))
+    found = {x.doc_id: x for x in licences.licences(frame(spark, texts), scanner).collect()}
+    assert [found[i].licences for i in range(len(names))] == names
+    assert all(found[i].n_paragraphs == (n is not None) for i, n in enumerate(names))
+    assert found[len(names)].licences == "BSD,MIT" and found[len(names)].n_paragraphs == 2
