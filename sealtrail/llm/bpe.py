@@ -224,14 +224,18 @@ class Bpe:
             if x
         )
 
-    def decode(self, ids: np.ndarray) -> str:
-        """The text of ids, with specials; bytes that are no UTF-8 are replaced."""
+    def flat_bytes(self, ids: np.ndarray) -> bytes:
+        """The bytes of ids, with specials."""
         if not len(ids):
-            return ""
+            return b""
         first, sizes = self.starts[ids], self.starts[ids.astype(np.int64) + 1] - self.starts[ids]
         ends = np.cumsum(sizes)
         places = np.repeat(first - (ends - sizes), sizes) + np.arange(ends[-1])
-        return self.flat[places].tobytes().decode("utf-8", "replace")
+        return self.flat[places].tobytes()
+
+    def decode(self, ids: np.ndarray) -> str:
+        """The text of ids, with specials; bytes that are no UTF-8 are replaced."""
+        return self.flat_bytes(ids).decode("utf-8", "replace")
 
 
 class LibraryBpe(Bpe):

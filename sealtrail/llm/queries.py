@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sealtrail.llm import (
+    alignment,
     bpe,
+    centroids,
     exact_dedup,
     language_id,
     licences,
@@ -17,15 +19,16 @@ from sealtrail.llm import (
     packing,
     quality,
     secrets,
+    token_counts,
     url_filter,
 )
 from sealtrail.llm.common import table
 
 
-def vocabulary() -> str:
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +74,19 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, language_id.train(docs))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary())
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return alignment.alignment_digests(docs, vocabulary(), vocabulary("piece_bpe_32k.model"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_bpe": op2_bpe,
@@ -82,11 +98,54 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_packing": op9_packing,
     "op10_language_id": op10_language_id,
+    "op11_token_counts": op11_token_counts,
+    "op12_centroids": op12_centroids,
+    "op13_alignment": op13_alignment,
 }
 
 _FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+
+def _centroid_sql(rounds: int) -> str:
+    """The rounds of op12 one after another, in whole numbers."""
+    sql = ["""
+        WITH kept AS MATERIALIZED (
+            SELECT row_number() OVER () AS r, vec_id,
+                   list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+            FROM embeddings
+            WHERE len(embedding) = 64
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        long AS MATERIALIZED (SELECT r, unnest(range(64)) AS d, unnest(v) AS x FROM kept),
+        c0 AS MATERIALIZED (
+            SELECT row_number() OVER (ORDER BY h NULLS LAST, v) - 1 AS c, v
+            FROM (SELECT sha256('3:' || vec_id) AS h, v FROM kept ORDER BY h NULLS LAST, v LIMIT 8))"""]
+    for i in range(rounds + 1):
+        sql.append(f"""
+        a{i} AS MATERIALIZED (
+            SELECT r, min_by(c, (dist, c)) AS c, min(dist) AS dist
+            FROM (SELECT r, c, list_sum(list_transform(list_zip(kept.v, c{i}.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS dist
+                  FROM kept CROSS JOIN c{i})
+            GROUP BY r)""")
+        if i < rounds:
+            sql.append(f"""
+        c{i + 1} AS MATERIALIZED (
+            SELECT c, coalesce(m.v, c{i}.v) AS v
+            FROM c{i} LEFT JOIN (
+                SELECT c, list(m ORDER BY d) AS v
+                FROM (SELECT c, d, CAST((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS m
+                      FROM long JOIN a{i} USING (r) GROUP BY c, d)
+                GROUP BY c) AS m USING (c))""")
+    return ",".join(sql) + f"""
+        SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(dist AS BIGINT) AS distance,
+               CAST(sum(dist) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+               CAST(sum(dist) OVER () AS BIGINT) AS inertia,
+               sha256(array_to_string(c{rounds}.v, ',')) AS centroid_sha256
+        FROM a{rounds} JOIN kept USING (r) JOIN c{rounds} USING (c)"""
+
+
 LLM_ORACLES: dict[str, str] = {
+    "op12_centroids": _centroid_sql(10),
     "op3_exact_dedup": f"""
         WITH d AS (SELECT doc_id, sha256({_FOLDED}) AS text_sha256 FROM documents)
         SELECT doc_id,
