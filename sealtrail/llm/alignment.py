@@ -83,10 +83,10 @@ def overlapping(document: np.ndarray, start: np.ndarray, other_document: np.ndar
     forth = pd.merge_asof(left, right, on="start", by="document")
     back = pd.merge_asof(right, left, on="start", by="document")
     # A pair with equal starts is found in both directions.
-    both = np.union1d(
-        forth["a"].to_numpy(np.int64) << 32 | forth["b"].to_numpy(np.int64),
-        back["a"].to_numpy(np.int64) << 32 | back["b"].to_numpy(np.int64),
-    )
+    back = back[start[back["a"].to_numpy(np.int64)] != other_start]
+    pairs = [side["a"].to_numpy(np.int64) << 32 | side["b"].to_numpy(np.int64) for side in (forth, back)]
+    both = np.concatenate(pairs)
+    both.sort(kind="stable")
     return both >> 32, both & 0xFFFFFFFF
 
 
