@@ -195,21 +195,29 @@ def align(docs: DataFrame, vocabulary: str, model: str, doc_id: str = "doc_id",
     return rows.mapInArrow(run, f"doc_id {kind}, {lists}, overlaps array<struct<a:long,b:long>>, groups array<struct<a:long,b:long>>")
 
 
-def _digest(d: Document, shown_a: list[str], shown_b: list[str], links: np.ndarray) -> str:
-    """SHA-256 of the groups' ids."""
+@lru_cache(maxsize=1)
+def _shown(a: int, b: int) -> list[str]:
+    """Each id as it is shown inside a group, then as the last of its side; first the ids of A, then those of B."""
+    return [f"{i}{mark}" for marks, n in ((",|", a), (",;", b)) for mark in marks for i in range(n)]
+
+
+def _digest(d: Document, links: np.ndarray, a_size: int, b_size: int) -> str:
+    """SHA-256 of the groups' ids, each group's A ids before its B ids."""
     if not len(links):
         return ""
-    a, b = list(map(shown_a.__getitem__, d.a.tolist())), list(map(shown_b.__getitem__, d.b.tolist()))
-    stops = (links + 1).tolist()
-    digest, mark = hashlib.sha256(), b""
-    a0 = b0 = 0
-    for first in range(0, len(stops), 10_000):
-        parts = []
-        for a1, b1 in stops[first : first + 10_000]:
-            parts.append(f"{','.join(a[a0:a1])}|{','.join(b[b0:b1])}")
-            a0, b0 = a1, b1
-        digest.update(mark + ";".join(parts).encode())
-        mark = b";"
+    stops = np.concatenate([[[0, 0]], links + 1])
+    tokens = np.empty(len(d.a) + len(d.b), np.int64)
+    # A token stands behind all earlier ones of its side, and the other side's groups that come first.
+    a_at = np.arange(len(d.a)) + np.repeat(stops[:-1, 1], np.diff(stops[:, 0]))
+    b_at = np.arange(len(d.b)) + np.repeat(stops[1:, 0], np.diff(stops[:, 1]))
+    tokens[a_at], tokens[b_at] = d.a, d.b + 2 * a_size
+    tokens[a_at[links[:, 0]]] += a_size
+    tokens[b_at[links[:, 1]]] += b_size
+    shown, digest = _shown(a_size, b_size), hashlib.sha256()
+    for first in range(0, len(tokens) - 1, 1 << 16):
+        part = tokens[first : min(first + (1 << 16), len(tokens) - 1)]
+        digest.update("".join(map(shown.__getitem__, part.tolist())).encode())
+    digest.update(shown[tokens[-1]][:-1].encode())
     return digest.hexdigest()
 
 
@@ -220,8 +228,7 @@ def linked(docs: DataFrame, vocabulary: str, model: str, doc_id: str, text: str)
     """Per document its figures, and its different linked ids with how often each occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shown_a = [str(i) for i in range(len(load(vocabulary, library=True).starts))]
-        shown_b = [str(i) for i in range(len(pieces(model).bytes_of))]
+        sizes = len(load(vocabulary, library=True).starts), len(pieces(model).bytes_of)
         for batch, documents in _batches(batches, vocabulary, model):
             figures: list[list] = [[] for _ in range(6)]
             ids: list[list] = [[] for _ in range(3)]
@@ -229,7 +236,7 @@ def linked(docs: DataFrame, vocabulary: str, model: str, doc_id: str, text: str)
                 links = _joined(d.links)
                 pairs, times = np.unique(d.a[links[:, 0]] << 32 | d.b[links[:, 1]], return_counts=True)
                 # A group ends where a link does, so there are as many of both.
-                row = (len(d.a), len(d.b), len(links), len(links), sum(map(len, d.overlaps)), _digest(d, shown_a, shown_b, links))
+                row = (len(d.a), len(d.b), len(links), len(links), sum(map(len, d.overlaps)), _digest(d, links, *sizes))
                 for column, value in zip(figures, row):
                     column.append(value)
                 for column, value in zip(ids, (pairs >> 32, pairs & 0xFFFFFFFF, times)):
