@@ -74,6 +74,17 @@ def known_ids(ledger: DataFrame, ids: DataFrame) -> DataFrame:
     return ledger.select("object_id").join(ids, "object_id", "left_semi")
 
 
+def number_keys(keys: DataFrame, first_seq: int) -> tuple[DataFrame, int, str | None, str | None]:
+    """Add dense ingest numbers by (created, object id) to keys of rows.
+
+    Also returns their count, and the first and last time of creation.
+    """
+    ends: list[tuple] = []
+    indexed, count = with_dense_index(keys, ["created_locally_at_utc", "object_id"], "_place", ends)
+    numbered = indexed.select("*", (F.col("_place") + first_seq).alias("ingest_seq")).drop("_place")
+    return numbered, count, *((ends[0][0], ends[1][0]) if ends else (None, None))
+
+
 def number_rows(rows: DataFrame, first_seq: int) -> tuple[DataFrame, int]:
     """Add dense ingest numbers by (created, object id); also return the count."""
     order = ["created_locally_at_utc", "object_id"]

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -51,8 +51,11 @@ class MountainRange:
             bagged = _parent(peak, bagged)
         return bagged
 
-    def extended(self, trees: list[tuple[int, str]]) -> MountainRange:
-        """Add (height, root) of the perfect trees that follow, in order."""
+    def extended(self, trees: list[tuple[int, str]], blocks: dict[int, str] | None = None) -> MountainRange:
+        """Add (height, root) of the perfect trees that follow, in order.
+
+        ``blocks`` takes the nodes of whole blocks that come about by merging, by block number.
+        """
         count = self.leaf_count
         bits = [h for h in range(count.bit_length() - 1, -1, -1) if count >> h & 1]
         stack = list(zip(bits, self.peaks))
@@ -61,6 +64,8 @@ class MountainRange:
             while stack and stack[-1][0] == height:
                 node = _parent(stack.pop()[1], node)
                 height += 1
+                if blocks is not None and height == BLOCK_LEVELS:
+                    blocks[(count - 1) >> BLOCK_LEVELS] = node
             stack.append((height, node))
         return MountainRange(count, tuple(node for _, node in stack))
 
@@ -91,10 +96,18 @@ def _fold_block(hashes: Column, levels: Column) -> Column:
 
 
 def perfect_trees(
-    indexed: DataFrame, start: int, end: int, index: str = "leaf_index", leaf: str = "leaf_hash"
+    indexed: DataFrame,
+    start: int,
+    end: int,
+    index: str = "leaf_index",
+    leaf: str = "leaf_hash",
+    keep: Callable[[DataFrame], DataFrame] | None = None,
 ) -> list[tuple[int, str]]:
     """(height, root) of the aligned perfect trees covering ``[start, end)``.
 
+    ``keep`` gets the nodes after the first ten levels, those of whole blocks and of
+    smaller trees, and returns them to be folded on, for example stored.
+
     ``indexed`` has every index in the range once.  The largest aligned tree
     around a leaf ends below the highest bit in which its index differs from
     ``end`` and from ``start - 1``.
@@ -112,6 +125,8 @@ def perfect_trees(
     nodes = nodes.mapInArrow(_fold_whole_blocks, "height int, pos long, node string, folded boolean")
     for done in range(0, max(tallest, 1), BLOCK_LEVELS):
         nodes = _fold_levels(nodes, done)
+        if keep is not None and not done:
+            nodes = keep(nodes)
     rows = nodes.select(_shift_left(F.col("pos"), F.col("height")).alias("first"), "height", "node")
     return [(r.height, r.node) for r in sorted(rows.collect())]
 

@@ -32,10 +32,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def with_dense_index(
-    df: DataFrame, order: list[Column | str], name: str = "leaf_index"
+    df: DataFrame, order: list[Column | str], name: str = "leaf_index", ends: list | None = None
 ) -> tuple[DataFrame, int]:
     """Add each row's 0-based position in ``order``; also return the row count.
 
+    ``ends``, a list, takes the first and last row's values of ``order``, named columns then.
+
     The order has to be total.  One range shuffle sorts the rows, so rows that
     share the leading key are split by the next one.  The sorted rows are
     checkpointed, which fixes partition contents; each row then adds its place
@@ -52,9 +54,12 @@ def with_dense_index(
         .checkpoint()
     )
     part = F.shiftright("_slot", _SLOT_BITS)
-    sizes = sorted(tuple(r) for r in placed.groupBy(part.alias("part")).count().collect())
-    ends = list(accumulate(n for _, n in sizes))
-    starts = [(p, end - n) for (p, n), end in zip(sizes, ends)]
+    keys = [] if ends is None else [f(F.struct(*order)).alias(n) for f, n in ((F.min, "low"), (F.max, "high"))]
+    found = sorted(tuple(r) for r in placed.groupBy(part.alias("part")).agg(F.count("*"), *keys).collect())
+    if ends is not None and found:
+        ends += [tuple(found[0][2]), tuple(found[-1][3])]
+    stops = list(accumulate(r[1] for r in found))
+    starts = [(r[0], stop - r[1]) for r, stop in zip(found, stops)]
     offsets = spark.createDataFrame(starts, "_part long, _start long")
     place = F.col("_slot").bitwiseAND(F.lit((1 << _SLOT_BITS) - 1))
     indexed = (
@@ -62,4 +67,4 @@ def with_dense_index(
         .join(F.broadcast(offsets), "_part")
         .select(*columns, (F.col("_start") + place).alias(name))
     )
-    return indexed, ends[-1] if ends else 0
+    return indexed, stops[-1] if stops else 0

@@ -43,21 +43,29 @@ ENVELOPE_SCHEMA = (
     "payload struct<byte_length:bigint,bytes_sha256:string,media_type:string>"
 )
 
-# ``peaks`` holds the range's perfect-tree roots, largest first; their heights
-# are the set bits of ``leaf_count``.
-STATE_SCHEMA = T.StructType(
-    [
-        T.StructField("merkle_root", T.StringType()),
-        T.StructField("leaf_count", T.LongType()),
-        T.StructField("updated_at_utc", T.StringType()),
-        T.StructField("peaks", T.ArrayType(T.StringType())),
-        T.StructField("rows_added", T.LongType()),
-        T.StructField("min_created", T.StringType()),
-        T.StructField("last_created", T.StringType()),
-        T.StructField("last_seq", T.LongType()),
-        T.StructField("next_seq", T.LongType()),
-        T.StructField("batch_key", T.StringType()),
-    ]
+# A run is one folder of Parquet files.  ``rows`` counts what it holds.
+RUNS = "array<struct<folder:string,rows:bigint>>"
+
+# What is kept of every snapshot.  ``peaks`` holds the range's perfect-tree roots,
+# largest first; their heights are the set bits of ``leaf_count``.
+SNAPSHOT_FIELDS = (
+    "batch_no long, merkle_root string, leaf_count long, updated_at_utc string, peaks array<string>, rows_added long, "
+    "min_created string, last_created string, last_seq long, next_seq long, batch_key string"
+)
+
+# A state row is a snapshot and what the next append needs: the live runs, the
+# snapshots that are still prefixes, and where the nodes of whole blocks are.
+#
+# ``open_created`` and ``open_seq`` are the order of the first leaf of the last, unfinished block.
+# A segment says that a folder has the nodes of blocks [first, last); ``node`` is that of
+# the first block if the folder lacks it, ``created`` and ``seq`` the order of its first leaf.
+STATE_SCHEMA = (
+    SNAPSHOT_FIELDS
+    + f", row_runs {RUNS}, id_runs {RUNS}, history_runs {RUNS}, dropped array<string>"
+    + ", open_created string, open_seq long"
+    + ", prefixes array<struct<batch_no:bigint,leaf_count:bigint,last_created:string,last_seq:bigint,"
+    "peaks:array<string>,open_created:string,open_seq:bigint>>"
+    + ", segments array<struct<folder:string,first:bigint,last:bigint,created:string,seq:bigint,node:string>>"
 )
 
 # Fixed values of the ledger format.
