@@ -184,6 +184,11 @@ def text_chunks(
 
 def history_text(history: Column) -> Column:
     """``Human: …`` and ``AI: …`` lines of an array of (role, content)."""
+    return F.when(history.isNotNull(), F.coalesce(history_lines(history), F.lit("")))
+
+
+def history_lines(history: Column) -> Column:
+    """The same, but null if there is no line: a turn without content leaves none."""
     lines = F.transform(
         history,
         lambda turn: F.concat(
@@ -191,7 +196,8 @@ def history_text(history: Column) -> Column:
             turn["content"],
         ),
     )
-    return F.array_join(lines, "\n")
+    said = F.filter(lines, lambda line: line.isNotNull())
+    return F.when(F.size(said) > 0, F.array_join(said, "\n"))
 
 
 def prompt_text(system_text: Column, history: Column, message: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sealtrail.functions import residue_arrays as A
@@ -94,35 +94,61 @@ def text_chunks(
     )
 
 
+# Turn numbers per block of a history.
+HISTORY_BLOCK = 64
+
+
 def chat_history(
     turns: DataFrame,
     conversation: str = "conv_id",
     turn: str = "turn",
     role: str = "role",
     content: str = "content",
+    block: int = HISTORY_BLOCK,
 ) -> DataFrame:
     """For each human turn, the earlier turns of its conversation as lines.
 
-    Every result row holds the text of all earlier turns, so the result itself
-    grows with the square of a conversation's length; the window adds nothing
-    to that.
+    Turns are gathered in blocks of ``block`` turn numbers.  The text before a block is put
+    together once per block, from whole earlier blocks; a turn adds the lines before it in its
+    own block.  So no task holds the turns of a whole conversation, and a long one is dealt
+    over tasks by (conversation, block).  The result itself grows with the square of a
+    conversation's length, as every row holds all earlier turns; making it moves one copy of
+    a block's text for each later block.
+
+    A null turn number comes first.  Turns without text leave no line.
     """
-    earlier = (
-        Window.partitionBy(conversation)
-        .orderBy(turn)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
     speaker = F.when(F.col(role) == "human", F.lit("user")).otherwise(F.col(role))
-    entry = F.struct(speaker.alias("role"), F.col(content).alias("content"))
-    return (
-        turns.withColumn("history", F.collect_list(entry).over(earlier))
-        .where(F.col(role) == "human")
-        .select(
-            conversation,
-            turn,
-            F.col(content).alias("message"),
-            X.history_text(F.col("history")).alias("history"),
-        )
+    entry = F.struct(F.col(turn).alias("turn"), speaker.alias("role"), F.col(content).alias("content"))
+    number = F.coalesce(F.floor(F.col(turn) / block).cast("long"), F.lit(-(1 << 62)))
+    key = F.struct(F.col(conversation).alias("conversation")).alias("_key")
+    # Inside a struct, a null conversation joins like any other.
+    blocks = (
+        turns.select(key, number.alias("_block"), entry.alias("entry"))
+        .groupBy("_key", "_block")
+        .agg(F.sort_array(F.collect_list("entry")).alias("entries"))
+    )
+    lines = blocks.select("_key", F.col("_block").alias("_from"), X.history_lines(F.col("entries")).alias("text"))
+    known = blocks.groupBy("_key").agg(F.collect_set("_block").alias("known")).where(F.size("known") > 1)
+    pairs = known.select("_key", "known", F.explode("known").alias("_block")).select(
+        "_key", "_block", F.explode(F.filter("known", lambda b: b < F.col("_block"))).alias("_from")
+    )
+    before = (
+        pairs.join(lines, ["_key", "_from"])
+        .groupBy("_key", "_block")
+        .agg(F.sort_array(F.collect_list(F.struct("_from", "text"))).alias("before"))
+        .select("_key", "_block", F.col("before")["text"].alias("before"))
+    )
+    own = blocks.select("_key", "_block", "entries", F.posexplode("entries").alias("at", "entry")).where(
+        F.col("entry")["role"] == "user"
+    )
+    # ``slice`` takes no length of 0 from an empty start.
+    earlier = F.when(F.col("at") > 0, X.history_lines(F.slice("entries", 1, F.greatest(F.col("at"), F.lit(1)))))
+    parts = F.concat(F.coalesce("before", F.array().cast("array<string>")), F.array(earlier))
+    return own.join(before, ["_key", "_block"], "left").select(
+        F.col("_key")["conversation"].alias(conversation),
+        F.col("entry")["turn"].alias(turn),
+        F.col("entry")["content"].alias("message"),
+        F.array_join(parts, "\n").alias("history"),
     )
 
 

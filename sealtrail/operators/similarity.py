@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
+from sealtrail.operators.ordering import with_dense_index
 from sealtrail.schema import HEATMAP_ITEMS
 
 # Ship this module's helpers with the job, so executors need no install.
@@ -22,12 +23,17 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 MAX_ITEMS = 1024
 
 
-def in_blocks(items: DataFrame, position: str = "vec_id", size: int = HEATMAP_ITEMS, name: str = "sequence") -> DataFrame:
-    """Add the number of the run of ``size`` positions that each item is in.
+def in_blocks(
+    items: DataFrame, position: str = "vec_id", size: int = HEATMAP_ITEMS, name: str = "sequence", place: str = "place"
+) -> DataFrame:
+    """Add each item's dense place in order of ``position``, and the number of its run of ``size`` places.
 
-    Grouped by it, every item is in one map, and the cells grow with the items.
+    Grouped by the run and ordered by the place, every item is in one map, also if positions
+    repeat or are null (those come last), and the cells grow with the items.
     """
-    return items.withColumn(name, F.floor(F.col(position) / F.lit(size)).cast("long"))
+    rows = items.withColumn("_row", F.monotonically_increasing_id())
+    placed, _ = with_dense_index(rows, [F.col(position).asc_nulls_last(), F.col("_row")], place)
+    return placed.drop("_row").withColumn(name, F.floor(F.col(place) / F.lit(size)).cast("long"))
 
 
 def first_items(

@@ -9,6 +9,7 @@ from sealtrail.functions import sequence as Q
 from sealtrail.operators.required import REQUIRED_FIELDS
 from sealtrail.plans.inputs import PROFILE, SYNCED_AT
 from sealtrail.plans.queries import SAMPLE_RULES, SAMPLE_THREATS
+from sealtrail.sources.runs import FAN
 
 AUTHOR = PROFILE.author
 KEY = PROFILE.key_sha256
@@ -289,8 +290,8 @@ conf AS (SELECT doc_id, pos, greatest(50.0::double, least(98.0::double,
     WHEN residue IN ('K','R','D','E','H','N','P','Q') THEN 70.0 ELSE 60.0 END::double
   + sin(pos * 0.7::double) * 4 + (pos % 7) * 0.5::double)) AS value FROM res)"""
 
-SIMILARITY = """few AS MATERIALIZED (SELECT vec_id // 64 AS sequence,
-  row_number() OVER (PARTITION BY vec_id // 64 ORDER BY vec_id) - 1 AS i, embedding::double[] AS v FROM embeddings),
+SIMILARITY = """few AS MATERIALIZED (SELECT place // 64 AS sequence, place % 64 AS i, v FROM (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST) - 1 AS place, embedding::double[] AS v FROM embeddings)),
 pairs AS (SELECT a.sequence, a.i, b.i AS j, list_dot_product(a.v, b.v) /
   (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v)) + 1e-9) AS value
   FROM few a JOIN few b ON a.sequence = b.sequence)"""
@@ -337,6 +338,16 @@ WHERE object_id IN (SELECT parent_id FROM led WHERE parent_id IS NOT NULL)""",
     "lookup_one": f"""WITH {EXCHANGES} SELECT object_id, object_type, node_id, fco_root FROM led
 ORDER BY object_id LIMIT 1""",
     "ledger_append": f"WITH {STORED} SELECT ingest_seq, object_id, synced_at_utc FROM stored",
+    "lookup_stored": f"""WITH {EXCHANGES}
+SELECT object_id, object_type, node_id, fco_root FROM led
+WHERE object_id IN (SELECT parent_id FROM led WHERE parent_id IS NOT NULL)""",
+    "merged_batches": f"""WITH RECURSIVE {TURN_LEDGER}, placed AS (SELECT *,
+  row_number() OVER (ORDER BY conv_id % {FAN + 1}, created, object_id) - 1 AS seq FROM led),
+{root_ctes('placed', 'created, seq')}
+SELECT seq AS ingest_seq, object_id, leaf_count, merkle_root FROM placed CROSS JOIN root""",
+    "late_root": f"""WITH RECURSIVE {EVENT_LEDGER}, {root_ctes(
+        'led', 'created, CASE WHEN event_id % 50 > 0 THEN 0 WHEN event_id % 100 > 0 THEN 1 ELSE 2 END, object_id')}
+SELECT leaf_count, merkle_root FROM root""",
     "state_upsert": f"WITH RECURSIVE {STORED}, {root_ctes('stored')} SELECT merkle_root, leaf_count FROM root",
     "state_read": f"""WITH RECURSIVE {EVENT_LEDGER}, {root_ctes('led', 'created, object_id')}
 SELECT leaf_count, merkle_root FROM root""",
@@ -476,6 +487,14 @@ SELECT doc_id, round(mean, 6) + 0.0 AS mean, floor(mean * 10 + 0.5) / 10 AS mean
   THEN {quote(R.THREAT_WARNING)} END AS warning FROM documents""",
     "text_chunks": f"""WITH {CHUNKS} SELECT doc_id, chars, len(parts) AS chunks,
   unnest(range(len(parts))) AS chunk_no, unnest(parts) AS chunk FROM parts""",
+    "map_sizes": """SELECT sequence, count(*) AS items, count(*) * count(*) AS cells FROM (
+  SELECT (row_number() OVER () - 1) // 64 AS sequence FROM embeddings) GROUP BY sequence""",
+    "long_history": f"""WITH {TURNS}, said AS (SELECT CASE WHEN conv_id % 3 = 0 THEN 0 ELSE conv_id END AS conv_id,
+  CASE WHEN conv_id % 3 = 0 THEN conv_id * 1000 + turn ELSE turn END AS turn, role, content FROM turns),
+told AS (SELECT conv_id, turn, role, coalesce(string_agg(
+  CASE role WHEN 'human' THEN 'Human: ' ELSE 'AI: ' END || content, chr(10))
+  OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS history FROM said)
+SELECT conv_id, turn, length(history) AS chars, sha256(history) AS history_sha256 FROM told WHERE role = 'human'""",
     "chat_history": f"WITH {HISTORY} SELECT conv_id, turn, history FROM hist WHERE role = 'human'",
     "prompt_text": f"""WITH {HISTORY} SELECT conv_id, turn, 'Answer from the ledger.' || chr(10) || chr(10) ||
   'Chat history:' || chr(10) || history || chr(10) || chr(10) || 'Human: ' || message || chr(10) || 'AI:' AS prompt

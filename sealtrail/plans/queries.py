@@ -16,6 +16,7 @@ from sealtrail.operators import integrity, ledger, merkle, reports, sealing, seq
 from sealtrail.plans import inputs as I
 from sealtrail.schema import LEDGER_COLUMNS, LEDGER_TEXT_COLUMNS
 from sealtrail.sources.ledger_table import LedgerTable
+from sealtrail.sources.runs import FAN
 from sealtrail.sources.structure_files import fixed_width_atoms, read_lines
 from sealtrail.streaming import jobs
 
@@ -99,6 +100,40 @@ def ledger_append(spark, sf_dir):
     return rows.select("ingest_seq", "object_id", "synced_at_utc")
 
 
+@query
+def lookup_stored(spark, sf_dir):
+    """Rows of a stored ledger found through its ids' runs."""
+    rows = I.stored(I.exchange_ledger(spark, sf_dir))
+    stored = LedgerTable(spark, I.scratch(spark))
+    stored.append(rows)
+    asked = integrity.parent_edges(rows).select(F.col("parent").alias("object_id"))
+    return stored.lookup(asked).select("object_id", "object_type", "node_id", "fco_root")
+
+
+@query
+def merged_batches(spark, sf_dir):
+    """Rows and numbers after as many batches as are merged into one run."""
+    stored = LedgerTable(spark, I.scratch(spark))
+    rows = I.stored(I.turn_ledger(spark, sf_dir, "conv_id"))
+    for number in range(FAN + 1):
+        stored.append(rows.where(F.col("conv_id") % (FAN + 1) == number))
+    root = stored.root().first()
+    return stored.rows().select(
+        "ingest_seq", "object_id", F.lit(root.leaf_count).alias("leaf_count"), F.lit(root.merkle_root).alias("merkle_root")
+    )
+
+
+@query
+def late_root(spark, sf_dir):
+    """Root after three batches, of which the later ones date among and before the earlier ones."""
+    stored = LedgerTable(spark, I.scratch(spark))
+    rows = I.stored(I.event_ledger(spark, sf_dir, "event_id"))
+    part = F.when(F.col("event_id") % 50 > 0, 0).when(F.col("event_id") % 100 > 0, 1).otherwise(2)
+    for number in range(3):
+        stored.append(rows.where(part == number))
+    return stored.root()
+
+
 @query
 def state_upsert(spark, sf_dir):
     return _stored_ledger(spark, sf_dir).state().select("merkle_root", "leaf_count")
@@ -485,17 +520,28 @@ def dangling_parents(spark, sf_dir):
 @query
 def cosine_pairs(spark, sf_dir):
     items = similarity.in_blocks(I.table(spark, sf_dir, "embeddings"))
-    pairs = similarity.cosine_pairs(items, group="sequence")
+    pairs = similarity.cosine_pairs(items, group="sequence", position="place")
     return as_long(pairs, "i", "j").withColumn("value", rounded("value"))
 
 
 @query
 def minmax_scale(spark, sf_dir):
     items = similarity.in_blocks(I.table(spark, sf_dir, "embeddings"))
-    pairs = similarity.minmax_scale(items, group="sequence")
+    pairs = similarity.minmax_scale(items, group="sequence", position="place")
     return as_long(pairs, "i", "j").withColumn("value", rounded("value"))
 
 
+@query
+def map_sizes(spark, sf_dir):
+    """Items and cells of each map, with null and repeated positions among the vectors."""
+    vectors = I.table(spark, sf_dir, "embeddings")
+    odd = F.when(F.col("vec_id") % 5 == 0, None).when(F.col("vec_id") % 5 < 3, F.lit(7)).otherwise(F.col("vec_id"))
+    items = similarity.in_blocks(vectors.withColumn("vec_id", odd))
+    pairs = similarity.cosine_pairs(items, group="sequence", position="place")
+    sizes = pairs.groupBy("sequence").agg((F.max("i") + 1).cast("long").alias("items"), F.count("*").alias("cells"))
+    return sizes
+
+
 # --- sequences and texts --------------------------------------------------------------
 
 
@@ -554,6 +600,17 @@ def chat_history(spark, sf_dir):
     return sequences.chat_history(I.turns(spark, sf_dir)).drop("message")
 
 
+@query
+def long_history(spark, sf_dir):
+    """Histories where a third of all conversations is a single one."""
+    turns = I.turns(spark, sf_dir)
+    joined = F.col("conv_id") % 3 == 0
+    turn = F.when(joined, F.col("conv_id") * 1000 + F.col("turn")).otherwise(F.col("turn"))
+    turns = turns.withColumn("turn", turn).withColumn("conv_id", F.when(joined, F.lit(0)).otherwise(F.col("conv_id")))
+    told = sequences.chat_history(turns)
+    return told.select("conv_id", "turn", F.length("history").cast("long").alias("chars"), F.sha2("history", 256).alias("history_sha256"))
+
+
 @query
 def prompt_text(spark, sf_dir):
     history = sequences.chat_history(I.turns(spark, sf_dir))

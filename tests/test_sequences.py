@@ -165,3 +165,32 @@ def test_chunk_rows(spark):
     texts = spark.createDataFrame([(1, "aa\n\nbb\n\ncc"), (2, " "), (3, "zz")], "i int, text string")
     rows = sorted(tuple(r) for r in sequences.text_chunks(texts, ("i",), max_chars=6).collect())
     assert rows == [(1, 10, 2, 0, "aa\n\nbb"), (1, 10, 2, 1, "cc"), (3, 2, 1, 0, "zz")]
+
+
+def test_history_over_blocks(spark):
+    """One conversation with a third of all turns, and turns in few and in many blocks, against a plain loop."""
+    rows = [("long", i, "human" if i % 3 else "agent", f"said {i}" if i % 7 else None) for i in range(100)]
+    rows += [(None, i, "human", f"q{i}") for i in (1, 40, 10**12, 10**12 + 1)]
+    rows += [(f"c{i}", t, "human", "") for i in range(30) for t in range(5)] + [("none", None, "human", "first"), ("none", 2, "human", "x")]
+    turns = spark.createDataFrame(rows, "conv_id string, turn long, role string, content string").repartition(7)
+    expected = {}
+    for conv, turn, role, content in rows:
+        if role == "human":
+            before = [r for r in rows if r[0] == conv and (-1 if r[1] is None else r[1]) < (-1 if turn is None else turn)]
+            said = [("Human: " if r[2] == "human" else "AI: ") + r[3] for r in before if r[3] is not None]
+            expected[conv, turn] = (content, "\n".join(said))
+    for block in (1, 8, 64):
+        got = sequences.chat_history(turns, block=block).collect()
+        assert len(got) == len(expected)
+        assert {(r.conv_id, r.turn): (r.message, r.history) for r in got} == expected
+
+
+def test_maps_take_every_vector(spark):
+    ids = [None] * 70 + [3] * 90 + list(range(100, 140))
+    rows = [(i, [float(n % 9), 1.0]) for n, i in enumerate(ids)]
+    items = similarity.in_blocks(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5))
+    places = sorted((r.place, r.sequence) for r in items.collect())
+    assert places == [(i, i // 64) for i in range(200)]
+    cells = similarity.cosine_pairs(items, group="sequence", position="place").groupBy("sequence").count().collect()
+    assert {r["sequence"]: r["count"] for r in cells} == {0: 4096, 1: 4096, 2: 4096, 3: 64}
+    assert items.orderBy("place").first().vec_id == 3 and items.where("place > 129 and vec_id is not null").count() == 0
