@@ -20,7 +20,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="sample tables
 
 def test_registered():
     names = [re.match(r"op(\d+)_", n)[1] for n in LLM_QUERIES]
-    assert sorted(map(int, names)) == list(range(1, 11))
+    assert sorted(map(int, names)) == list(range(1, 14))
     assert set(LLM_QUERIES) | {"pipeline"} <= set(entry_module.queries())
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "near_dedup", "secrets", "packing"]
 
