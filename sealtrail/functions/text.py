@@ -1,7 +1,7 @@
 """Text, number and time formatting.
 
-Lengths are counted in code points.  The texts' original producer counts UTF-16
-units, so characters outside the basic plane count once here and twice there.
+Lengths of previews and chunks are counted in UTF-16 units, as the format's first producer
+counts them: a character outside the basic plane counts twice.
 """
 
 from __future__ import annotations
@@ -25,12 +25,39 @@ def js_trim(text: Column) -> Column:
     return F.btrim(text, F.lit(_JS_SPACE))
 
 
+_WIDE = "UTF-16BE"
+
+
+def _in_basic_plane(text: Column) -> Column:
+    """Sure to be true without characters of four bytes; each of them has three bytes more than characters."""
+    return F.octet_length(text) < F.length(text) + 3
+
+
+def utf16_length(text: Column) -> Column:
+    units = F.floor(F.octet_length(F.encode(text, _WIDE)) / 2).cast("int")
+    return F.when(_in_basic_plane(text), F.length(text)).otherwise(units)
+
+
+def utf16_head(text: Column, units: int) -> Column:
+    """The first UTF-16 units of a text.
+
+    Half of a character at the end becomes U+FFFD, as when such a text is stored as UTF-8.
+    """
+    head = F.substring(text, 1, units)
+    wide = F.encode(head, _WIDE)
+    last = F.hex(F.substring(wide, 2 * units - 1, 1))
+    halved = last.between("D8", "DB")
+    whole = F.substring(wide, 1, 2 * units)
+    mended = F.concat(F.substring(wide, 1, 2 * units - 2), F.lit(bytearray(b"\xff\xfd")))
+    return F.when(_in_basic_plane(head), head).otherwise(F.decode(F.when(halved, mended).otherwise(whole), _WIDE))
+
+
 def cut(text: Column, chars: int, marker: str = "") -> Column:
-    """First characters of a text, with a marker if anything was cut off."""
-    head = F.substring(text, 1, chars)
+    """First characters of a text, in UTF-16 units, with a marker if anything was cut off."""
+    head = utf16_head(text, chars)
     if not marker:
         return head
-    return F.concat(head, F.when(F.length(text) > chars, F.lit(marker)).otherwise(F.lit("")))
+    return F.concat(head, F.when(utf16_length(text) > chars, F.lit(marker)).otherwise(F.lit("")))
 
 
 def iso_utc(ts: Column) -> Column:
@@ -151,7 +178,7 @@ def text_chunks(
 ) -> Column:
     """Array of chunks: paragraphs packed in order up to ``max_chars`` each.
 
-    A text that fits is one chunk.  A paragraph that does not fit stays whole.
+    Lengths are UTF-16 units.  A text that fits is one chunk.  A paragraph that does not fit stays whole.
     Paragraphs in one chunk are joined by a blank line, and chunks are trimmed.
     """
     body = js_trim(text)
@@ -163,7 +190,7 @@ def text_chunks(
     def pack(acc: Column, para: Column) -> Column:
         done, cur = acc["done"], acc["cur"]
         full = (cur != "") & (
-            F.length(cur) + F.lit(len(PARAGRAPH_BREAK)) + F.length(para) > max_chars
+            utf16_length(cur) + F.lit(len(PARAGRAPH_BREAK)) + utf16_length(para) > max_chars
         )
         return F.struct(
             F.when(full, F.concat(done, F.array(js_trim(cur)))).otherwise(done).alias("done"),
@@ -177,7 +204,7 @@ def text_chunks(
     packed = F.aggregate(F.split(body, separator), empty, pack, finish)
     return (
         F.when(body == "", F.array().cast("array<string>"))
-        .when(F.length(body) <= max_chars, F.array(body))
+        .when(utf16_length(body) <= max_chars, F.array(body))
         .otherwise(packed)
     )
 

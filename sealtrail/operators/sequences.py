@@ -83,7 +83,7 @@ def text_chunks(
     body = X.js_trim(F.col(text))
     chunked = texts.select(
         *keep,
-        F.length(body).alias("chars"),
+        X.utf16_length(body).alias("chars"),
         X.text_chunks(F.col(text), separator, max_chars).alias("parts"),
     )
     return chunked.select(

@@ -54,6 +54,13 @@ def cut(text: str, chars: int, marker: str) -> str:
     return f"left({text}, {chars}) || CASE WHEN length({text}) > {chars} THEN '{marker}' ELSE '' END"
 
 
+def joined_halves(text: str) -> str:
+    """Wide characters from their halves; half of one becomes U+FFFD."""
+    text = f"replace({text}, chr(57344) || chr(57345), chr(128512))"
+    text = f"replace({text}, chr(57346) || chr(57347), chr(66376))"
+    return f"replace(replace({text}, chr(57344), chr(65533)), chr(57346), chr(65533))"
+
+
 def sealed_cte(
     name: str,
     source: str,
@@ -512,6 +519,12 @@ SELECT conv_id, turn, length(history) AS chars, sha256(history) AS history_sha25
             claim_type='page_view', statement="'Page ' || url || '.'", ceiling='Page bound to public key.',
             device=False, media_type='text/html')}
 SELECT page_id, bytes_sha256, byte_length, content_leaf, object_id, fco_root, fco_root AS leaf_hash FROM sealed""",
+    # Two letters of the private area stand for the halves of a wide character.
+    "wide_preview": f"""WITH {TURNS}, halves AS (SELECT conv_id, turn, role,
+  replace(replace(content, 'e', chr(57344) || chr(57345)), 'o', chr(57346) || chr(57347)) AS h FROM turns),
+cuts AS (SELECT conv_id, turn, length(h) AS units, role || ' via web-demo: ' || {cut('h', 160, '...')} AS value, left(h, 7) AS short
+  FROM halves)
+SELECT conv_id, turn, units, {joined_halves('value')} AS value, {joined_halves('short')} AS short FROM cuts""",
     "turn_preview": f"""WITH {TURNS} SELECT conv_id, turn, role || ' via web-demo: ' || {cut('content', 160, '...')} AS value
   FROM turns""",
     "sample_preview": f"""WITH {SAMPLES} SELECT doc_id, name || ' via web-demo: ' || length(sequence)::varchar || ' aa' AS value,

@@ -697,6 +697,18 @@ def build_envelope(spark, sf_dir):
     )
 
 
+@query
+def wide_preview(spark, sf_dir):
+    """Previews and lengths in UTF-16 units, with characters that count twice among the texts."""
+    text = F.translate("content", "aeiou", "a\U0001f600i\U00010348u")
+    turns = I.turns(spark, sf_dir).withColumn("content", text)
+    shown = X.turn_preview(F.col("role"), F.lit("web-demo"), F.col("content"))
+    short = X.cut(F.col("content"), 7)
+    return turns.select(
+        "conv_id", "turn", shown.alias("value"), short.alias("short"), X.utf16_length(F.col("content")).cast("long").alias("units")
+    )
+
+
 @query
 def turn_preview(spark, sf_dir):
     preview = X.turn_preview(F.col("role"), F.lit("web-demo"), F.col("content"))

@@ -196,3 +196,23 @@ def test_threat_warning(spark):
     values = ["a Ricin case", "ribosome-inactivating", "HIGH RISK", "none", None]
     warned = [R.THREAT_WARNING] * 3 + [None, None]
     assert column(spark, values, "string", R.threat_warning(F.col("v"))) == warned
+
+
+def test_utf16_lengths(spark):
+    """Against Python's own UTF-16, with halves as U+FFFD."""
+    texts = ["", "a", "\U0001f600", "a\U0001f600b", "\U0001f600" * 5, "é\u4e2d" * 4, "abc\U00010348", "\ufffd\U0001f600", "ab\u00a0cd", None]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, x string")
+    heads = {n: X.utf16_head(F.col("x"), n).alias(f"h{n}") for n in (1, 2, 3, 4, 7)}
+    for r in rows.select("i", X.utf16_length(F.col("x")).alias("n"), *heads.values()).collect():
+        text = texts[r.i]
+        if text is None:
+            assert r.n is None and r.h3 is None
+            continue
+        units = text.encode("utf-16-be")
+        assert r.n == len(units) // 2
+        for n in heads:
+            assert r[f"h{n}"] == units[: 2 * n].decode("utf-16-be", "replace")
+    paragraphs = "\U0001f600" * 4 + "\n\n" + "b" * 3 + "\n\n" + "c" * 9
+    parts = rows.limit(1).select(X.text_chunks(F.lit(paragraphs), max_chars=12).alias("p")).first().p
+    assert parts == ["\U0001f600" * 4, "b" * 3, "c" * 9]
+    assert rows.limit(1).select(X.text_chunks(F.lit(paragraphs), max_chars=13).alias("p")).first().p[0] == paragraphs[:9]
