@@ -9,7 +9,6 @@ replayed one is left out.
 from __future__ import annotations
 
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
@@ -20,6 +19,7 @@ from sealtrail.operators.ledger import REQUIRED_FIELDS, split_required, sync_row
 from sealtrail.operators.reports import count_by_device
 from sealtrail.operators.sealing import seal_turns
 from sealtrail.profile import SealProfile
+from sealtrail.sources import runs as R
 from sealtrail.sources.ledger_table import LedgerTable
 
 # Fixed value: how often the reports refresh.
@@ -76,38 +76,42 @@ def stream_counts(
 ) -> DataStreamWriter:
     """Append ledger rows and keep counts by device of the rows stored.
 
-    Each micro-batch adds the counts of the rows that it added to the counts
-    before, as a new version; ``latest_counts`` reads the newest complete one.
-    An object that is sent again adds nothing.
+    Each micro-batch adds the counts of the rows that it added to the counts before, as the
+    version of its ledger batch; ``latest_counts`` reads the newest whole one.  An object that
+    is sent again adds nothing.  Only the newest two versions stay: a reader may still be on
+    the older one.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         table.append(batch, batch_key=f"{checkpoint}#{number}")
         version = table.state().first().batch_no
-        added = count_by_device(table.batch_rows(version))
-        try:
-            before = batch.sparkSession.read.schema(COUNTS_SCHEMA).parquet(f"{out}/counts/version={version - 1}")
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
-            before, added = None, count_by_device(table.rows())
-        if before is not None:
-            added = before.unionByName(added).groupBy("device_id").agg(F.sum("n").alias("n"))
-        added.write.mode("overwrite").parquet(f"{out}/counts/version={version}")
-        mark = batch.sparkSession.range(1).select(F.lit(version).cast("long").alias("version"))
-        mark.write.mode("append").parquet(f"{out}/marks")
+        whole = _versions(batch.sparkSession, out)
+        if version - 1 in whole:
+            before = batch.sparkSession.read.schema(COUNTS_SCHEMA).parquet(f"{out}/version={version - 1}")
+            added = before.unionByName(count_by_device(table.batch_rows(version)))
+            added = added.groupBy("device_id").agg(F.sum("n").alias("n"))
+        else:
+            added = count_by_device(table.rows())
+        added.write.mode("overwrite").parquet(f"{out}/version={version}")
+        for old in whole:
+            if old < version - 1:
+                R.remove(batch.sparkSession, f"{out}/version={old}")
 
     return _triggered(rows.writeStream.foreachBatch(write), checkpoint, once)
 
 
-def latest_counts(spark: SparkSession, out: str) -> DataFrame:
-    """The newest complete version of the counts.
+def _versions(spark: SparkSession, out: str) -> list[int]:
+    """Versions of the counts that are wholly written."""
+    names = [n for n in R.children(spark, out) if n.startswith("version=")]
+    return [int(n.split("=")[1]) for n in names if any(p.startswith("part-") for p in R.children(spark, f"{out}/{n}"))]
 
-    A version counts once its mark is written, so a crash while writing leaves
-    the one before in force.
-    """
-    newest = spark.read.schema("version long").parquet(f"{out}/marks").agg(F.max("version").alias("n")).first()["n"]
-    return spark.read.schema(COUNTS_SCHEMA).parquet(f"{out}/counts/version={newest}")
+
+def latest_counts(spark: SparkSession, out: str) -> DataFrame:
+    """The newest whole version of the counts, or no row."""
+    found = _versions(spark, out)
+    if not found:
+        return spark.createDataFrame([], COUNTS_SCHEMA)
+    return spark.read.schema(COUNTS_SCHEMA).parquet(f"{out}/version={max(found)}")
 
 
 def stream_threats(

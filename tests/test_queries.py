@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import sys
 
 import pytest
 
@@ -55,3 +56,12 @@ def test_entry(spark):
     rows = entry_module.entry(spark).collect()
     assert {r.device_id for r in rows} == {"web-demo", "sauna-agent"}
     assert sum(r.n for r in rows) == rows[0].leaf_count
+
+
+def test_core_queries_without_the_optional_libraries(monkeypatch):
+    """The core is registered whatever the training-data subpackage lacks."""
+    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
+    with pytest.warns(UserWarning, match="training-data"):
+        assert set(entry_module.queries()) == set(QUERIES)
+    with pytest.warns(UserWarning, match="training-data"):
+        assert set(entry_module.oracle_sql()) == set(ORACLES)

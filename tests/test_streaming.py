@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sealtrail.operators import ledger, merkle
 from sealtrail.operators.reports import count_by_device
 from sealtrail.sources.ledger_table import LedgerTable
+from sealtrail.sources.runs import children
 from sealtrail.streaming import jobs
 from tests.test_ledger import rows_of
 
@@ -55,6 +56,11 @@ def test_counts_stream(spark, folder):
     got = {r.device_id: r.n for r in jobs.latest_counts(spark, folder["out"]).collect()}
     assert got == {r.device_id: r.n for r in count_by_device(table.rows()).collect()}
     assert got == {"dev-a": 3, "dev-b": 3, "dev-c": 1}
+    assert table.states().count() > 3 and len(children(spark, folder["out"])) == 2
+
+
+def test_no_counts_yet(spark, folder):
+    assert jobs.latest_counts(spark, folder["out"]).count() == 0
 
 
 def test_replayed_batch_leaves_one_state(spark, folder):
