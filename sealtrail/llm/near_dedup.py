@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sealtrail.llm.common import slices, stored, utf8
+from sealtrail.llm.common import free_name, slices, stored, utf8
 from sealtrail.llm.words import FACTOR, mixed, word_hashes
 
 WORDS = 2
@@ -356,6 +356,21 @@ def near_copies(
 def without_near_copies(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS
 ) -> DataFrame:
-    """The rows of ``docs`` whose document stays; those that go are few, so they are what is joined."""
-    gone = near_copies(docs, doc_id, text, words).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs[doc_id] == gone["_gone"], "left_anti")
+    """The rows of ``docs`` that stay, with all their columns: one of each component, the one of the smallest id.
+
+    A row is known by its id and its whole text, so of rows that share an id only the near
+    copies go.  Null ids come last.  Of rows alike in id and text one stays; those
+    without words are linked with nothing and stay.  What is joined is few: the rows
+    that go, and those that are repeated.
+    """
+    key = free_name(docs, "_key")
+    digest = F.sha2(F.coalesce(text, F.lit("")), 256)
+    keyed = docs.withColumn(key, F.struct(F.col(doc_id).isNull().alias("x"), F.col(doc_id).alias("y"), digest.alias("z")))
+    found = stored(near_copies(keyed, key, text, words))
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
+    again = found.where("kept and n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    again = again.select(F.col("doc_id").alias("_again"))
+    left = keyed.join(gone, F.col(key) == F.col("_gone"), "left_anti")
+    single = left.join(again, F.col(key) == F.col("_again"), "left_anti")
+    repeated = left.join(again, F.col(key) == F.col("_again"), "left_semi").dropDuplicates([key])
+    return single.unionByName(repeated).select(*docs.columns)

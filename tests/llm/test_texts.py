@@ -8,6 +8,7 @@ import re
 import string
 import textwrap
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -322,11 +323,35 @@ def test_near_copies_of_odd_rows(spark, docs):
     gone = {r.doc_id for r in rows if not r.kept}
     left = near_dedup.without_near_copies(docs)
     assert left.columns == docs.columns and not gone & {r.doc_id for r in left.collect()}
-    assert left.count() == docs.where(~F.coalesce(F.col("doc_id").isin(list(gone)), F.lit(False))).count()
+    # One row of each component, known by id and text; rows without words all stay.
+    plain = [(r.doc_id, r.text) for r in docs.collect()]
+    order = sorted({x for x in plain if re.search(r"[^\x20\x09-\x0D]", x[1] or "")}, key=lambda x: (x[0] is None, x[0] or 0, sha(x[1])))
+    component, _ = brute_components(list(enumerate(x[1] for x in order)))
+    stay = Counter(x for i, x in enumerate(order) if component[i] == i)
+    stay += Counter(x for x in plain if not re.search(r"[^\x20\x09-\x0D]", x[1] or ""))
+    assert Counter((r.doc_id, r.text) for r in left.collect()) == stay
     assert {r.component_id for r in rows if r.doc_id in (7, 8, 9)} == {7}
     assert near_dedup.near_copies(empty(spark)).count() == 0
 
 
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_stage_form_with_repeated_and_null_ids(spark):
+    """Of two rows with one id only the near copy goes; a near copy without an id goes too."""
+    base = " ".join(f"w{i}" for i in range(200))
+    clean = " ".join(f"c{i}" for i in range(50))
+    rows = [(1, base), (2, base + " more"), (2, clean), (None, base + " again"), (None, "alone in the world"), (5, clean), (5, clean)]
+    rows += [(None, "first of two texts here")] * 40 + [(6, "")] * 2 + [(7, "twice the same words"), (7, "twice the same words")]
+    docs = spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, _key string").repartition(3)
+    left = near_dedup.without_near_copies(docs)
+    assert left.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text) for r in left.collect()) == sorted(
+        [(1, base), (2, clean), (0, "alone in the world"), (0, "first of two texts here"), (6, ""), (6, ""), (7, "twice the same words")]
+    )
+
+
 def test_registers_merge_and_estimate():
     text = " ".join(f"w{i}" for i in range(500))
     other = " ".join(f"w{i}" for i in range(60, 560))
