@@ -189,8 +189,12 @@ def text_chunks(
 
     def pack(acc: Column, para: Column) -> Column:
         done, cur = acc["done"], acc["cur"]
-        full = (cur != "") & (
-            utf16_length(cur) + F.lit(len(PARAGRAPH_BREAK)) + utf16_length(para) > max_chars
+        # There are never more units than bytes, and bytes need no counting.
+        gap = F.lit(len(PARAGRAPH_BREAK))
+        full = (
+            (cur != "")
+            & (F.octet_length(cur) + gap + F.octet_length(para) > max_chars)
+            & (utf16_length(cur) + gap + utf16_length(para) > max_chars)
         )
         return F.struct(
             F.when(full, F.concat(done, F.array(js_trim(cur)))).otherwise(done).alias("done"),
@@ -204,7 +208,7 @@ def text_chunks(
     packed = F.aggregate(F.split(body, separator), empty, pack, finish)
     return (
         F.when(body == "", F.array().cast("array<string>"))
-        .when(utf16_length(body) <= max_chars, F.array(body))
+        .when((F.octet_length(body) <= max_chars) | (utf16_length(body) <= max_chars), F.array(body))
         .otherwise(packed)
     )
 

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
@@ -255,15 +256,20 @@ class LedgerTable:
             high = (newest, first_seq + count - 1)
             if last is not None and last.last_created is not None:
                 high = max(high, (last.last_created, last.last_seq))
-            self._write_rows(fresh, added, f"rows/batch_no={batch_no}", first_seq, count)
-            self._write_ids(
-                added.select("object_id", F.col(_CREATED).alias("created"), F.col(_SEQ).alias("seq")),
-                f"ids/batch_no={batch_no}", count,
-            )
+            ids = added.select("object_id", F.col(_CREATED).alias("created"), F.col(_SEQ).alias("seq"))
+            # The three jobs need only the numbered keys, so they share the cluster.
+            with ThreadPoolExecutor(2) as side:
+                writes = [
+                    side.submit(self._write_rows, fresh, added, f"rows/batch_no={batch_no}", first_seq, count),
+                    side.submit(self._write_ids, ids, f"ids/batch_no={batch_no}", count),
+                ]
+                folded = self._new_range(last, batch_no, added, first_seq, count, low)
+                for write in writes:
+                    write.result()
             for part in ("row_runs", "id_runs"):
                 values[part].append({"folder": f"{part[:-5]}s/batch_no={batch_no}", "rows": count})
             values |= {"min_created": low, "last_created": high[0], "last_seq": high[1]}
-            values |= self._new_range(last, batch_no, added, first_seq, count, low)
+            values |= folded
             values["prefixes"] = [p for p in values["prefixes"] if p["last_created"] <= low]
             values["prefixes"] = self._thinned([*values["prefixes"], self._prefix(values)])
             self._merge(values)
