@@ -5,9 +5,13 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
+from sealtrail.functions import residue_arrays as A
 from sealtrail.functions import sequence as Q
 from sealtrail.operators import sequences, similarity
 from sealtrail.sources import structure_files
@@ -74,6 +78,36 @@ def test_confidence(table):
         assert means[i].mean_1 == math.floor(means[i].mean * 10 + 0.5) / 10
 
 
+def test_flat_kernels_over_cut_batches(monkeypatch):
+    """Every cut of a batch gives the rows that a plain loop gives, also for slices, nulls and long characters."""
+    texts = [None, "", "ACDE", "é\U0001f600K", "", "W" * 300, None, "acx", "\U0001f600" * 40, "LLL"]
+    column = pa.array(["skipped", *texts, "skipped"]).slice(1, len(texts))
+    plain = [[score(c, p) for p, c in enumerate(t or "")] for t in texts]
+    for most in (1, 7, 64, 1 << 22):
+        monkeypatch.setattr(A, "MOST_BYTES", most)
+        pieces = list(A._pieces(iter([column, column.slice(0, 0)])))
+        assert sum(len(p) for p in pieces) == len(texts)
+        assert all(len(p) == 1 or (pc.sum(pc.binary_length(p)).as_py() or 0) <= most for p in pieces)
+        flat, rows = [], []
+        for piece in pieces:
+            codes, lengths = A._codes(piece)
+            flat.append(A._scores(codes, lengths))
+            rows += list(lengths)
+        assert rows == [len(p) for p in plain]
+        assert np.allclose(np.concatenate(flat), [x for p in plain for x in p], atol=1e-9)
+
+
+def test_confidence_of_repeated_nulls_and_long_rows(spark):
+    texts = [None, "", "é\U0001f600K", "ACDEFGHIKLMNPQRSTVWY" * 5000, None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, sequence string").coalesce(1)
+    got = {r.i: r.mean for r in sequences.confidence_mean(rows, ("i",)).collect()}
+    for i, text in enumerate(texts):
+        scores = [score(c, p) for p, c in enumerate(text or "")]
+        assert abs(got[i] - (sum(scores) / len(scores) if scores else 0)) < 1e-9
+    counts = {r.i: r.n for r in sequences.residue_confidence(rows, ("i",)).groupBy("i").agg(F.count("*").alias("n")).collect()}
+    assert counts == {2: 3, 3: 100_000}
+
+
 def test_null_sequence(spark):
     row = sequences.confidence_mean(spark.sql("select 1 i, cast(null as string) sequence"), ("i",)).first()
     assert row.mean == 0.0
