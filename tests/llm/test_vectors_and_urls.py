@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 
 import numpy as np
@@ -92,6 +93,45 @@ def test_rules(spark):
     assert url_filter.judge(none).count() == 0
 
 
+def tokens_of(spark, urls):
+    rows = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    host, path = url_filter.parts(F.col("url"))
+    return {r.page_id: set(r.t) for r in rows.select("page_id", url_filter.tokens(F.col("url"), host, path).alias("t")).collect()}
+
+
+def brute_rules(labelled, tokens):
+    """All combinations of tokens with confidence and support, as (combination, verdict): (confidence, support)."""
+    pages = {}
+    for i in labelled:
+        for n in range(1, len(tokens[i]) + 1):
+            for combination in itertools.combinations(sorted(tokens[i]), n):
+                pages.setdefault(combination, []).append(labelled[i])
+    least = max(url_filter.LEAST, url_filter.SUPPORT * len(labelled))
+    rules = {}
+    for combination, says in pages.items():
+        for verdict in set(says):
+            n = says.count(verdict)
+            if n >= least and n / len(says) >= url_filter.CONFIDENCE:
+                rules[combination, verdict] = (n / len(says), n / len(labelled))
+    return rules
+
+
+def judged(spark, urls):
+    rows = spark.createDataFrame([(i, u, "x", 1) for i, u in enumerate(urls)], "page_id long, url string, _tokens string, verdict int")
+    return {r.page_id: r for r in url_filter.judge(rows.repartition(4)).collect()}
+
+
+def check_against_brute_rules(spark, urls):
+    found, tokens = judged(spark, urls), tokens_of(spark, urls)
+    labelled = {i: plain(u)[3] for i, u in enumerate(urls) if plain(u)[3]}
+    rules = brute_rules(labelled, tokens)
+    for i in range(len(urls)):
+        fits = [(*figures, verdict) for (combination, verdict), figures in rules.items() if set(combination) <= tokens[i]]
+        best = max(fits, default=(0, 0, "allow"))[2]
+        assert found[i].verdict == labelled.get(i, best)
+    return found, rules
+
+
 def test_mined_rules_match_brute_force(spark):
     random = np.random.default_rng(1)
     urls = []
@@ -99,19 +139,28 @@ def test_mined_rules_match_brute_force(spark):
         spam = random.random() < 0.4
         top = random.choice(["com", "org", "net"])
         urls.append(f"http://{'pills' if spam else 'news'}.{top}/{'de' if spam else 'fr'}/{i}?{'buy' if spam else 'read'}=1")
-    rows = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(4)
-    found = {r.page_id: r for r in url_filter.judge(rows).collect()}
-    host, path = url_filter.parts(F.col("url"))
-    tokens = {r.page_id: set(r.t) for r in rows.select("page_id", url_filter.tokens(F.col("url"), host, path).alias("t")).collect()}
-    labelled = {i: plain(u)[3] for i, u in enumerate(urls) if plain(u)[3]}
-    table = [(list(tokens[i]) + ["= " + says],) for i, says in labelled.items()]
-    rules = url_filter.mined_rules(spark.createDataFrame(table, "items array<string>")).collect()
+    _, rules = check_against_brute_rules(spark, urls)
     assert rules
-    for r in rules:
-        held = [says for i, says in labelled.items() if set(r.antecedent) <= tokens[i]]
-        assert abs(r.confidence - held.count(r.verdict) / len(held)) < 1e-9
-        assert r.confidence >= url_filter.CONFIDENCE and held.count(r.verdict) / len(labelled) >= url_filter.SUPPORT
-    for i, url in enumerate(urls):
-        if i not in labelled:
-            fits = [(r.confidence, r.support, r.verdict) for r in rules if set(r.antecedent) <= tokens[i]]
-            assert found[i].verdict == (max(fits)[2] if fits else "allow")
+
+
+def test_rules_of_four_tokens_and_of_words_with_digits(spark):
+    """``a``, ``b``, ``c`` and ``d`` mean block only together; ``v2`` means block alone; what stands on four pages means nothing."""
+    urls, words = [], "abcd"
+    for k in range(4):
+        three = [w for j, w in enumerate(words) if j != k]
+        urls += [f"http://x.com/fr/{'/'.join(three)}"] * 60
+    urls += ["http://x.com/de/a/b/c/d"] * 9 + ["http://x.com/de/v2/zz"] * 8 + ["http://x.com/de/rare"] * 4
+    first = len(urls)
+    urls += ["http://y.net/q/d/c/b/a", "http://y.net/a/b/c", "http://y.net/v2", "http://y.net/zz", "http://y.net/rare", None]
+    # The label's own path words would settle all; the open pages have none of them.
+    found, rules = check_against_brute_rules(spark, urls)
+    assert (("path a", "path b", "path c", "path d"), "block") in rules
+    assert [found[first + i].verdict for i in range(6)] == ["block", "allow", "block", "block", "allow", "allow"]
+
+
+def test_many_tokens_on_the_same_pages_are_one_class(spark):
+    """Forty words that stand on the same 300 pages would have 2^40 combinations."""
+    long = "/".join(f"w{i}" for i in range(40))
+    urls = [f"http://x.com/de/{long}"] * 300 + ["http://x.com/fr/news"] * 300 + ["http://y.net/w7", "http://y.net/news/w99"]
+    found = judged(spark, urls)
+    assert found[600].verdict == "block" and found[601].verdict == "allow"
