@@ -101,13 +101,23 @@ def mark_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 
 def without_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    names = docs.columns
-    kept = (
-        mark_copies(docs, doc_id, text).where("kept")
-        .select(F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_key"))
-    )
-    digest = free_name(docs, "_digest")
-    keyed = with_digest(docs, text, digest)
-    same = keyed[digest].eqNullSafe(kept["_key"]) & keyed[doc_id].eqNullSafe(kept["_id"])
-    return keyed.join(kept, same, "left_semi").dropDuplicates([doc_id, digest]).select(*names)
+    """The rows of ``docs`` that stay, with all their columns.
+
+    Digests and row numbers are written once, beside the rows.  Copies of a frequent
+    digest go map-side, by its broadcast winner.  Of the others only keys meet; the
+    numbers of the rows that go are then taken from the rows, so Spark sends them to all
+    tasks if their list is small and shuffles only if it is not.
+    """
+    digest, row = free_name(docs, "_digest"), free_name(docs, "_row")
+    rows = stored(with_digest(docs, text, digest).withColumn(row, F.monotonically_increasing_id()))
+    keys = rows.select(F.struct(F.col(doc_id).alias("doc_id"), F.col(row).alias("_row")).alias("_rank"), F.col(digest).alias("_digest"))
+    heavy = F.broadcast(frequent(keys))
+    settled = _winners(keys.join(heavy, "_digest", "left_semi")).select("_digest", F.col("_best._row").alias("_best"))
+    settled = F.broadcast(stored(settled).toDF("_heavy", "_best"))
+    rest = keys.join(heavy, "_digest", "left_anti")
+    several = _winners(rest).where("group_size > 1")
+    gone = rest.join(several, "_digest").where(F.col("_rank._row") != F.col("_best._row")).select(F.col("_rank._row").alias("_gone"))
+    left = rows.join(settled, rows[digest] == F.col("_heavy"), "left")
+    left = left.where(F.col("_best").isNull() | (F.col("_best") == rows[row]))
+    gone = stored(gone)
+    return left.join(gone, left[row] == gone["_gone"], "left_anti").select(*[rows[c] for c in docs.columns])

@@ -259,8 +259,9 @@ class _Search:
         # Two different sets below four shingles are never similar enough.
         self.nodes = stored(
             self.rows.where(F.col("n_shingles") * (100 - SIMILARITY) >= SIMILARITY)
-            .groupBy("node").agg(F.min(F.struct("doc_id", "n_shingles", "bands", "registers")).alias("r"))
-            .select("node", "r.*")
+            .groupBy("node")
+            .agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "n_shingles", "bands", "registers")).alias("r"))
+            .select("node", "r.*").drop("x")
         )
         members = self.nodes.select(F.explode("bands").alias("key"), "node")
         sizes = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
@@ -271,7 +272,8 @@ class _Search:
         involved = self.nodes.join(self.buckets, "node", "left_semi").select(F.col("doc_id").alias("_id"))
         read = docs.select(F.col(doc_id).alias("_d"), F.col(text).alias("_t"))
         read = read.join(involved, read["_d"].eqNullSafe(involved["_id"]), "left_semi")
-        self.sets = stored(set_table(read, "_t", words))
+        # Rows that share an id, or have none, are read for each other's nodes: one set of a node is enough.
+        self.sets = stored(set_table(read, "_t", words).dropDuplicates(["node"]))
         self.links: DataFrame | None = None
         self.labels: DataFrame | None = None
 

@@ -520,3 +520,69 @@ def test_wrapped_notices_and_notices_amid_long_lines(spark):
     assert [found[i].licences for i in range(len(names))] == names
     assert all(found[i].n_paragraphs == (n is not None) for i, n in enumerate(names))
     assert found[len(names)].licences == "BSD,MIT" and found[len(names)].n_paragraphs == 2
+
+
+def test_licence_probes(spark):
+    """Headers of related licences, short forms and sentences that only sound like a notice."""
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(2, 8)))
+    prose = [" ".join(word() for _ in range(r.randint(5, 60))) for _ in range(200)]
+    cases = [
+        ("This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU Affero General"
+         " Public License as\n# published by the Free Software Foundation, either version 3 of the\n# License, or any later version.", "AGPL"),
+        ("Distributed under the MIT license, see the LICENSE file", "MIT"),
+        ("/* SPDX-License-Identifier: MIT */\nint main() { return 0; }", "MIT"),
+        ("# SPDX-License-Identifier: GPL-2.0-or-later", "GPL"),
+        ("Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted,"
+         " provided that the above\ncopyright notice and this permission notice appear in all copies.", "ISC"),
+        (f"{prose[0]}\nAll rights reserved.\n{prose[1]}", "all-rights-reserved"),
+        ("Copyright (c) 2021 Example Makers. All rights reserved.", "all-rights-reserved"),
+        ("The house goes to my daughter, with all rights reserved to the widow for as long as she lives there.", None),
+        ("He got his driving license from the general public office, free of charge, and the public domain of the town.", None),
+        ("word " * 50_000 + "Released under the BSD License. " + "other " * 50_000, "BSD"),
+        (" ".join([prose[2], "Released under the MIT License.", prose[3], "Licensed under CC BY-SA 4.0."]), "CC-BY-SA,MIT"),
+    ]
+    scanner = licences.train(frame(spark, prose))
+    found = {x.doc_id: x for x in licences.licences(frame(spark, [t for t, _ in cases]), scanner).collect()}
+    assert [found[i].licences for i in range(len(cases))] == [name for _, name in cases]
+    untrained = licences.Scanner()
+    assert all(x.licences is None for x in licences.licences(frame(spark, [t for t, _ in cases]), untrained).collect())
+
+
+def test_licence_windows_cover_every_paragraph():
+    sizes = [1, 3, 4, 5, 8, 9, 12, 33, 64, 65, 200]
+    inside = np.repeat(np.arange(len(sizes)), sizes)
+    begin, end = licences.windows(inside)
+    assert (begin < end).all() and (inside[begin] == inside[end - 1]).all() and (end - begin <= licences.SIZES[-1]).all()
+    first = np.cumsum(sizes) - np.array(sizes)
+    for paragraph, size in enumerate(sizes):
+        mine = inside[begin] == paragraph
+        for span in (1, 4, 8, 16, 32):
+            for at in range(first[paragraph], first[paragraph] + size - span + 1):
+                assert (mine & (begin <= at) & (end >= at + span)).any(), (size, span, at)
+    assert [len(x) for x in licences.windows(np.zeros(0, np.int64))] == [0, 0]
+
+
+def test_exact_copies_stage_with_frequent_digests_and_repeated_ids(spark, monkeypatch):
+    """One row of each text stays, that of the largest id, whatever repeats."""
+    monkeypatch.setattr(exact_dedup, "COUNTERS", 3)
+    texts = ["hot"] * 400 + ["Warm"] * 90 + ["warm"] * 90 + [f"t{i % 150}" for i in range(400)] + [None, "", None]
+    rows = [(None if i % 7 == 0 else i // 2, t, i, "x") for i, t in enumerate(texts)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, _row int, _digest string").repartition(5)
+    left = exact_dedup.without_copies(table)
+    assert left.columns == table.columns
+    best = {}
+    for i, text, _, _ in rows:
+        key = (text or "").lower()
+        best[key] = max(best.get(key, -1), -1 if i is None else i)
+    assert Counter(((r.text or "").lower(), -1 if r.doc_id is None else r.doc_id) for r in left.collect()) == Counter(best.items())
+
+
+def test_one_set_of_a_node_however_many_rows_have_no_id(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, base)] * 200 + [(None, base + " more")] * 200 + [(9, base + " again"), (4, "other words here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    search = near_dedup._Search(docs, "doc_id", "text", 2)
+    assert search.sets.count() == search.sets.select("node").distinct().count() == 3
+    found = near_dedup.near_copies(docs).collect()
+    assert len(found) == len(rows) and {r.component_id for r in found} == {9, 4}
