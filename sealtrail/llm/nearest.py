@@ -3,24 +3,28 @@
 With one more component, which fills every vector up to the longest norm, the
 largest inner product is the least distance.  ``PROJECTED`` Gaussian projections
 keep distances in distribution: a projected squared distance is the true one
-times a chi-square variable.  Points are visited in the order of their projected
-distance, tree leaf by tree leaf, and verified on the original vectors.  The
-search stops when a point nearer than the 20th best so far would have shown up
-already with probability ``CERTAIN``: that is the chi-square test.
-
-The upper tree is fitted on at most ``SAMPLE`` projected points; its cells cut the
-index into groups, which are dealt out in chunks of at most about ``CHUNK`` vectors and as
-many queries.  A query first searches its own cell; the 20th best there tells
-by the same test which other cells it has to visit.  Within a chunk a smaller
-kd-tree orders the leaves.  All rows are indexed.
+times a chi-square variable.  Points are verified on the original vectors in the
+order of their projected distance.  The search stops when a point nearer than
+the 20th best so far would have shown up already with probability ``CERTAIN``:
+that is the chi-square test.
+
+The upper tree is fitted on about ``SAMPLE`` projected points, picked by a hash; it
+has a cell for every ``CELL`` vectors (at most one for every eight of the sample) and
+cuts the index into groups, which are dealt out in chunks of at most about ``CHUNK``
+vectors and as many queries.  A query first searches its own cell; the 20th best
+there tells by the same test which other cells it has to visit.  Within a chunk a
+smaller kd-tree gives each query a first bound from its nearest leaf, and the
+test skips leaves whose box lies beyond it.  All rows are indexed.
 
 Equal vectors are one point with its 21 smallest ids, so copies in any number
 make no large group, and nothing is lost: no query needs more of them.
 
 Defined results: null ids and vectors that are null, zero, of another length than
 most, or hold null or non-finite components take no part.  Ties go to the
-smaller id.  Rows that repeat an id and a vector count once.  A query with fewer
-candidates gets all; without usable rows there is no result.
+smaller id.  Rows that repeat an id and a vector count once.  An id with several
+vectors is a candidate by each of them and asks with all of them: the best hits
+of all count, without those of its own id.  A query with fewer candidates gets all;
+without usable rows there is no result.  Further columns are not read.
 """
 
 from __future__ import annotations
@@ -34,13 +38,13 @@ from pyspark.sql import functions as F
 
 from sealtrail.llm.common import stored
 
-PROJECTED = 8
-CERTAIN = 0.98
-SAMPLE = 32768
+PROJECTED = 32
+CERTAIN = 0.95
+SAMPLE = 131072
 CELL = 4096
-MOST_CELLS = 2048
 CHUNK = 8192
 LEAF = 64
+PAIRS = 1 << 20  # projected distances held at a time
 
 
 def chi_square(x: float, freedom: int) -> float:
@@ -135,50 +139,80 @@ def leaves(points: np.ndarray) -> list[np.ndarray]:
 def search(
     ids: np.ndarray, vectors: np.ndarray, projected: np.ndarray, query_ids: np.ndarray, queries: np.ndarray,
     query_projected: np.ndarray, floor: np.ndarray, longest: float, top: int, ratio: float,
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Best ``top`` of these vectors for each query, at ``floor`` or above: query rows, ids, scores."""
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Best ``top`` of these vectors for each query, at ``floor`` or above.
+
+    Query rows, ids, scores, and how many pairs were verified.
+    """
     parts = leaves(projected)
     low = np.stack([projected[p].min(0) for p in parts])
     high = np.stack([projected[p].max(0) for p in parts])
-    away = box_distances(query_projected, low, high)
-    order = np.argsort(away, axis=1, kind="stable")
-    away = np.take_along_axis(away, order, 1)
+    leaf = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+    by_leaf = np.concatenate(parts)
+    ids, vectors, projected = ids[by_leaf], vectors[by_leaf], projected[by_leaf]
+    lengths = (projected**2).sum(1)
     norms = (queries**2).sum(1)
     slack = 1e-9 * (np.sqrt(norms) * longest + 1e-300)
     best = np.full((len(queries), top), -np.inf)
     bound = floor.copy()
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    running = np.arange(len(queries))
-    for step in range(len(parts)):
-        reach = np.where(np.isinf(bound[running]), np.inf, norms[running] + longest**2 - 2 * bound[running])
-        running = running[away[running, step] <= ratio * np.maximum(reach, 0) + 1e-12]
-        if not len(running):
-            break
-        target = order[running, step]
-        by = np.argsort(target, kind="stable")
-        groups = np.split(by, np.flatnonzero(np.diff(target[by])) + 1)
-        for group in groups:
-            rows, part = running[group], parts[target[group[0]]]
-            scores = queries[rows] @ vectors[part].T
-            scores[query_ids[rows][:, None] == ids[part][None, :]] = -np.inf
-            near = (scores >= (bound[rows] - slack[rows])[:, None]) & (scores > -np.inf)
-            i, j = np.nonzero(near)
-            if not len(i):
-                continue
-            exact = (queries[rows[i]] * vectors[part[j]]).sum(1)
-            found.append((rows[i], ids[part[j]], exact))
-            scores[~near] = -np.inf
-            touched = np.unique(i)
-            merged = np.concatenate([best[rows[touched]], scores[touched]], 1)
-            best[rows[touched]] = -np.partition(-merged, top - 1, axis=1)[:, :top]
-            bound[rows[touched]] = np.maximum(bound[rows[touched]], best[rows[touched]].min(1))
-    if not found:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    verified = 0
+
+    def limit(rows: np.ndarray) -> np.ndarray:
+        """The projected squared distance at which the test holds."""
+        reach = np.where(np.isinf(bound[rows]), np.inf, norms[rows] + longest**2 - 2 * bound[rows])
+        return ratio * np.maximum(reach, 0) + 1e-12
+
+    def verify(rows: np.ndarray, points: np.ndarray, wanted: np.ndarray) -> None:
+        nonlocal verified
+        i, j = np.nonzero(wanted)
+        verified += len(i)
+        scores = np.full(points.shape, -np.inf)
+        scores[i, j] = np.einsum("pd,pd->p", queries[rows[i]], vectors[points[i, j]])
+        scores[query_ids[rows][:, None] == ids[points]] = -np.inf
+        near = (scores >= (bound[rows] - slack[rows])[:, None]) & (scores > -np.inf)
+        scores[~near] = -np.inf
+        i, j = np.nonzero(near)
+        point = points[i, j]
+        found.append((rows[i], ids[point], (queries[rows[i]] * vectors[point]).sum(1)))
+        best[rows] = -np.partition(-np.concatenate([best[rows], scores], 1), top - 1, axis=1)[:, :top]
+        bound[rows] = np.maximum(bound[rows], best[rows].min(1))
+
+    ends = np.cumsum(np.bincount(leaf))
+    away = box_distances(query_projected, low, high)
+    nearest_leaf = away.argmin(1)
+    by_place = np.argsort(nearest_leaf, kind="stable")
+    step = max(1, min(PAIRS // len(ids), 128))
+    for rows in np.split(by_place, np.arange(step, len(by_place), step)):
+        own = nearest_leaf[rows]
+        first = ends[own] - np.bincount(leaf)[own]
+        spread = first[:, None] + np.arange(LEAF)
+        inside = (spread < ends[own][:, None]) & (away[rows, own] <= limit(rows))[:, None]
+        verify(rows, np.minimum(spread, len(ids) - 1), inside)
+        near = away[rows] <= limit(rows)[:, None]
+        near[np.arange(len(rows)), own] = False
+        columns = np.flatnonzero(near.any(0)[leaf])
+        if not len(columns):
+            continue
+        distance = lengths[columns] - 2 * query_projected[rows] @ projected[columns].T
+        distance = np.maximum(distance + (query_projected[rows] ** 2).sum(1)[:, None], 0)
+        distance[~near[:, leaf[columns]]] = np.inf
+        order = np.argsort(distance, axis=1)
+        distance = np.take_along_axis(distance, order, 1)
+        running, at, width = np.arange(len(rows)), 0, LEAF
+        while at < len(columns):
+            running = running[distance[running, at] <= np.minimum(limit(rows[running]), np.finfo(float).max)]
+            if not len(running):
+                break
+            part = distance[running, at : at + width]
+            wanted = part <= np.minimum(limit(rows[running]), np.finfo(float).max)[:, None]
+            verify(rows[running], columns[order[running, at : at + width]], wanted)
+            at, width = at + width, min(2 * width, 1024)
     row, vec, score = (np.concatenate(x) for x in zip(*found))
     order = np.lexsort((vec, -score, row))
     row, vec, score = row[order], vec[order], score[order]
     place = np.arange(len(row)) - np.searchsorted(row, row)
-    return row[place < top], vec[place < top], score[place < top]
+    return row[place < top], vec[place < top], score[place < top], verified
 
 
 def nearest(
@@ -204,10 +238,19 @@ def nearest(
         rest = np.sqrt(np.maximum(longest**2 - (x**2).sum(1), 0))
         return np.concatenate([x, rest[:, None]], 1) @ axes
 
-    # At most SAMPLE rows.
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vec").toArrow()
-    depth = max(0, min(math.ceil(math.log2(max(count / CELL, 1))), int(math.log2(MOST_CELLS))))
-    tree = Tree(points_of(_matrix(sample.column(0), size)), depth)
+    def projections(batches):
+        for batch in batches:
+            flat = points_of(_matrix(batch.column(0), size)).ravel()
+            ends = pa.array(np.arange(batch.num_rows + 1) * PROJECTED, pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, pa.array(flat))], ["point"])
+
+    # About SAMPLE rows, by the hash of id and vector; only their projections reach the driver.
+    share = math.ceil((1 << 30) * min(1.0, SAMPLE / count))
+    picked = rows.where(F.pmod(F.xxhash64("vec_id", "vec"), F.lit(1 << 30)) < share).select("vec")
+    sample = _matrix(picked.mapInArrow(projections, "point array<double>").toArrow().column(0), PROJECTED)
+    depth = max(0, min(math.ceil(math.log2(max(count / CELL, 1))), int(math.log2(SAMPLE // 8))))
+    # toArrow gives rows in no fixed order: medians and spreads are taken over sorted ones.
+    tree = Tree(sample[np.lexsort(sample.T)], depth)
 
     def in_cells(batches):
         for batch in batches:
@@ -217,7 +260,7 @@ def nearest(
     copies = Window.partitionBy("vec").orderBy("vec_id")
     single = rows.withColumn("_n", F.row_number().over(copies)).where(F.col("_n") <= top + 1).select("vec_id", "vec")
     index = stored(single.mapInArrow(in_cells, f"vec_id long, vec {kind}, cell long"))
-    # One number per cell, at most MOST_CELLS.
+    # One number per cell, at most SAMPLE / 8.
     chunks = {r["cell"]: -(-r["count"] // CHUNK) for r in index.groupBy("cell").count().collect()}
     asked = rows.where(queries).select(F.col("vec_id").alias("query_id"), "vec")
 
@@ -229,16 +272,19 @@ def nearest(
             yield pa.RecordBatch.from_arrays([*batch.columns, floor, pa.array(cell)], ["query_id", "vec", "floor", "cell"])
 
     def other_cells(batches):
-        for batch in batches:
-            x = _matrix(batch.column(1), size)
-            projected = np.concatenate([x, np.zeros((len(x), 1))], 1) @ axes
-            floor = batch.column(2).to_numpy()
-            reach = np.where(np.isinf(floor), np.inf, (x**2).sum(1) + longest**2 - 2 * floor)
-            near = box_distances(projected, tree.low, tree.high) <= ratio * np.maximum(reach, 0)[:, None] + 1e-12
-            near[np.arange(len(x)), tree.cell(projected)] = False
-            row, cell = np.nonzero(near)
-            taken = batch.take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(cell)], ["query_id", "vec", "floor", "cell"])
+        step = max(1, (PAIRS >> 2) >> tree.depth)
+        for whole in batches:
+            for at in range(0, whole.num_rows, step):
+                batch = whole.slice(at, step)
+                x = _matrix(batch.column(1), size)
+                projected = np.concatenate([x, np.zeros((len(x), 1))], 1) @ axes
+                floor = batch.column(2).to_numpy()
+                reach = np.where(np.isinf(floor), np.inf, (x**2).sum(1) + longest**2 - 2 * floor)
+                near = box_distances(projected, tree.low, tree.high) <= ratio * np.maximum(reach, 0)[:, None] + 1e-12
+                near[np.arange(len(x)), tree.cell(projected)] = False
+                row, cell = np.nonzero(near)
+                taken = batch.take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(cell)], ["query_id", "vec", "floor", "cell"])
 
     def found(wanted: DataFrame) -> DataFrame:
         wanted = stored(wanted)
@@ -262,7 +308,7 @@ def nearest(
                 return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=names)
             x, q = _matrix(held["vec"], size), _matrix(asked["vec"], size)
             query_ids = asked["query_id"].to_numpy()
-            row, vec, score = search(
+            row, vec, score, _ = search(
                 held["vec_id"].to_numpy(), x, points_of(x), query_ids, q,
                 np.concatenate([q, np.zeros((len(q), 1))], 1) @ axes, asked["floor"].to_numpy(), longest, top, ratio,
             )

@@ -58,6 +58,42 @@ def test_few_or_no_vectors(spark):
     assert [(r.query_id, r.rank, r.vec_id, r.score) for r in nearest.nearest(two, ask).collect()] == [(0, 1, 1, 0.5)]
 
 
+def test_repeated_ids_with_other_vectors(spark):
+    """An id with two vectors asks with both and is found by both; its own id is never a hit."""
+    x = np.random.default_rng(4).standard_normal((12, 4)).astype(np.float32)
+    rows = [(i % 6 * 10, [float(a) for a in v]) for i, v in enumerate(x)]
+    table = spark.createDataFrame([(i, v, 1, 2.0) for i, v in rows], SCHEMA)
+    found = {}
+    for r in nearest.nearest(table, F.col("vec_id") % 20 == 0, top=5).orderBy("query_id", "rank").collect():
+        found.setdefault(r.query_id, []).append((r.vec_id, round(r.score, 9)))
+    for q in (0, 20, 40):
+        scores = {(j, float(np.dot(np.float64(a), np.float64(b)))) for i, a in rows if i == q for j, b in rows if j != q}
+        assert found[q] == [(j, round(s, 9)) for j, s in sorted(scores, key=lambda p: (-p[1], p[0]))[:5]]
+
+
+@pytest.mark.parametrize("spread,most", [(None, 0.75), (0.4, 0.4)])
+def test_stopping_test_leaves_points_out(spread, most):
+    """Most of the nearest are found, and a good share of the vectors is never verified."""
+    random = np.random.default_rng(8)
+    x = random.standard_normal((8000, 48))
+    if spread:
+        x = x[random.integers(0, 80, 8000)] + spread * x
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    axes = random.standard_normal((49, nearest.PROJECTED))
+    points = np.concatenate([x, np.zeros((8000, 1))], 1) @ axes
+    ask = np.arange(0, 8000, 40)
+    rows, vecs, scores, verified = nearest.search(
+        np.arange(8000), x, points, ask, x[ask], points[ask], np.full(200, -np.inf), 1 + 1e-12, 20, nearest.stop_ratio()
+    )
+    true = x[ask] @ x.T
+    true[np.arange(200), ask] = -np.inf
+    best = np.argsort(-true, axis=1)[:, :20]
+    hits = sum(len(set(vecs[rows == i]) & set(best[i])) for i in range(200))
+    assert hits >= 0.93 * 20 * 200
+    assert verified <= most * 200 * 8000
+    assert np.allclose(scores, true[rows, vecs])
+
+
 def test_chi_square():
     ratio = nearest.stop_ratio(0.98, 8)
     draws = (np.random.default_rng(0).standard_normal((200_000, 8)) ** 2).sum(1)
