@@ -144,7 +144,51 @@ def _centroid_sql(rounds: int) -> str:
         FROM a{rounds} JOIN kept USING (r) JOIN c{rounds} USING (c)"""
 
 
+def _near_sql() -> str:
+    """op4 over sets of shingles: pairs that share a shingle among the rarest fifth, full sets, then all that is reachable.
+
+    Two sets that are 80 % alike share one of the rarest n - ceil(0.8 n) + 1 shingles of each.
+    """
+    return f"""
+        WITH RECURSIVE words AS MATERIALIZED (
+            SELECT row_number() OVER () AS r, doc_id,
+                   regexp_extract_all({_FOLDED}, '[^\\x20\\x09-\\x0D]+') AS w
+            FROM documents),
+        sets AS MATERIALIZED (
+            SELECT r, doc_id, list_sort(list_distinct(CASE
+                       WHEN len(w) < 2 THEN w
+                       ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END)) AS s
+            FROM words),
+        nodes AS MATERIALIZED (
+            SELECT row_number() OVER () AS k, s, len(s) AS n, min(doc_id) AS least
+            FROM sets WHERE len(s) > 0 GROUP BY s),
+        each_one AS (SELECT k, n, unnest(s) AS g FROM nodes),
+        ranked AS (
+            SELECT k, n, g, row_number() OVER (PARTITION BY k ORDER BY f, g) AS place
+            FROM (SELECT k, n, g, count(*) OVER (PARTITION BY g) AS f FROM each_one)),
+        rare AS MATERIALIZED (SELECT k, n, g FROM ranked WHERE place <= n - ceil(0.8 * n) + 1),
+        pairs AS MATERIALIZED (
+            SELECT DISTINCT a.k AS a, b.k AS b FROM rare AS a JOIN rare AS b USING (g)
+            WHERE a.k < b.k AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+        common AS (
+            SELECT a, b, x.n + y.n AS total, len(list_intersect(x.s, y.s)) AS c
+            FROM pairs JOIN nodes AS x ON x.k = a JOIN nodes AS y ON y.k = b),
+        linked AS MATERIALIZED (SELECT a, b FROM common WHERE 100 * c >= 80 * (total - c)),
+        edges AS MATERIALIZED (SELECT a, b FROM linked UNION ALL SELECT b, a FROM linked),
+        reached(k, other) AS (
+            SELECT k, k FROM nodes
+            UNION
+            SELECT reached.k, edges.b FROM reached JOIN edges ON reached.other = edges.a),
+        parts AS MATERIALIZED (
+            SELECT reached.k, min(o.least) AS component_id
+            FROM reached JOIN nodes AS o ON o.k = reached.other GROUP BY reached.k)
+        SELECT doc_id, CAST(len(sets.s) AS BIGINT) AS n_shingles, coalesce(component_id, doc_id) AS component_id,
+               coalesce(doc_id = coalesce(component_id, doc_id), true) AS kept
+        FROM sets LEFT JOIN nodes ON nodes.s = sets.s LEFT JOIN parts USING (k)"""
+
+
 LLM_ORACLES: dict[str, str] = {
+    "op4_near_dedup": _near_sql(),
     "op12_centroids": _centroid_sql(10),
     "op3_exact_dedup": f"""
         WITH d AS (SELECT doc_id, sha256({_FOLDED}) AS text_sha256 FROM documents)
