@@ -218,16 +218,20 @@ def history_text(history: Column) -> Column:
     return F.when(history.isNotNull(), F.coalesce(history_lines(history), F.lit("")))
 
 
-def history_lines(history: Column) -> Column:
-    """The same, but null if there is no line: a turn without content leaves none."""
-    lines = F.transform(
+def turn_lines(history: Column) -> Column:
+    """One line per turn, null for a turn without content."""
+    return F.transform(
         history,
         lambda turn: F.concat(
             F.when(turn["role"] == "user", F.lit("Human: ")).otherwise(F.lit("AI: ")),
             turn["content"],
         ),
     )
-    said = F.filter(lines, lambda line: line.isNotNull())
+
+
+def history_lines(history: Column) -> Column:
+    """The same, but null if there is no line: a turn without content leaves none."""
+    said = F.filter(turn_lines(history), lambda line: line.isNotNull())
     return F.when(F.size(said) > 0, F.array_join(said, "\n"))
 
 

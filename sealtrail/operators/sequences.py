@@ -94,8 +94,9 @@ def text_chunks(
     )
 
 
-# Turn numbers per block of a history.
+# Turn numbers per block of a history, and at most so many runs of blocks per conversation.
 HISTORY_BLOCK = 64
+HISTORY_RUNS = 32
 
 
 def chat_history(
@@ -105,50 +106,64 @@ def chat_history(
     role: str = "role",
     content: str = "content",
     block: int = HISTORY_BLOCK,
+    most_runs: int = HISTORY_RUNS,
 ) -> DataFrame:
     """For each human turn, the earlier turns of its conversation as lines.
 
-    Turns are gathered in blocks of ``block`` turn numbers.  The text before a block is put
-    together once per block, from whole earlier blocks; a turn adds the lines before it in its
-    own block.  So no task holds the turns of a whole conversation, and a long one is dealt
-    over tasks by (conversation, block).  The result itself grows with the square of a
-    conversation's length, as every row holds all earlier turns; making it moves one copy of
-    a block's text for each later block.
+    Turns fall into blocks of ``block`` turn numbers, and the blocks of a conversation into at
+    most ``most_runs`` runs of about as many blocks.  Each run's text goes once to every later
+    run of its conversation; a turn adds the lines before it in its own run.  So a long
+    conversation is dealt over tasks by (conversation, run), what moves is at most
+    ``most_runs`` copies of the input, and no text passes through the driver.  The result
+    itself grows with the square of a conversation's length, as every row holds all earlier
+    turns; a task makes one such row after the other.
 
     A null turn number comes first.  Turns without text leave no line.
     """
     speaker = F.when(F.col(role) == "human", F.lit("user")).otherwise(F.col(role))
     entry = F.struct(F.col(turn).alias("turn"), speaker.alias("role"), F.col(content).alias("content"))
     number = F.coalesce(F.floor(F.col(turn) / block).cast("long"), F.lit(-(1 << 62)))
-    key = F.struct(F.col(conversation).alias("conversation")).alias("_key")
     # Inside a struct, a null conversation joins like any other.
-    blocks = (
-        turns.select(key, number.alias("_block"), entry.alias("entry"))
-        .groupBy("_key", "_block")
-        .agg(F.sort_array(F.collect_list("entry")).alias("entries"))
+    key = F.struct(F.col(conversation).alias("conversation")).alias("_key")
+    numbered = turns.select(key, number.alias("_block"), entry.alias("entry"))
+    places = (
+        numbered.groupBy("_key")
+        .agg(F.sort_array(F.collect_set("_block")).alias("known"))
+        .select("_key", F.size("known").cast("long").alias("_blocks"), F.posexplode("known").alias("_at", "_block"))
     )
-    lines = blocks.select("_key", F.col("_block").alias("_from"), X.history_lines(F.col("entries")).alias("text"))
-    known = blocks.groupBy("_key").agg(F.collect_set("_block").alias("known")).where(F.size("known") > 1)
-    pairs = known.select("_key", "known", F.explode("known").alias("_block")).select(
-        "_key", "_block", F.explode(F.filter("known", lambda b: b < F.col("_block"))).alias("_from")
+    runs = F.least("_blocks", F.lit(most_runs).cast("long"))
+    run = F.floor(F.col("_at") * runs / F.col("_blocks")).cast("long")
+    # As a merge join, which sends neither side through the driver whatever its size is taken for.
+    own = (
+        numbered.join(places.select("_key", "_block", runs.alias("_runs"), run.alias("_from")).hint("merge"), ["_key", "_block"])
+        .groupBy("_key", "_runs", "_from")
+        .agg(F.sort_array(F.collect_list("entry")).alias("entries"))
     )
-    before = (
-        pairs.join(lines, ["_key", "_from"])
-        .groupBy("_key", "_block")
-        .agg(F.sort_array(F.collect_list(F.struct("_from", "text"))).alias("before"))
-        .select("_key", "_block", F.col("before")["text"].alias("before"))
+    # Text and lines are made once per run, before the row is exploded: beside it, they would be made for each copy.
+    texts = own.withColumn("text", X.history_lines(F.col("entries")))
+    sent = texts.select("_key", "_from", "entries", "text", F.explode(F.sequence("_from", F.col("_runs") - 1)).alias("_run"))
+    at_home = F.col("_run") == F.col("_from")
+    parts = sent.select(
+        "_key", "_run", "_from", F.when(at_home, F.col("entries")).alias("entries"), F.when(~at_home, F.col("text")).alias("text")
     )
-    own = blocks.select("_key", "_block", "entries", F.posexplode("entries").alias("at", "entry")).where(
-        F.col("entry")["role"] == "user"
+    # Few and heavy groups: as the number of tasks is given, they are not put together by their bytes.
+    tasks = 8 * turns.sparkSession.sparkContext.defaultParallelism
+    told = (
+        parts.repartition(tasks, "_key", "_run")
+        .groupBy("_key", "_run")
+        .agg(
+            F.sort_array(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("_from", "text")))).alias("before"),
+            F.first("entries", ignorenulls=True).alias("entries"),
+        )
+        .select("_key", "entries", F.col("before")["text"].alias("before"), X.turn_lines(F.col("entries")).alias("lines"))
+        .select("_key", "before", "lines", F.posexplode("entries").alias("at", "entry"))
+        .where(F.col("entry")["role"] == "user")
     )
-    # ``slice`` takes no length of 0 from an empty start.
-    earlier = F.when(F.col("at") > 0, X.history_lines(F.slice("entries", 1, F.greatest(F.col("at"), F.lit(1)))))
-    parts = F.concat(F.coalesce("before", F.array().cast("array<string>")), F.array(earlier))
-    return own.join(before, ["_key", "_block"], "left").select(
+    return told.select(
         F.col("_key")["conversation"].alias(conversation),
         F.col("entry")["turn"].alias(turn),
         F.col("entry")["content"].alias("message"),
-        F.array_join(parts, "\n").alias("history"),
+        F.concat_ws("\n", "before", F.slice("lines", F.lit(1), F.col("at"))).alias("history"),
     )
 
 

@@ -219,6 +219,18 @@ def test_history_over_blocks(spark):
         assert {(r.conv_id, r.turn): (r.message, r.history) for r in got} == expected
 
 
+def test_history_of_many_blocks_without_the_driver(spark):
+    """A conversation of 300 sparse turns: its texts move few times, and none is broadcast."""
+    turns = spark.range(300).selectExpr(
+        "1 AS conv_id", "id * 1000 AS turn", "IF(id % 2 = 0, 'human', 'agent') AS role", "'t' || id AS content"
+    )
+    told = sequences.chat_history(turns)
+    got = {r.turn: r.history for r in told.collect()}
+    assert "Broadcast" not in told._jdf.queryExecution().executedPlan().toString()
+    said = [("Human: " if i % 2 == 0 else "AI: ") + f"t{i}" for i in range(300)]
+    assert got == {i * 1000: "\n".join(said[:i]) for i in range(0, 300, 2)}
+
+
 def test_maps_take_every_vector(spark):
     ids = [None] * 70 + [3] * 90 + list(range(100, 140))
     rows = [(i, [float(n % 9), 1.0]) for n, i in enumerate(ids)]
