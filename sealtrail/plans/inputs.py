@@ -11,7 +11,7 @@ from sealtrail.functions import text as X
 from sealtrail.operators import sealing
 from sealtrail.profile import SealProfile
 from sealtrail.sources.scratch import new_folder
-from sealtrail.sources.splits import spread_small
+from sealtrail.sources.splits import spread_rows, spread_small
 
 # A made-up key fingerprint and author.
 PROFILE = SealProfile(
@@ -79,7 +79,7 @@ def exchange_ledger(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
 
 def event_ledger(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
     """Ledger of device events, as devices would pre-seal them."""
-    return event_ledger_of(spread(spark, sf_dir, "events"), *keep)
+    return event_ledger_of(spread_rows(table(spark, sf_dir, "events")), *keep)
 
 
 def event_ledger_of(events: DataFrame, *keep: str) -> DataFrame:

@@ -6,6 +6,7 @@ import os
 import sys
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
 from sealtrail.plans.oracles import ORACLES
@@ -65,3 +66,19 @@ def test_core_queries_without_the_optional_libraries(monkeypatch):
         assert set(entry_module.queries()) == set(QUERIES)
     with pytest.warns(UserWarning, match="training-data"):
         assert set(entry_module.oracle_sql()) == set(ORACLES)
+
+
+def test_event_ledger_bounds_the_rows_of_a_task(spark, tmp_path, monkeypatch):
+    """The wide rows of a task do not grow with the table, whatever its splits are."""
+    from sealtrail.plans import inputs
+    from sealtrail.sources import splits
+
+    monkeypatch.setattr(splits, "ROWS_PER_TASK", 50)
+    events = spark.range(2000).selectExpr(
+        "id AS event_id", "timestamp'2024-01-01 00:00:00' AS ts", "id % 7 AS user_id", "'view' AS event_type",
+        "1.5D AS value", "'{}' AS props",
+    )
+    events.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    ledger = inputs.event_ledger(spark, str(tmp_path))
+    sizes = [r["count"] for r in ledger.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 2000 and max(sizes) <= 51
