@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sealtrail.llm.common import free_name, stored
+from sealtrail.llm.common import free_name, slices, stored
 
 # A digest with more than 1 / (COUNTERS + 1) of all rows is certain to be found.
 COUNTERS = 1024
@@ -37,7 +37,7 @@ def with_digest(docs: DataFrame, text: str = "text", name: str = "_digest") -> D
     """Add the SHA-256 of the normalised text; ``bytes.lower`` changes A-Z only."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, text):
             digests = _digests(batch.column(batch.schema.get_field_index(text)))
             yield pa.RecordBatch.from_arrays([*batch.columns, digests], [*batch.schema.names, name])
 

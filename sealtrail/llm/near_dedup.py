@@ -44,6 +44,8 @@ BASE, RATE, TOP = 1.001, 20.0, 65534
 LEAST_LOG_RATIO = -12.5
 SMALL = 24
 BLOCK = 256
+# Text that is cut into shingles at a time; arrays of it take about 40 times as much.
+SLICE = 1 << 18
 
 _RANDOM = np.random.Generator(np.random.PCG64(20240229))
 _SPREAD = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -99,30 +101,32 @@ def _digest(items: np.ndarray) -> bytes:
     return hashlib.sha256(items.tobytes()).digest()[:16]
 
 
-def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, node (digest of the set), bands, registers."""
+def sketched(batches: Iterator[pa.RecordBatch], words: int = WORDS) -> Iterator[pa.RecordBatch]:
+    """Sketches of rows (doc_id, text), see ``sketches``."""
+    for batch in slices(batches, "text", SLICE):
+        items, starts = shingle_sets(*utf8(batch.column(1)), words)
+        made = registers(items, starts)
+        keys = (made.reshape(-1, BANDS, ROWS).view(np.uint64)[:, :, 0] ^ _BAND_MARKS) * np.uint64(FACTOR)
+        lists = pa.ListArray.from_arrays(
+            pa.array(np.arange(len(made) + 1) * BANDS, pa.int32()), pa.array(keys.ravel().view(np.int64))
+        )
+        nodes = [_digest(items[a:b]) for a, b in zip(starts[:-1], starts[1:])]
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column(0), pa.array(np.diff(starts)), pa.array(nodes, pa.binary()), lists,
+                pa.array([r.tobytes() for r in made], pa.binary()),
+            ],
+            ["doc_id", "n_shingles", "node", "bands", "registers"],
+        )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 1 << 21):
-            items, starts = shingle_sets(*utf8(batch.column(1)), words)
-            made = registers(items, starts)
-            keys = (made.reshape(-1, BANDS, ROWS).view(np.uint64)[:, :, 0] ^ _BAND_MARKS) * np.uint64(FACTOR)
-            lists = pa.ListArray.from_arrays(
-                pa.array(np.arange(len(made) + 1) * BANDS, pa.int32()), pa.array(keys.ravel().view(np.int64))
-            )
-            nodes = [_digest(items[a:b]) for a, b in zip(starts[:-1], starts[1:])]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0), pa.array(np.diff(starts)), pa.array(nodes, pa.binary()), lists,
-                    pa.array([r.tobytes() for r in made], pa.binary()),
-                ],
-                ["doc_id", "n_shingles", "node", "bands", "registers"],
-            )
 
+def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
+    """doc_id, n_shingles, node (digest of the set), bands, registers."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(
-        run, f"doc_id {kind}, n_shingles long, node binary, bands array<long>, registers binary"
+        lambda batches: sketched(batches, words),
+        f"doc_id {kind}, n_shingles long, node binary, bands array<long>, registers binary",
     )
 
 
@@ -214,7 +218,7 @@ def set_table(docs: DataFrame, text: str, words: int) -> DataFrame:
     """node and its sorted shingle hashes, for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 1 << 21):
+        for batch in slices(batches, "text", SLICE):
             items, starts = shingle_sets(*utf8(batch.column(0)), words)
             sets = [items[a:b] for a, b in zip(starts[:-1], starts[1:])]
             yield pa.RecordBatch.from_arrays(

@@ -7,6 +7,7 @@ import random
 import re
 import string
 import textwrap
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -308,6 +309,20 @@ def test_near_copies(spark, words):
     assert all(found[i].n_shingles == len(sets[i]) and found[i].kept == (expected[i] == i) for i in expected)
 
 
+def test_sketches_of_a_large_batch_take_little_memory():
+    """A worker's arrays are those of a slice of text, however large Spark's batches are."""
+    texts = [f"{i} " + " ".join(f"w{(i * 7 + j) % 5003}" for j in range(400)) for i in range(4000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    tracemalloc.start()
+    try:
+        rows = sum(made.num_rows for made in near_dedup.sketched(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows == len(texts)
+    assert peak < 32 << 20
+
+
 def test_near_copies_in_large_buckets(spark, monkeypatch):
     """Buckets above the limit are compared in blocks."""
     monkeypatch.setattr(near_dedup, "SMALL", 3)
