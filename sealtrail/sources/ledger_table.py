@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from sealtrail import schema as S
-from sealtrail.operators.ledger import number_keys, valid_rows
+from sealtrail.operators.ledger import known_ids, number_keys, valid_rows
 from sealtrail.operators.merkle import BLOCK_LEVELS, MountainRange, perfect_trees
 from sealtrail.operators.ordering import ensure_checkpoint_dir, with_dense_index
 from sealtrail.sources import runs as R
@@ -241,7 +241,9 @@ class LedgerTable:
         first_seq = 0 if last is None else last.next_seq
         keys = fresh.select("object_id", _CREATED, "leaf_hash")
         if last is not None and last.id_runs:
-            keys = keys.join(self._ids(last, keys).select("object_id"), "object_id", "left_anti")
+            # Only ids that are in both meet the keys, so a small batch is sent to the stored ids.
+            known = known_ids(self._ids(last, keys), keys.select("object_id"))
+            keys = keys.join(known, "object_id", "left_anti")
         added, count, low, newest = number_keys(keys, first_seq)
         old = {} if last is None else last.asDict()
         values = {
@@ -337,14 +339,17 @@ class LedgerTable:
         start, end = base.leaf_count, base.leaf_count + size
         first, last, split = start // BLOCK, end // BLOCK, start % BLOCK > 0
         inner = last - first - split > 0
+        # One of 1,024 leaves; kept, as the tail itself is read anew by each job.
+        firsts = tail.where(F.col("leaf_index") % BLOCK == 0).select("leaf_index", *S.LEDGER_ORDER)
+        firsts = firsts.persist(StorageLevel.DISK_ONLY)
 
         def store(nodes: DataFrame) -> DataFrame:
-            firsts = tail.where(F.col("leaf_index") % BLOCK == 0).select(
+            begun = firsts.select(
                 F.lit(True).alias("whole"), F.shiftright("leaf_index", BLOCK_LEVELS).alias("block"),
                 F.col(_CREATED).alias("created"), F.col(_SEQ).alias("seq"),
             )
             placed = nodes.withColumnRenamed("pos", "block").withColumn("whole", F.col("height") >= BLOCK_LEVELS)
-            placed = placed.join(firsts, ["whole", "block"], "left").select("height", "block", "node", "created", "seq")
+            placed = placed.join(begun, ["whole", "block"], "left").select("height", "block", "node", "created", "seq")
             placed.write.mode("overwrite").parquet(f"{self.path}/{folder}")
             kept = self._read([folder], BLOCKS_SCHEMA)
             return kept.select("height", F.col("block").alias("pos"), "node", F.lit(False).alias("folded"))
@@ -354,8 +359,9 @@ class LedgerTable:
         summary = base.extended(perfect_trees(tail, start, end, **extra), blocks)
         known = {}
         if last > first or not split:
-            at = tail.where(F.col("leaf_index").isin(start, last * BLOCK)).select("leaf_index", *S.LEDGER_ORDER)
+            at = firsts.where(F.col("leaf_index").isin(start, last * BLOCK))
             known = {r.leaf_index: (r[_CREATED], r[_SEQ]) for r in at.collect()}
+        firsts.unpersist()
         segments = [s | {"last": min(s["last"], first)} for s in segments if s["first"] < first]
         if last > first:
             key = opened if split else known[start]

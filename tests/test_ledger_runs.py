@@ -123,6 +123,23 @@ def test_append_reads_its_own_buckets(spark, table, monkeypatch):
     assert summary.leaf_count == 2011
 
 
+def test_late_batch_is_sent_to_the_stored_ids(spark, table, monkeypatch):
+    """Its keys meet only the ids that both have."""
+    first, late = [(f"id-{n}", "2024-01-02") for n in range(3000)], [("id-7", "2024-01-01"), ("id-new", "2024-01-01")]
+    table.append(rows_of(spark, first))
+    plans, number = [], ledger_table.number_keys
+
+    def numbered(keys, first_seq):
+        plans.append(keys._jdf.queryExecution().optimizedPlan().toString())
+        return number(keys, first_seq)
+
+    monkeypatch.setattr(ledger_table, "number_keys", numbered)
+    table.append(rows_of(spark, late))
+    assert "LeftSemi" in plans[0] and "LeftAnti" in plans[0]
+    assert table.rows().count() == 3001
+    assert table.root().first().merkle_root == merkle.ledger_root(table.rows()).first().merkle_root
+
+
 def test_lookup_skips_most_rows(spark, table, monkeypatch):
     items = [(f"r{i}", str(i).zfill(6)) for i in range(60_000)]
     monkeypatch.setattr(ledger_table, "ROWS_PER_FILE", 4096)
