@@ -235,6 +235,12 @@ def history_lines(history: Column) -> Column:
     return F.when(F.size(said) > 0, F.array_join(said, "\n"))
 
 
+def joined_length(texts: Column) -> Column:
+    """Length of an array's texts joined by a line break; none of them is null."""
+    lengths = F.transform(texts, lambda text: F.length(text).cast("long") + 1)
+    return F.greatest(F.aggregate(lengths, F.lit(-1).cast("long"), lambda total, one: total + one), F.lit(0).cast("long"))
+
+
 def prompt_text(system_text: Column, history: Column, message: Column) -> Column:
     """Prompt made of a system text, the history lines and the new message."""
     return F.concat(

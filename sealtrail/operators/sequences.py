@@ -107,6 +107,7 @@ def chat_history(
     content: str = "content",
     block: int = HISTORY_BLOCK,
     most_runs: int = HISTORY_RUNS,
+    chars: str | None = None,
 ) -> DataFrame:
     """For each human turn, the earlier turns of its conversation as lines.
 
@@ -141,30 +142,43 @@ def chat_history(
     )
     # Text and lines are made once per run, before the row is exploded: beside it, they would be made for each copy.
     texts = own.withColumn("text", X.history_lines(F.col("entries")))
-    sent = texts.select("_key", "_from", "entries", "text", F.explode(F.sequence("_from", F.col("_runs") - 1)).alias("_run"))
+    sent = texts.select("_key", "_from", "_runs", "entries", "text", F.explode(F.sequence("_from", F.col("_runs") - 1)).alias("_run"))
     at_home = F.col("_run") == F.col("_from")
-    parts = sent.select(
-        "_key", "_run", "_from", F.when(at_home, F.col("entries")).alias("entries"), F.when(~at_home, F.col("text")).alias("text")
-    )
     # Few and heavy groups: as the number of tasks is given, they are not put together by their bytes.
     tasks = 8 * turns.sparkSession.sparkContext.defaultParallelism
+    pair = F.least("_run", F.col("_runs") - 1 - F.col("_run"))
+    task = F.pmod(F.pmod(F.xxhash64("_key"), F.lit(tasks)) + pair, F.lit(tasks)).cast("int")
+    parts = sent.select(
+        "_key", "_run", "_from", task.alias("_task"),
+        F.when(at_home, F.col("entries")).alias("entries"), F.when(~at_home, F.col("text")).alias("text"),
+    )
     told = (
-        parts.repartition(tasks, "_key", "_run")
-        .groupBy("_key", "_run")
+        parts.repartitionById(tasks, F.col("_task"))
+        .groupBy("_task", "_key", "_run")
         .agg(
             F.sort_array(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("_from", "text")))).alias("before"),
             F.first("entries", ignorenulls=True).alias("entries"),
         )
         .select("_key", "entries", F.col("before")["text"].alias("before"), X.turn_lines(F.col("entries")).alias("lines"))
-        .select("_key", "before", "lines", F.posexplode("entries").alias("at", "entry"))
-        .where(F.col("entry")["role"] == "user")
     )
-    return told.select(
+    counted = [] if chars is None else [X.joined_length(F.col("before")).alias("_chars")]
+    told = told.select("*", *counted).select(
+        "_key", "before", "lines", *counted and ["_chars"], F.posexplode("entries").alias("at", "entry")
+    )
+    told = told.where(F.col("entry")["role"] == "user")
+    lines = F.slice("lines", F.lit(1), F.col("at"))
+    columns = [
         F.col("_key")["conversation"].alias(conversation),
         F.col("entry")["turn"].alias(turn),
         F.col("entry")["content"].alias("message"),
-        F.concat_ws("\n", "before", F.slice("lines", F.lit(1), F.col("at"))).alias("history"),
-    )
+        F.concat_ws("\n", "before", lines).alias("history"),
+    ]
+    if chars is not None:
+        # No line is empty, so both sides have a text or none.
+        own = F.length(F.concat_ws("\n", lines)).cast("long")
+        between = ((F.col("_chars") > 0) & (own > 0)).cast("long")
+        columns.append((F.col("_chars") + own + between).alias(chars))
+    return told.select(*columns)
 
 
 def prompts(history: DataFrame, keep: tuple[str, ...], system_text: Column) -> DataFrame:

@@ -231,6 +231,26 @@ def test_history_of_many_blocks_without_the_driver(spark):
     assert got == {i * 1000: "\n".join(said[:i]) for i in range(0, 300, 2)}
 
 
+def test_history_lengths_add_up(spark):
+    """The length beside a history is that of the history, with wide characters, empty texts and turns without text."""
+    texts = ["", None, "ab", "é\U0001f600", "a\nb"]
+    rows = [("long", i, "human" if i % 3 else "agent", texts[i % 5]) for i in range(200)] + [("mute", i, "human", None) for i in range(150)]
+    rows += [(None, 1, "human", "q"), ("one", None, "human", "é"), ("one", 4, "human", None), ("one", 5, "agent", "z")]
+    turns = spark.createDataFrame(rows, "conv_id string, turn long, role string, content string").repartition(3)
+    for block in (1, 16, 64):
+        got = sequences.chat_history(turns, block=block, chars="chars").collect()
+        assert len(got) == sum(r[2] == "human" for r in rows)
+        assert all(r.chars == len(r.history) for r in got)
+
+
+def test_history_tasks_are_alike(spark):
+    """A conversation's late runs have most of the text before them, yet no task gets two of them."""
+    turns = spark.range(3200).selectExpr("1 AS conv_id", "id AS turn", "'human' AS role", "'said' AS content")
+    told = sequences.chat_history(turns, block=10).selectExpr("spark_partition_id() AS task", "length(history) AS n")
+    load = [r.n for r in told.groupBy("task").sum("n").toDF("task", "n").collect()]
+    assert max(load) < 0.08 * sum(load)
+
+
 def test_maps_take_every_vector(spark):
     ids = [None] * 70 + [3] * 90 + list(range(100, 140))
     rows = [(i, [float(n % 9), 1.0]) for n, i in enumerate(ids)]
