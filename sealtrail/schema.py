@@ -27,10 +27,8 @@ LEDGER_COLUMNS = ("ingest_seq", *LEDGER_TEXT_COLUMNS)
 # number is unique and breaks ties.
 LEDGER_ORDER = ("created_locally_at_utc", "ingest_seq")
 
-LEDGER_SCHEMA = T.StructType(
-    [T.StructField("ingest_seq", T.LongType())]
-    + [T.StructField(c, T.StringType()) for c in LEDGER_TEXT_COLUMNS]
-)
+LEDGER_TEXT_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in LEDGER_TEXT_COLUMNS])
+LEDGER_SCHEMA = T.StructType([T.StructField("ingest_seq", T.LongType()), *LEDGER_TEXT_SCHEMA])
 
 # Fields are in sorted order, so ``to_json`` of this struct is canonical.
 ENVELOPE_SCHEMA = (

@@ -5,6 +5,7 @@ Layout under ``path``::
     rows/...      runs of rows, each sorted in ledger order
     ids/...       the same runs' object ids with their rows' places, by bucket and sorted
     blocks/...    nodes of whole blocks of 1,024 leaves
+    incoming/...  the sealed rows of the batch that is being appended
     state/...     one row per batch: the root, and which runs are live after it
     history/...   runs of older snapshots
 
@@ -20,6 +21,7 @@ import json
 from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timezone
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -30,9 +32,14 @@ from sealtrail.operators.ledger import known_ids, number_keys, valid_rows
 from sealtrail.operators.merkle import BLOCK_LEVELS, MountainRange, perfect_trees
 from sealtrail.operators.ordering import ensure_checkpoint_dir, with_dense_index
 from sealtrail.sources import runs as R
+from sealtrail.sources.scratch import dropping_shuffles
 
 BLOCK = 1 << BLOCK_LEVELS
 ROWS_PER_FILE = 1 << 17
+# New rows are written in slices of so many files, or for each core, if that is more.
+FILES_PER_SLICE = 16
+FILES_PER_CORE = 2
+MOST_SLICES = 8
 IDS_PER_BUCKET = 1 << 16
 # Snapshots are moved to the history by as many.
 HISTORY_STEP = 16
@@ -222,21 +229,30 @@ class LedgerTable:
         A batch whose key the newest snapshot has is already stored, and nothing
         is done.
 
-        The batch's sealed rows are worked out once and kept on the executors' disks.
-        Their keys alone meet the stored ids of their own buckets, are numbered and
+        The batch's sealed rows are worked out once and kept beside the ledger until the batch
+        is stored.  Their keys alone meet the stored ids of their own buckets, are numbered and
         folded; whole rows move once more, to be written in order.
         """
         ensure_checkpoint_dir(self.spark)
         last = self._repaired()
         if last is not None and batch_key is not None and last.batch_key == batch_key:
             return _range_of(last)
-        fresh = valid_rows(batch.select(*S.LEDGER_TEXT_COLUMNS), order).persist(StorageLevel.DISK_ONLY)
-        try:
-            return self._commit(last, fresh, updated_at_utc or utc_now(), batch_key)
-        finally:
-            fresh.unpersist()
-
-    def _commit(self, last: Row | None, fresh: DataFrame, updated_at_utc: str, batch_key: str | None) -> MountainRange:
+        kept = f"incoming/batch_no={0 if last is None else last.batch_no + 1}"
+        with dropping_shuffles(self.spark, batch.sparkSession):
+            try:
+                valid = valid_rows(batch.select(*S.LEDGER_TEXT_COLUMNS), order)
+                self._write(valid.select(*[F.col(c).cast("string").alias(c) for c in S.LEDGER_TEXT_COLUMNS]), kept)
+                fresh = self._read([kept], S.LEDGER_TEXT_SCHEMA)
+                summary, count = self._commit(last, fresh, updated_at_utc or utc_now(), batch_key)
+            finally:
+                R.remove(self.spark, f"{self.path}/{kept}")
+        if count > self._slice(count):
+            # Spark removes the checkpoint of so many keys only once the driver has collected its garbage.
+            self.spark._jvm.System.gc()
+        return summary
+
+    def _commit(self, last: Row | None, fresh: DataFrame, updated_at_utc: str, batch_key: str | None) -> tuple[MountainRange, int]:
+        """The range after the batch, and how many rows it added."""
         batch_no = 0 if last is None else last.batch_no + 1
         first_seq = 0 if last is None else last.next_seq
         keys = fresh.select("object_id", _CREATED, "leaf_hash")
@@ -259,15 +275,23 @@ class LedgerTable:
             if last is not None and last.last_created is not None:
                 high = max(high, (last.last_created, last.last_seq))
             ids = added.select("object_id", F.col(_CREATED).alias("created"), F.col(_SEQ).alias("seq"))
-            # The three jobs need only the numbered keys, so they share the cluster.
-            with ThreadPoolExecutor(2) as side:
-                writes = [
-                    side.submit(self._write_rows, fresh, added, f"rows/batch_no={batch_no}", first_seq, count),
-                    side.submit(self._write_ids, ids, f"ids/batch_no={batch_no}", count),
-                ]
-                folded = self._new_range(last, batch_no, added, first_seq, count, low)
+            writes = [
+                partial(self._write_ids, ids, f"ids/batch_no={batch_no}", count),
+                partial(self._write_rows, fresh, added, f"rows/batch_no={batch_no}", first_seq, count),
+            ]
+            fold = partial(self._new_range, last, batch_no, added, first_seq, count, low)
+            if count > self._slice(count):
+                # Each fills the cluster, so one follows the other and finds the disk free of its shuffles.
+                folded = fold()
                 for write in writes:
-                    write.result()
+                    write()
+            else:
+                # The three jobs need only the numbered keys, so they share the cluster.
+                with ThreadPoolExecutor(2) as side:
+                    running = [side.submit(write) for write in writes]
+                    folded = fold()
+                    for write in running:
+                        write.result()
             for part in ("row_runs", "id_runs"):
                 values[part].append({"folder": f"{part[:-5]}s/batch_no={batch_no}", "rows": count})
             values |= {"min_created": low, "last_created": high[0], "last_seq": high[1]}
@@ -279,21 +303,48 @@ class LedgerTable:
         self._write_state(**values)
         for folder in [] if last is None else last.dropped or []:
             R.remove(self.spark, f"{self.path}/{folder}")
-        return MountainRange(values["leaf_count"], tuple(values["peaks"]))
+        return MountainRange(values["leaf_count"], tuple(values["peaks"])), count
+
+    def _write(self, rows: DataFrame, folder: str, mode: str = "overwrite", *by: str) -> None:
+        rows.write.mode(mode).option("compression", R.CODEC).partitionBy(*by).parquet(f"{self.path}/{folder}")
+
+    def _slice(self, count: int) -> int:
+        """New rows that are written at once."""
+        files = max(FILES_PER_SLICE, FILES_PER_CORE * self.spark.sparkContext.defaultParallelism)
+        return ROWS_PER_FILE * max(files, -(-count // (ROWS_PER_FILE * MOST_SLICES)))
 
     def _write_rows(self, fresh: DataFrame, added: DataFrame, folder: str, first_seq: int, count: int) -> None:
-        """Write new rows in their order, a run of numbers per file."""
-        wide = fresh.join(added.select("object_id", _SEQ), "object_id").select(*S.LEDGER_COLUMNS)
-        part = F.floor((F.col(_SEQ) - first_seq) / ROWS_PER_FILE).cast("int")
-        placed = wide.repartitionById(-(-count // ROWS_PER_FILE), part).sortWithinPartitions(_SEQ)
-        placed.write.mode("overwrite").parquet(f"{self.path}/{folder}")
+        """Write new rows in their order, a run of numbers per file.
+
+        Whole rows are shuffled twice for that, which would take more disk than the rows that
+        are stored.  So they are written in slices of their order, at most ``MOST_SLICES``; each
+        reads all fresh rows.
+        """
+        step = self._slice(count)
+        place, order = F.col(_SEQ) - first_seq, F.struct(_CREATED, "object_id")
+        starts = []
+        if count > step:
+            starts = added.where(place % step == 0).sort(_SEQ).select(_CREATED, "object_id").collect()
+        for number in range(-(-count // step)):
+            rows, keys = fresh, added
+            first, size = number * step, min(step, count - number * step)
+            if starts:
+                keys = added.where(place.between(first, first + size - 1))
+                low, *high = starts[number : number + 2]
+                rows = rows.where((F.col(_CREATED) >= low[0]) & (order >= F.struct(*map(F.lit, low))))
+                for end in high:
+                    rows = rows.where((F.col(_CREATED) <= end[0]) & (order < F.struct(*map(F.lit, end))))
+            wide = rows.join(keys.select("object_id", _SEQ), "object_id").select(*S.LEDGER_COLUMNS)
+            part = F.floor((place - first) / ROWS_PER_FILE).cast("int")
+            placed = wide.repartitionById(-(-size // ROWS_PER_FILE), part).sortWithinPartitions(_SEQ)
+            self._write(placed, folder, "append" if number else "overwrite")
 
     def _write_ids(self, ids: DataFrame, folder: str, count: int) -> None:
         """Write ids by bucket; within one they are sorted, so pages hold ranges of ids."""
         number = buckets(count)
         bucketed = ids.withColumn("bucket", _bucket(number).cast("int"))
         placed = bucketed.repartitionById(number, F.col("bucket")).sortWithinPartitions("bucket", "object_id")
-        placed.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{folder}")
+        self._write(placed, folder, "overwrite", "bucket")
 
     # --- root ------------------------------------------------------------------------
 
@@ -350,7 +401,7 @@ class LedgerTable:
             )
             placed = nodes.withColumnRenamed("pos", "block").withColumn("whole", F.col("height") >= BLOCK_LEVELS)
             placed = placed.join(begun, ["whole", "block"], "left").select("height", "block", "node", "created", "seq")
-            placed.write.mode("overwrite").parquet(f"{self.path}/{folder}")
+            self._write(placed, folder)
             kept = self._read([folder], BLOCKS_SCHEMA)
             return kept.select("height", F.col("block").alias("pos"), "node", F.lit(False).alias("folded"))
 
@@ -443,7 +494,7 @@ class LedgerTable:
 
         def rows(folders: list[str], folder: str, count: int) -> None:
             placed = self._read(folders, S.LEDGER_SCHEMA).repartitionByRange(-(-count // ROWS_PER_FILE), *S.LEDGER_ORDER)
-            placed.sortWithinPartitions(*S.LEDGER_ORDER).write.mode("overwrite").parquet(f"{self.path}/{folder}")
+            self._write(placed.sortWithinPartitions(*S.LEDGER_ORDER), folder)
 
         def ids(folders: list[str], folder: str, count: int) -> None:
             found = [f"{f}/{n}" for f in folders for n in R.children(self.spark, f"{self.path}/{f}") if n.startswith("bucket=")]
@@ -458,7 +509,7 @@ class LedgerTable:
             count = segments[-1]["last"] - segments[start]["first"]
             nodes = self._nodes(segments[start:])
             placed = nodes.repartitionByRange(-(-count // ROWS_PER_FILE), "block").sortWithinPartitions("block")
-            placed.write.mode("overwrite").parquet(f"{self.path}/{folder}")
+            self._write(placed, folder)
             values["dropped"] += [s["folder"] for s in segments[start:] if s["folder"]]
             values["segments"] = [*segments[:start], segments[start] | {"folder": folder, "last": segments[-1]["last"], "node": None}]
 

@@ -8,6 +8,8 @@ from pyspark.sql import SparkSession
 
 # The newest runs are merged when there are as many.
 FAN = 8
+# Fixed value: hashes as hexadecimal text take twice their size under a codec without entropy coding.
+CODEC = "zstd"
 
 
 def merge_from(sizes: Sequence[int]) -> int | None:

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import random
+import time
+from urllib.parse import urlparse
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -169,3 +172,71 @@ def test_keys_are_numbered_by_time(spark):
     assert (count, low, high) == (3, "1", "2")
     assert {r.object_id: r.ingest_seq for r in numbered.collect()} == {"c": 5, "a": 6, "b": 7}
     assert ledger.number_keys(keys.where(F.lit(False)), 5)[1:] == (0, None, None)
+
+
+def shuffled(spark) -> set[str]:
+    """Shuffle files with contents that are on this machine's disk now."""
+    found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    files = [found.apply(i) for i in range(found.size())]
+    return {f.getName() for f in files if f.getName().startswith("shuffle_") and f.length()}
+
+
+def test_append_leaves_nothing_beside_the_ledger(spark, table):
+    """Shuffle files and the batch's sealed rows go with the append, and the setting for that is put back."""
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, value = shuffled(spark), spark.conf.get(setting)
+    for low in (0, 300):
+        table.append(rows_of(spark, [(f"r{i}", str(i % 7)) for i in range(low, low + 500)]).repartition(5))
+    # Spark removes them in the background.
+    until = time.time() + 20
+    while shuffled(spark) - before and time.time() < until:
+        time.sleep(0.2)
+    left = shuffled(spark) - before
+    assert not left and spark.conf.get(setting) == value
+    assert runs.children(spark, f"{table.path}/incoming") == []
+    assert table.rows().count() == 800
+
+
+def test_rows_are_written_in_slices(spark, table, monkeypatch):
+    """Times that are shared across slices, repeated and known ids, a late batch: numbered as by one pass."""
+    for name, value in (("ROWS_PER_FILE", 8), ("FILES_PER_SLICE", 1), ("FILES_PER_CORE", 0), ("MOST_SLICES", 4)):
+        monkeypatch.setattr(ledger_table, name, value)
+    wrote, write = [], LedgerTable._write_rows
+
+    def seen(self, fresh, added, folder, first_seq, count):
+        kept = LedgerTable._write
+
+        def one(self, rows, to, mode="overwrite", *by):
+            if to == folder:
+                wrote.append((rows.count(), mode))
+            kept(self, rows, to, mode, *by)
+
+        with monkeypatch.context() as patch:
+            patch.setattr(LedgerTable, "_write", one)
+            write(self, fresh, added, folder, first_seq, count)
+
+    monkeypatch.setattr(LedgerTable, "_write_rows", seen)
+    first = [(f"r{i}", f"2{i % 3}") for i in range(100)] * 2
+    late = [(f"s{i}", "10" if i % 2 else "21") for i in range(50)] + first[:60]
+    table.append(rows_of(spark, first).repartition(3))
+    table.append(rows_of(spark, late).repartition(3))
+    assert wrote == [(32, "overwrite"), (32, "append"), (32, "append"), (4, "append"), (16, "overwrite"), (16, "append"), (16, "append"), (2, "append")]
+    expected = sorted((c, n) for n, c in set(first)) + sorted((c, n) for n, c in late[:50])
+    got = sorted((r.ingest_seq, r.created_locally_at_utc, r.object_id) for r in table.rows().collect())
+    named = {r.object_id: r.created_locally_at_utc for r in rows_of(spark, first + late).collect()}
+    assert [i for i, _, _ in got] == list(range(150)) and {n: c for _, c, n in got} == named
+    assert [c for _, c, _ in got] == [c for c, _ in expected]
+    assert [n for _, _, n in got[:100]] == [n for _, n in sorted((c, n) for _, c, n in got[:100])]
+    assert table.root().first().merkle_root == merkle.ledger_root(table.rows()).first().merkle_root
+
+
+def codecs(rows) -> set[str]:
+    """How the Parquet files with rows of a table are packed."""
+    found = [pq.ParquetFile(urlparse(f).path).metadata for f in rows.inputFiles()]
+    return {m.row_group(0).column(0).compression for m in found if m.num_rows}
+
+
+def test_ledger_rows_are_packed(spark, table):
+    """Hashes as text take about half of their size on disk."""
+    table.append(rows_of(spark, [("a", "1"), ("b", "2")]))
+    assert codecs(table.rows()) == {"ZSTD"} == codecs(table._ids(table._last(), table.rows()))
