@@ -10,7 +10,8 @@ from sealtrail.functions import sequence as Q
 from sealtrail.functions import text as X
 from sealtrail.operators import sealing
 from sealtrail.profile import SealProfile
-from sealtrail.sources.scratch import new_folder
+from sealtrail.sources.runs import CODEC
+from sealtrail.sources.scratch import dropping_shuffles, new_folder
 from sealtrail.sources.splits import spread_rows, spread_small
 
 # A made-up key fingerprint and author.
@@ -39,7 +40,8 @@ def scratch(spark: SparkSession) -> str:
 def stored(rows: DataFrame) -> DataFrame:
     """The rows written to a table and read back, as a ledger would be kept."""
     folder = f"{scratch(rows.sparkSession)}/table"
-    rows.write.parquet(folder)
+    with dropping_shuffles(rows.sparkSession):
+        rows.write.option("compression", CODEC).parquet(folder)
     return rows.sparkSession.read.schema(rows.schema).parquet(folder)
 
 

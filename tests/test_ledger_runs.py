@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sealtrail.operators import ledger, merkle
+from sealtrail.plans import inputs
 from sealtrail.sources import ledger_table, runs
 from sealtrail.sources.ledger_table import LedgerTable
 from tests.test_ledger import root_by_hand, rows_of
@@ -240,3 +241,7 @@ def test_ledger_rows_are_packed(spark, table):
     """Hashes as text take about half of their size on disk."""
     table.append(rows_of(spark, [("a", "1"), ("b", "2")]))
     assert codecs(table.rows()) == {"ZSTD"} == codecs(table._ids(table._last(), table.rows()))
+
+
+def test_stored_tables_are_packed(spark):
+    assert codecs(inputs.stored(rows_of(spark, [("a", "1"), ("b", "2")]))) == {"ZSTD"}
